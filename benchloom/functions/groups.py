@@ -41,11 +41,13 @@ def _or_ungrouped(value: Column) -> Column:
 
 def truthy_text(obj: Column | str, key: str) -> Column:
     """Text of a key, null when the value is empty, zero, false or an empty container."""
-    v = V.get(obj, key)
-    text = V.as_text(v)
-    zero = V.kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(v, "$", "double") == 0)
-    falsy = F.coalesce(zero, F.lit(False)) | text.isin("", "False", "[]", "{}")
-    return F.when(~falsy, text)
+
+    def solid(v: Column) -> Column:
+        zero = V.kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(v, "$", "double") == 0)
+        text = V.as_text(v)
+        return F.when(~(F.coalesce(zero, F.lit(False)) | text.isin("", "False", "[]", "{}")), text)
+
+    return V.let(V.get(obj, key), solid)
 
 
 def result_group_key(metadata: Column | str = "metadata", prompt_metadata: Column | str = "prompt_metadata") -> Column:

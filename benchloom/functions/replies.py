@@ -63,10 +63,13 @@ def _first(values: list[Column]) -> Column:
 # --- T1 -------------------------------------------------------------------------------
 def json_payload(reply: Column | str) -> Column:
     """First candidate that is a JSON object: outermost braces, fenced block, whole text."""
-    text = strip_ws(reply)
-    span = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    fence = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    return F.coalesce(*[V.parse_object(c) for c in (span, fence, text)])
+
+    def candidates(text: Column) -> Column:
+        span = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+        fence = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+        return F.coalesce(*[V.let(c, V.parse_object) for c in (span, fence, text)])
+
+    return V.let(strip_ws(reply), candidates)
 
 
 def json_field(payload: Column | str, name: str, aliases: list[str] = ()) -> Column:
@@ -76,25 +79,28 @@ def json_field(payload: Column | str, name: str, aliases: list[str] = ()) -> Col
 
 def json_text_value(reply: Column | str, keys: list[str]) -> Column:
     """First non-empty of ``keys`` in an embedded object, else the whole stripped reply."""
-    payload = json_payload(reply)
-    hits = [strip_ws(F.nullif(V.get_text(payload, key), F.lit(""))) for key in keys]
-    return F.coalesce(*hits, strip_ws(reply))
+    hits = lambda p: F.coalesce(*[strip_ws(F.nullif(V.get_text(p, k), F.lit(""))) for k in keys])
+    return F.coalesce(V.let(json_payload(reply), hits), strip_ws(reply))
 
 
 def json_reply(reply: Column | str, spec: ReplySpec) -> Column:
     """Struct(status, fields map, missing array) of a JSON reply."""
-    payload = json_payload(reply)
-    values = {n: json_field(payload, n, spec.aliases.get(n, [])) for n in spec.known_fields()}
-    empty = {n: value.isNull() | (value == "[]") for n, value in values.items()}
-    missing = F.filter(
-        F.array(*[F.when(empty[n], F.lit(n)) for n in spec.required]).cast("array<string>"),
-        lambda x: x.isNotNull(),
-    )
-    return F.struct(
-        F.when(payload.isNull(), "invalid").when(F.size(missing) == 0, "parsed").otherwise("partial").alias("status"),
-        _field_map(values).alias("fields"),
-        missing.alias("missing"),
-    )
+    names = spec.known_fields()
+
+    def read(payload: Column) -> Column:
+        values = [json_field(payload, n, spec.aliases.get(n, [])).alias(n) for n in names]
+        return F.struct(payload.isNotNull().alias("found"), *values)
+
+    def judge(r: Column) -> Column:
+        absent = [F.when(r[n].isNull() | (r[n] == "[]"), F.lit(n)) for n in spec.required]
+        missing = F.filter(F.array(*absent).cast("array<string>"), lambda x: x.isNotNull())
+        return F.struct(
+            F.when(~r["found"], "invalid").when(F.size(missing) == 0, "parsed").otherwise("partial").alias("status"),
+            _field_map({n: r[n] for n in names}).alias("fields"),
+            missing.alias("missing"),
+        )
+
+    return V.let(V.let(json_payload(reply), read), judge)
 
 
 def _field_map(values: dict[str, Column]) -> Column:
@@ -141,19 +147,19 @@ def section_value(reply: Column | str, names: list[str]) -> Column:
 # --- T5 -------------------------------------------------------------------------------
 def reasoning_trace(reply: Column | str, spec: ReplySpec, artifact_metadata: Column | None = None) -> Column:
     """Struct(text, source): artifact metadata, then a tag, then a pattern."""
-    nothing = F.lit(None).cast("string")
-    meta = nothing
+    meta = F.lit(None).cast("string")
     if artifact_metadata is not None:
         meta = _first([blank_to_null(V.get_text(artifact_metadata, k)) for k in spec.trace_keys])
     tag = _first([tag_value(reply, spec.names(t)) for t in spec.trace_tags])
     pattern = pattern_value(reply, list(spec.trace_patterns))
-    return F.struct(
-        F.coalesce(meta, tag, pattern).alias("text"),
-        F.when(meta.isNotNull(), "artifact_metadata")
-        .when(tag.isNotNull(), "tag")
-        .when(pattern.isNotNull(), "text_pattern")
-        .otherwise("none")
-        .alias("source"),
+    found = lambda c, source: F.when(c.isNotNull(), F.struct(c.alias("text"), F.lit(source).alias("source")))
+    nothing = F.struct(F.lit(None).cast("string").alias("text"), F.lit("none").alias("source"))
+    # Lazy: a pattern is only tried when neither metadata nor a tag has the trace.
+    return F.coalesce(
+        V.let(meta, lambda c: found(c, "artifact_metadata")),
+        V.let(tag, lambda c: found(c, "tag")),
+        V.let(pattern, lambda c: found(c, "text_pattern")),
+        nothing,
     )
 
 
@@ -197,27 +203,31 @@ def missing_required(values: dict[str, Column], spec: ReplySpec, mode: str = "")
 
 
 def _block_reply(reply: Column | str, spec: ReplySpec, mode: str, extract, artifact_metadata: Column | None, choices: bool) -> Column:
-    text = strip_ws(reply)
-    values: dict[str, Column] = {}
-    source: dict[str, Column] = {}
-    for n in spec.known_fields():
-        hit = extract(text, spec.names(n))
-        spare = pattern_value(text, spec.fallbacks.get(n, []))
-        values[n] = F.coalesce(hit, spare)
-        source[n] = F.when(hit.isNull() & spare.isNotNull(), F.lit("pattern"))
-    if choices and "final_choice" in values:
-        values["final_choice"] = normalize_choice(values["final_choice"], spec.choices)
-    trace = reasoning_trace(text, spec, artifact_metadata)
-    values["thinking"] = F.coalesce(values["thinking"], trace["text"]) if "thinking" in values else trace["text"]
-    missing = missing_required(values, spec, mode)
-    return F.struct(
-        F.when(F.size(missing) == 0, "parsed").otherwise("partial").alias("status"),
-        _field_map(values).alias("fields"),
-        missing.alias("missing"),
-        _field_map(source).alias("fallback_source"),
-        trace["text"].alias("trace_text"),
-        trace["source"].alias("trace_source"),
-    )
+    names = spec.known_fields()
+
+    def read(text: Column) -> Column:
+        hits = [extract(text, spec.names(n)).alias(f"h{i}") for i, n in enumerate(names)]
+        spares = [pattern_value(text, spec.fallbacks.get(n, [])).alias(f"p{i}") for i, n in enumerate(names)]
+        return F.struct(*hits, *spares, reasoning_trace(text, spec, artifact_metadata).alias("trace"))
+
+    def merge(r: Column) -> Column:
+        values = {n: F.coalesce(r[f"h{i}"], r[f"p{i}"]) for i, n in enumerate(names)}
+        source = {n: F.when(r[f"h{i}"].isNull() & r[f"p{i}"].isNotNull(), F.lit("pattern")) for i, n in enumerate(names)}
+        if choices and "final_choice" in values:
+            values["final_choice"] = V.let(values["final_choice"], lambda v: normalize_choice(v, spec.choices))
+        trace = r["trace"]["text"]
+        values["thinking"] = F.coalesce(values["thinking"], trace) if "thinking" in values else trace
+        missing = missing_required(values, spec, mode)
+        return F.struct(
+            F.when(F.size(missing) == 0, "parsed").otherwise("partial").alias("status"),
+            _field_map(values).alias("fields"),
+            missing.alias("missing"),
+            _field_map(source).alias("fallback_source"),
+            trace.alias("trace_text"),
+            r["trace"]["source"].alias("trace_source"),
+        )
+
+    return V.let(V.let(strip_ws(reply), read), merge)
 
 
 def tag_reply(reply: Column | str, spec: ReplySpec, mode: str = "", artifact_metadata: Column | None = None) -> Column:

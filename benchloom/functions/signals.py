@@ -23,7 +23,7 @@ def structural_refusal(reply: Column | str) -> Column:
 def first_line(reply: Column | str) -> Column:
     """First line of the stripped text, cut at the fixed length; null when blank."""
     head = F.element_at(F.split(blank_to_null(reply), LINE_BREAK, 2), 1)
-    return blank_to_null(F.substring(strip_ws(head), 1, fixed.FIRST_LINE_CHARS))
+    return F.substring(strip_ws(head), 1, fixed.FIRST_LINE_CHARS)
 
 
 def without_thinking(reply: Column | str) -> Column:

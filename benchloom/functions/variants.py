@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from benchloom.functions.text import col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A Column that is used several times is otherwise repeated in the generated code; nested
+    parsers would grow past the limit of one Java method.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def path(key: str) -> str:
     """Variant path of one top-level key."""
     return f"$['{key}']"
@@ -20,9 +29,9 @@ def parse_object(text: Column) -> Column:
     only element of an array: trailing text breaks the array, a second value is seen.
     """
     boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    inner = F.try_variant_get(boxed, "$[0]", "variant")
-    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    return F.when(alone & F.schema_of_variant(inner).startswith("OBJECT"), inner)
+    alone = lambda b: F.try_variant_get(b, "$[1]", "variant").isNull()
+    opened = F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{"))
+    return F.when(opened, let(boxed, lambda b: F.when(alone(b), F.try_variant_get(b, "$[0]", "variant"))))
 
 
 def kind(v: Column) -> Column:
@@ -33,21 +42,24 @@ def get(obj: Column | str, key: str) -> Column:
     return F.try_variant_get(col(obj), path(key), "variant")
 
 
-def as_text(v: Column) -> Column:
-    """Scalar as text, booleans as ``True``/``False``, nested values as JSON, JSON null as null."""
+def _text(v: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
     return F.when(kind(v) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
+def as_text(v: Column) -> Column:
+    """Scalar as text, booleans as ``True``/``False``, nested values as JSON, JSON null as null."""
+    return let(v, _text)
+
+
 def get_text(obj: Column | str, key: str) -> Column:
-    return as_text(get(obj, key))
+    return let(get(obj, key), _text)
 
 
 def get_number(obj: Column | str, key: str) -> Column:
     """Numeric value of a key; booleans and numeric-looking text are not numbers."""
-    v = get(obj, key)
-    numeric = kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(numeric, F.try_variant_get(v, "$", "double"))
+    numeric = lambda v: kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return let(get(obj, key), lambda v: F.when(numeric(v), F.try_variant_get(v, "$", "double")))
 
 
 def has_key(obj: Column | str, key: str) -> Column:

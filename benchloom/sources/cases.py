@@ -76,15 +76,18 @@ def default_case_fields(df: DataFrame) -> DataFrame:
     payload = F.when(F.coalesce(has_payload, F.lit(False)), F.col("input_payload")).otherwise(F.parse_json(built))
     contract = F.nullif("expected_output_contract", F.lit(""))
     structure = F.nullif("expected_structure", F.lit(""))
-    filled = df.withColumns({"input_payload": payload}).withColumns(
+    # One read of the payload per row; the later columns only look at its fields.
+    keys = ("prompt", "instruction", "context", "text", "input")
+    schema = ", ".join(f"{k} string" for k in keys)
+    staged = df.withColumn("input_payload", payload).withColumn("__p", F.from_json(F.to_json("input_payload"), schema))
+    filled = staged.withColumns(
         {
-            "prompt": first_truthy("prompt", V.get_text("input_payload", "prompt")),
-            "instruction": first_truthy("instruction", V.get_text("input_payload", "instruction")),
-            "context": first_truthy("context", V.get_text("input_payload", "context")),
+            "prompt": first_truthy("prompt", "__p.prompt"),
+            "instruction": first_truthy("instruction", "__p.instruction"),
+            "context": first_truthy("context", "__p.context"),
             "expected_output_contract": F.coalesce(contract, structure),
             "expected_structure": F.coalesce(structure, contract),
         }
     )
-    keys = ("prompt", "instruction", "text", "input")
-    rendered = first_truthy("prompt", "instruction", *[V.get_text("input_payload", k) for k in keys], F.lit(""))
-    return filled.withColumn("rendered_input", strip_ws(F.coalesce(rendered, F.lit(""))))
+    rendered = first_truthy("prompt", "instruction", "__p.text", "__p.input", F.lit(""))
+    return filled.withColumn("rendered_input", strip_ws(F.coalesce(rendered, F.lit("")))).drop("__p")

@@ -69,7 +69,7 @@ def write_dataset(df: DataFrame, path: str, by: tuple[str, ...] = ("split", "mod
     )
 
 
-def read_manifests(spark: SparkSession, root: str, kind: str = "run") -> DataFrame:
+def read_manifests(spark: SparkSession, root: str, kind: str = "run", file_name: str | None = None) -> DataFrame:
     """All run or experiment manifests below ``root``, newest first; unreadable ones are ignored."""
     name, key = {
         "run": ("run_manifest.json", "run_id"),
@@ -80,7 +80,7 @@ def read_manifests(spark: SparkSession, root: str, kind: str = "run") -> DataFra
     ]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in dict.fromkeys(fields)] + [T.StructField("_bad", T.StringType())])
     raw = spark.read.schema(schema).json(
-        f"{root}/*/{name}", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad"
+        f"{root}/*/{file_name or name}", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad"
     )
     good = raw.where(F.col("_bad").isNull() & F.col(key).isNotNull()).drop("_bad")
     return good.orderBy(F.desc("created_at"), F.desc(key))
