@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-from benchloom.catalog import evaluation, intake, running  # noqa: F401
+from benchloom.catalog import evaluation, generation, intake, running  # noqa: F401
 from benchloom.catalog.views import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -133,8 +133,8 @@ def _(t):
 
 
 def task_results(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Tasks made of ledger rows: one task per run, model and user, its events as batch items."""
-    led = t.sql("select *, concat('task_', run_id, '_', model_name, '_', split_part(prompt_id, '_', 1)) as task_id from v_ledger")
+    """Tasks made of ledger rows: a run's events of one user within 64 event ids, as batch items."""
+    led = t.sql("select *, concat('task_', run_id, '_', model_name, '_', split_part(prompt_id, '_', 1), '_', cast(cast(floor(event_id / 64) as bigint) as varchar(20))) as task_id from v_ledger")
     n = (F.col("event_id") % 3).cast("int")
     artifact = lambda i: F.struct(F.lit("image").alias("type"), F.concat(F.lit("/a/"), F.col("event_id").cast("string"), F.lit("_"), i.cast("string")).alias("path"))
     artifacts = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), n), artifact)
@@ -150,7 +150,7 @@ def task_results(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 LED_SQL = """
-with l as (select *, concat('task_', run_id, '_', model_name, '_', split_part(prompt_id, '_', 1)) as task_id from v_ledger),
+with l as (select *, concat('task_', run_id, '_', model_name, '_', split_part(prompt_id, '_', 1), '_', cast(cast(floor(event_id / 64) as bigint) as varchar(20))) as task_id from v_ledger),
 k as (select task_id, count(*) filter (where status = 'success') as ok from l group by 1)"""
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from benchloom import fixed
+
 from benchloom.functions.text import LINE_BREAK, blank_to_null, col, contains_any, lines, strip_ws, words
+from benchloom.functions.variants import let
 
 
 def refusal(reply: Column | str, markers: list[str] | None = None, blank_is_refusal: bool = True) -> Column:
     """True when a marker occurs in the lower-cased text; optionally for blank text too."""
     text = F.coalesce(col(reply), F.lit(""))
-    hit = contains_any(F.lower(text), fixed.REFUSAL_MARKERS if markers is None else markers)
+    hit = let(F.lower(text), lambda low: contains_any(low, fixed.REFUSAL_MARKERS if markers is None else markers))
     return (blank_to_null(text).isNull() | hit) if blank_is_refusal else hit
 
 
@@ -48,15 +50,17 @@ def decision(reply: Column | str, choice: Column | None = None, answer: Column |
 
 def confidence(reply: Column | str) -> Column:
     """Struct(value, label): the number after "confidence", else the first word of the fixed list present."""
-    number = F.nullif(
-        F.regexp_extract(col(reply), r"(?iU)\bconfidence\b[:\s]+([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")
-    )
-    label = F.coalesce(
-        *[F.when(col(reply).rlike(rf"(?iU)\b{w}\b"), F.lit(w)) for w in fixed.CONFIDENCE_WORDS]
-    )
-    return F.struct(
-        number.cast("double").alias("value"), F.when(number.isNull(), label).alias("label")
-    )
+
+    def read(low: Column) -> Column:
+        # Plain tests come first; most texts never reach a pattern.
+        number = F.when(
+            low.contains("confidence"), F.nullif(F.regexp_extract(low, r"(?U)\bconfidence\b[:\s]+([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))
+        )
+        label = F.coalesce(*[F.when(low.contains(w) & low.rlike(rf"(?U)\b{w}\b"), F.lit(w)) for w in fixed.CONFIDENCE_WORDS])
+        pair = lambda n: F.struct(n.cast("double").alias("value"), F.when(n.isNull(), label).alias("label"))
+        return let(number, pair)
+
+    return let(F.lower(col(reply)), read)
 
 
 def features(reply: Column | str, comparison: str = r"\b(option|choice|compare)\b") -> Column:

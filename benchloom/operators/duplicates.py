@@ -9,6 +9,7 @@ Jaccard >= t share a token within the first ``n - ceil(t n) + 1`` tokens of both
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -69,26 +70,27 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(FREQ_BUCKETS)).cast("int")
 
 
-def _bucket_counts(sets: DataFrame) -> Column:
-    """Array of token counts per hash bucket as a scalar subquery.
+def _bucket_classes(sets: DataFrame) -> bytes:
+    """One byte per hash bucket: the class of its token count on a log scale.
 
-    The array has a fixed length whatever the vocabulary, so it may travel to every task.
-    It only *orders* tokens, rare ones first; any order gives the same pairs.
+    The driver sees ``FREQ_BUCKETS`` small numbers at most, whatever the vocabulary, and the
+    tasks get a constant of that many bytes.  It only *orders* tokens, rare ones first; any
+    order gives the same pairs.
     """
-    counted = sets.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
-    by_bucket = counted.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    dense = by_bucket.select(
-        F.transform(F.sequence(F.lit(0), F.lit(FREQ_BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("a")
-    )
-    return dense.scalar()
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
+    classes = bytearray(FREQ_BUCKETS)
+    for row in counts.collect():
+        classes[row.b] = min(255, int(8 * math.log2(row.n)) + 1)
+    return bytes(classes)
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(set, size, token) for the prefix tokens of every non-empty set."""
     n = F.size("tokens")
     length = n - F.floor((n * NUM + DEN - 1) / F.lit(DEN)).cast("int") + 1
-    freq = _bucket_counts(sets)
-    ordered = F.array_sort(F.transform("tokens", lambda t: F.struct(F.get(freq, _bucket(t)).alias("f"), t.alias("t"))))
+    classes = F.lit(_bucket_classes(sets))
+    rank = lambda t: F.substring(classes, _bucket(t) + 1, F.lit(1))
+    ordered = F.array_sort(F.transform("tokens", lambda t: F.struct(rank(t).alias("f"), t.alias("t"))))
     return sets.where(n > 0).select(
         F.col("set_first").alias("id"), n.alias("n"), F.explode(F.transform(F.slice(ordered, 1, length), lambda s: s["t"])).alias("token")
     )

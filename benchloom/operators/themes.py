@@ -12,6 +12,7 @@ from benchloom import fixed
 from benchloom.functions.seeded import draw_index
 from benchloom.functions.text import digits, normalize_text
 from benchloom.operators.duplicates import near_duplicates
+from benchloom.session import cut
 
 MAX_DEPTH = len(fixed.THEME_LEVELS)
 DRAW_CHUNK = 10_000
@@ -53,7 +54,8 @@ def theme_quota_plan(nodes: DataFrame, counts: dict[str, int] | DataFrame | None
     """
     counted = _counted(nodes, counts, defaults)
     parent = F.when(F.col("depth") > 1, path_text(F.slice("path", 1, F.col("depth") - 1)))
-    tree = counted.withColumn("parent", parent)
+    # The tree is read once per level, so it is written once; it holds one row per node.
+    tree = cut(counted.withColumn("parent", parent), "tree")
     below = None
     levels = []
     for d in range(MAX_DEPTH, 0, -1):
@@ -132,7 +134,8 @@ def draw_themes(nodes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     pick by hash and are ``resampled``.  Large quotas are unrolled in chunks, so one node's
     quota is spread over many tasks.
     """
-    leaves = allocation_leaves(nodes, plan)
+    plan = cut(plan, "plan")
+    leaves = cut(allocation_leaves(nodes, plan), "leaves")
     # Children come before their parent: order by position, the parent after its subtree.
     post = F.concat("ord", F.array(F.lit(2147483647)))
     width = plan.where("residual > 0").select("node", F.col("residual").alias("n"), post.alias("post"), F.get("ord", F.lit(0)).alias("top"))
@@ -222,8 +225,6 @@ def dedupe_regenerate(drafts: DataFrame, pools: dict[str, list[str]], style: str
     stays); the first row of each group is left alone.  Each round is written to the shared
     folder, since the next one reads it several times.
     """
-    from benchloom.session import cut
-
     current, log = drafts, None
     for p in range(1, passes + 1):
         current = cut(current, "drafts")
