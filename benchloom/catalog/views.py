@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from benchloom.sizing import spread_scan
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
     "benchmark", "labels", "conversations",
@@ -93,7 +95,8 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(f"select * from {name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_scan(scan) if name in WIDE else scan
 
     def sql(self, text: str) -> DataFrame:
         full = expand(text)
@@ -103,6 +106,9 @@ class Tables:
         return self.spark.sql(full)
 
 
+# Tables whose rows are costly to process; the driver writes each as a single split.
+WIDE = ("documents", "conversations", "orders")
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

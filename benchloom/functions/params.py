@@ -12,30 +12,42 @@ from benchloom.functions.text import strip_ws
 KNOWN = [*fixed.INT_PARAMETERS, *fixed.FLOAT_PARAMETERS, *fixed.BOOL_PARAMETERS, *fixed.STRING_PARAMETERS]
 
 
-def _int(v: Column) -> Column:
-    text = F.try_variant_get(v, "$", "string")
-    number = F.try_variant_get(v, "$", "double")
-    whole = F.when(strip_ws(text).rlike(r"^[+-]?\d+$"), strip_ws(text).try_cast("bigint"))
-    return F.when(V.kind(v) == "STRING", whole).when(V.kind(v) != "BOOLEAN", number.try_cast("bigint"))
+def _text(v: Column) -> Column:
+    return strip_ws(F.try_variant_get(v, "$", "string"))
 
 
-def _float(v: Column) -> Column:
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(V.kind(v) == "STRING", strip_ws(text).try_cast("double")).when(
-        V.kind(v) != "BOOLEAN", F.try_variant_get(v, "$", "double")
-    )
+def _int(v: Column, kind: Column) -> Column:
+    whole = F.when(_text(v).rlike(r"^[+-]?\d+$"), _text(v).try_cast("bigint"))
+    number = F.try_variant_get(v, "$", "double").try_cast("bigint")
+    return F.when(kind == "STRING", whole).when(kind != "BOOLEAN", number)
+
 
+def _float(v: Column, kind: Column) -> Column:
+    return F.when(kind == "STRING", _text(v).try_cast("double")).when(kind != "BOOLEAN", F.try_variant_get(v, "$", "double"))
 
-def _bool(v: Column) -> Column:
-    word = F.lower(strip_ws(F.try_variant_get(v, "$", "string")))
-    return F.when(V.kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(
-        V.kind(v) == "STRING", F.when(word.isin(fixed.TRUE_WORDS), True).when(word.isin(fixed.FALSE_WORDS), False)
+
+def _bool(v: Column, kind: Column) -> Column:
+    word = F.lower(_text(v))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(
+        kind == "STRING", F.when(word.isin(fixed.TRUE_WORDS), True).when(word.isin(fixed.FALSE_WORDS), False)
     )
 
 
-def _resolution(v: Column) -> Column:
+def _resolution(v: Column, kind: Column) -> Column:
     text = F.btrim(F.regexp_replace(F.try_variant_get(v, "$", "string"), r"\s+", " "))
-    return F.when((V.kind(v) == "STRING") & text.rlike(r"^\d+\s*[xX*]\s*\d+$"), text)
+    return F.when((kind == "STRING") & text.rlike(r"^\d+\s*[xX*]\s*\d+$"), text)
+
+
+def _reader(key: str):
+    if key in fixed.INT_PARAMETERS:
+        return _int, "integer"
+    if key in fixed.FLOAT_PARAMETERS:
+        return _float, "number"
+    if key in fixed.BOOL_PARAMETERS:
+        return _bool, "boolean"
+    if key == "resolution":
+        return _resolution, "resolution"
+    return (lambda v, kind: V.as_text(v)), "string"
 
 
 def coerce(params: Column, keys: list[str] | None = None) -> Column:
@@ -45,32 +57,30 @@ def coerce(params: Column, keys: list[str] | None = None) -> Column:
     numbers; unknown keys are kept as text and reported.
     """
     wanted = KNOWN if keys is None else keys
-    typed: list[Column] = []
-    errors: list[Column] = []
-    for key in wanted:
-        v = V.get(params, key)
-        if key in fixed.INT_PARAMETERS:
-            value, name = _int(v), "integer"
-        elif key in fixed.FLOAT_PARAMETERS:
-            value, name = _float(v), "number"
-        elif key in fixed.BOOL_PARAMETERS:
-            value, name = _bool(v), "boolean"
-        elif key == "resolution":
-            value, name = _resolution(v), "resolution"
-        else:
-            value, name = V.as_text(v), "string"
-        typed.append(value.alias(key))
-        errors.append(F.when(v.isNotNull() & value.isNull(), F.lit(f"{key}: expected {name}")))
-    everything = F.try_variant_get(params, "$", "map<string,variant>")
-    unknown = F.map_filter(everything, lambda k, _: ~k.isin(KNOWN))
-    return F.struct(
-        *typed,
-        F.transform_values(unknown, lambda _, v: V.as_text(v)).alias("extra"),
-        F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"),
-        F.transform(
-            F.map_keys(unknown), lambda k: F.concat(F.lit("unknown parameter: "), k)
-        ).alias("warnings"),
-    )
+
+    def typed(key: str):
+        reader, _ = _reader(key)
+        return lambda v: V.let(V.kind(v), lambda k: reader(v, k))
+
+    def read(entries: Column) -> Column:
+        # One pass turns the object into a map; every key is then one lookup.
+        fields = []
+        for key in wanted:
+            fields.append(V.let(F.try_element_at(entries, F.lit(key)), typed(key)).alias(key))
+        return F.struct(*fields, F.map_keys(entries).alias("present"), F.map_filter(entries, lambda k, _: ~k.isin(KNOWN)).alias("unknown"))
+
+    def report(r: Column) -> Column:
+        errors = [
+            F.when(r[k].isNull() & F.array_contains(r["present"], k), F.lit(f"{k}: expected {_reader(k)[1]}")) for k in wanted
+        ]
+        return F.struct(
+            *[r[k].alias(k) for k in wanted],
+            F.transform_values(r["unknown"], lambda _, v: V.as_text(v)).alias("extra"),
+            F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"),
+            F.transform(F.map_keys(r["unknown"]), lambda k: F.concat(F.lit("unknown parameter: "), k)).alias("warnings"),
+        )
+
+    return V.let(V.let(F.try_variant_get(params, "$", "map<string,variant>"), read), report)
 
 
 def overlay(base: Column, over: Column | None) -> Column:

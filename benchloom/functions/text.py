@@ -14,6 +14,7 @@ from benchloom import fixed
 
 # White space as Unicode text handling counts it, control separators included.
 WS = r"\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
@@ -22,7 +23,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+$", "")
+    """Ends trimmed of every white-space character; looks at the ends only, no pattern."""
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -35,21 +37,24 @@ def first_truthy(*cols: Column | str) -> Column:
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cols])
 
 
-def _nfkc_udf():
+def _normalizer():
     # Defined inside a function so that it is shipped by value and the executors
     # need no copy of this package.
-    def nfkc(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+    def normalize(text: pd.Series) -> pd.Series:
+        return text.map(
+            lambda s: s if s is None else " ".join((s if s.isascii() else unicodedata.normalize("NFKC", s)).split())
+        )
 
-    return pandas_udf(nfkc, T.StringType())
+    return pandas_udf(normalize, T.StringType())
 
 
 def normalize_text(c: Column | str) -> Column:
     """NFKC, white-space runs to one blank, ends trimmed.
 
-    NFKC is the one step Spark has no expression for; it runs as an Arrow batch.
+    Spark has no expression for NFKC, so this runs over Arrow batches; the blanks are
+    handled in the same pass.
     """
-    return F.btrim(F.regexp_replace(_nfkc_udf()(col(c)), f"[{WS}]+", " "))
+    return _normalizer()(col(c))
 
 
 def infer_language(c: Column | str) -> Column:

@@ -20,3 +20,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     shuffled one that AQE may still split on skew.
     """
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A plain file scan in at least as many partitions as there are cores.
+
+    Only for scans that come as fewer splits than cores (a small table in one row group):
+    costly per-row work would otherwise run in one task.  A scan with enough splits, any
+    large table, is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
