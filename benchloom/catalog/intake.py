@@ -16,6 +16,7 @@ from benchloom.operators import cases as C
 from benchloom.operators import requests as RQ
 from benchloom.operators import summaries as SM
 from benchloom.session import scratch_path
+from benchloom.sizing import spread_scan
 from benchloom.sources import cases as SC
 from benchloom.sources import layers as SL
 from benchloom.sources import prompts as SP
@@ -291,7 +292,7 @@ from orders""",
 )
 def _(t):
     # The struct is built once per row; the fields are read from it.
-    raw = t.sql(PARAMS_SQL).select("o_orderkey", F.try_parse_json("raw").alias("v"))
+    raw = spread_scan(t.sql(PARAMS_SQL)).select("o_orderkey", F.try_parse_json("raw").alias("v"))
     df = raw.select("o_orderkey", PR.coerce(F.col("v"), ["width", "seed", "guidance_scale", "stream", "resolution"]).alias("p"))
     return df.select(
         "o_orderkey", "p.width", "p.seed", "p.guidance_scale", "p.stream", "p.resolution",

@@ -107,7 +107,7 @@ class Tables:
 
 
 # Tables whose rows are costly to process; the driver writes each as a single split.
-WIDE = ("documents", "conversations", "orders")
+WIDE = ("documents", "conversations")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

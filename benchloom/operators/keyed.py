@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,12 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _pick(df, keys, order, F.min_by)
 
 
+def preference() -> Column:
+    """Sort key of normalized rows: successful ones first, then the smallest normalizer id."""
+    return F.struct((F.lower("status") != "success").alias("failed"), F.col("normalizer_id"))
+
+
 def preferred_normalized(df: DataFrame) -> DataFrame:
-    """Per request and target: successful rows first, then the smallest normalizer id."""
-    ranked = df.withColumn("__failed", F.lower("status") != "success")
-    return first_wins(ranked, ["request_id", "target_model"], ["__failed", "normalizer_id"]).drop("__failed")
+    """The preferred normalized row per request and target."""
+    ranked = df.withColumn("__rank", preference())
+    return first_wins(ranked, ["request_id", "target_model"], ["__rank"]).drop("__rank")

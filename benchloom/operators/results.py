@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from benchloom.functions import signals, variants as V
 from benchloom.functions.replies import ReplySpec, json_payload, reasoning_tail, tag_reply
 from benchloom.functions.text import blank_to_null, strip_ws
-from benchloom.operators.keyed import last_wins, preferred_normalized
+from benchloom.operators.keyed import last_wins, preference
 
 _CARRY = [
     "task_id", "benchmark_id", "request_id", "case_id", "target_model", "source_run_id", "source_record_id", "split", "group_key",
@@ -255,15 +255,19 @@ def experiment_dataset(
     keys = ["request_id", "target_model"]
     norm_fields = [c for c in ("normalizer_id", "status", "decision_text", "refusal_flag", "reasoning_trace_text") if c in normalized.columns]
     score_fields = [c for c in ("scorer_id", "status", "labels", "scores", "rationale") if c in scores.columns]
-    by_norm = normalized.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*norm_fields))).alias("normalized_results"), F.count("*").alias("normalized_result_count")
+    entry = F.struct(*norm_fields)
+    # The list, its length and the preferred row come out of one pass over the layer.
+    folded = normalized.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(entry)).alias("normalized_results"),
+        F.count("*").alias("normalized_result_count"),
+        F.min_by(entry, preference()).alias("__best"),
+    )
+    by_norm = folded.select(
+        *keys, "normalized_results", "normalized_result_count", *[F.col("__best")[c].alias(c) for c in norm_fields if c not in ("normalizer_id", "status")]
     )
     by_score = scores.groupBy(*keys).agg(
         F.collect_list(F.struct(*score_fields)).alias("score_records"), F.count("*").alias("score_record_count")
     )
-    best = preferred_normalized(normalized.select(*keys, *norm_fields)).select(
-        *keys, *[F.col(c) for c in norm_fields if c not in ("normalizer_id", "status")]
-    )
     case_side = cases.select(
         "case_id",
         *[F.col(c).alias(f"case_{c}") for c in ("prompt", "split", "tags", "case_version", "source_builder", "grouping", "metadata") if c in cases.columns],
@@ -273,7 +277,6 @@ def experiment_dataset(
         results.join(case_side, "case_id", "left")
         .join(request_side, "request_id", "left")
         .join(by_norm, keys, "left")
-        .join(best, keys, "left")
         .join(by_score, keys, "left")
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")

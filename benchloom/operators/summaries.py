@@ -100,38 +100,54 @@ def experiment_summary(
         return df.select(metric.alias("metric"), key.alias("key"), subkey.alias("subkey"), value.cast("double").alias("value"))
 
     per_case = results.groupBy("case_id").agg(F.count("*").alias("n"))
+    totals = {"target_result_count": F.lit(None), "counts_by_target_model": F.col("target_model"), "counts_by_split": F.col("split")}
     out = [
         shape(per_case.agg(F.count("*").alias("n")), "case_count"),
-        shape(results.agg(F.count("*").alias("n")), "target_result_count"),
-        shape(
-            _counts(results, {"target_model": F.col("target_model"), "split": F.col("split")}),
-            F.concat(F.lit("counts_by_"), F.col("metric")),
-            F.col("key"),
-        ),
+        shape(_counts(results, totals), F.col("metric"), F.col("key")),
     ]
     layers = {
         "normalized_result_count": (normalized, "normalizer_id", "counts_by_normalizer"),
-        "score_record_count": (scores, "scorer_id", "counts_by_scorer"),
         "group_analysis_record_count": (analyses, None, None),
         "analysis_plugin_result_count": (plugins, "plugin_id", "counts_by_analysis_plugin"),
         "failure_count": (failures, None, None),
     }
     for metric, (df, key, by) in layers.items():
-        if df is None:
-            out.append(shape(results.sparkSession.range(1).select(F.lit(0).alias("n")), metric))
-            continue
-        out.append(shape(df.agg(F.count("*").alias("n")), metric))
-        if key and key in df.columns:
-            out.append(shape(df.groupBy(key).agg(F.count("*").alias("n")), by, F.col(key)))
-    if scores is not None:
-        if "labels" in scores.columns:
-            labels = scores.select("target_model", F.explode("labels").alias("label")).groupBy("target_model", "label")
-            out.append(shape(labels.agg(F.count("*").alias("n")), "label_counts_by_target_model", F.col("target_model"), F.col("label")))
-        means = scores.select("scorer_id", F.explode("scores").alias("name", "v")).groupBy("scorer_id", "name")
-        out.append(shape(means.agg(F.avg("v").alias("n")), "average_numeric_score", F.col("scorer_id"), F.col("name")))
+        pairs = {metric: F.lit(None)}
+        if df is not None and key in df.columns:
+            pairs[by] = F.col(key)
+        out.append(_or_zero(shape, results, df, metric, pairs))
+    out.append(_score_metrics(shape, results, scores))
     return reduce(DataFrame.unionByName, out)
 
 
+def _or_zero(shape, results: DataFrame, df: DataFrame | None, metric: str, pairs: dict[str, Column]) -> DataFrame:
+    """Counts of a layer; an absent or empty one still states its zero total."""
+    zero = results.sparkSession.range(1).select(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("key"), F.lit(0).cast("bigint").alias("n"))
+    if df is None:
+        return shape(zero, metric)
+    both = _counts(df, pairs).unionByName(zero).groupBy("metric", "key").agg(F.sum("n").alias("n"))
+    return shape(both, F.col("metric"), F.col("key"))
+
+
+def _score_metrics(shape, results: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Totals, counts by scorer, label counts and mean scores in one pass over the scores."""
+    if scores is None:
+        return _or_zero(shape, results, None, "score_record_count", {})
+    fact = lambda metric, key, sub, value: F.struct(
+        F.lit(metric).alias("metric"), key.cast("string").alias("key"), sub.cast("string").alias("subkey"), value.cast("double").alias("v")
+    )
+    none = F.lit(None)
+    parts = [F.array(fact("score_record_count", none, none, none), fact("counts_by_scorer", F.col("scorer_id"), none, none))]
+    if "labels" in scores.columns:
+        parts.append(F.transform("labels", lambda x: fact("label_counts_by_target_model", F.col("target_model"), x, none)))
+    parts.append(F.transform(F.map_entries("scores"), lambda e: fact("average_numeric_score", F.col("scorer_id"), e["key"], e["value"])))
+    filled = [F.coalesce(p, F.array().cast("array<struct<metric:string,key:string,subkey:string,v:double>>")) for p in parts]
+    facts = scores.select(F.explode(F.concat(*filled)).alias("f")).groupBy("f.metric", "f.key", "f.subkey").agg(F.count("*").alias("n"), F.avg("f.v").alias("mean"))
+    value = F.when(F.col("metric") == "average_numeric_score", F.col("mean")).otherwise(F.col("n"))
+    counted = facts.where((F.col("metric") != "average_numeric_score") | F.col("mean").isNotNull())
+    return shape(counted, F.col("metric"), F.col("key"), F.col("subkey"), value)
+
+
 # --- A3 to A8 -------------------------------------------------------------------------
 def case_stats(cases: DataFrame, family: Column | None = None) -> DataFrame:
     """Counts by modality, split, builder and family as (metric, key, n)."""
