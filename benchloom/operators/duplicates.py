@@ -33,6 +33,8 @@ SHARED = 4
 # Rows a single (token, salt) cell of the candidate join should hold.
 CELL_ROWS = 2_000
 MAX_SALTS = 256
+# Sets with one anchor from which on they are a group of their own.
+POPULAR = 1_000
 
 
 def _similarity():
@@ -110,41 +112,56 @@ def _bucket_classes(sets: DataFrame) -> bytes:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(set, size, token) for the prefix tokens of every non-empty set."""
+    """(id, n, prefix): the prefix tokens of every non-empty set, rare ones first."""
     n = F.size("tokens")
     length = n - F.floor((n * NUM + DEN - 1) / F.lit(DEN)).cast("int") + SHARED
     classes = F.lit(_bucket_classes(sets))
     rank = lambda t: F.substring(classes, _bucket(t) + 1, F.lit(1))
     ordered = F.sort_array(F.transform("tokens", lambda t: F.struct(rank(t).alias("f"), t.alias("t"))))
-    return sets.where(n > 0).select(
-        F.col("set_first").alias("id"), n.alias("n"), F.explode(F.transform(F.slice(ordered, 1, length), lambda s: s["t"])).alias("token")
-    )
+    prefix = F.transform(F.slice(ordered, 1, length), lambda s: s["t"])
+    return sets.where(n > 0).select(F.col("set_first").alias("id"), n.alias("n"), prefix.alias("prefix"))
+
+
+def _tokens(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select("id", "n", F.explode("prefix").alias("token"))
 
 
-def _salts(prefixes: DataFrame) -> DataFrame:
-    """Tokens held by more than one set, with the number of salts a hot one is split into."""
-    sizes = prefixes.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    return sizes.select("token", F.least(F.ceil(F.col("c") / F.lit(CELL_ROWS)), F.lit(MAX_SALTS)).cast("int").alias("salts"))
+def _links(prefixes: DataFrame) -> DataFrame:
+    """(id, link): neighbouring prefix tokens, which near copies share and strangers hardly do."""
+    before, after = F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0))), F.slice("prefix", 2, F.size("prefix"))
+    pairs = F.zip_with(before, after, lambda a, b: F.xxhash64(a, b))
+    return prefixes.select("id", F.explode(pairs).alias("link"))
 
 
 def _length_ok(a: Column, b: Column) -> Column:
     return (F.least(a, b) * DEN) >= (F.greatest(a, b) * NUM)
 
 
-def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Distinct (left < right) ids that share a prefix token and fit in length.
+def _candidates(later: DataFrame, every: DataFrame) -> DataFrame:
+    """(left, right) ids with left below the bound of right that share enough prefix tokens.
 
-    ``later`` carries ``salts``; its rows are spread over the salts of a hot token and each
-    earlier row is copied to all of them, so no cell holds the whole token.
+    ``later``: id, n, token, bound, group; ``every``: id, n, token.  An earlier row is only
+    taken into a group it can be below a bound of.  The later rows of a hot (token, group)
+    are spread over salts and the earlier ones copied to each, so no task holds them all.
     """
-    r = later.select(F.col("id").alias("right"), F.col("n").alias("rn"), "token", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "bound")
-    l = earlier.select(F.col("id").alias("left"), F.col("n").alias("ln"), "token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    joined = l.join(r, ["token", "salt"]).where((F.col("left") < F.col("bound")) & _length_ok(F.col("ln"), F.col("rn")))
-    return _sharing_enough(joined)
+    # Rows whose bound is at most the first id of the token have nothing to try there.
+    heads = every.groupBy("token").agg(F.min("id").alias("head"))
+    live = later.join(heads, "token").where(F.col("head") < F.col("bound"))
+    sizes = live.groupBy("token", "group").agg(F.max("bound").alias("limit"), F.count("*").alias("c"))
+    salts = F.least(F.ceil(F.col("c") / F.lit(CELL_ROWS)), F.lit(MAX_SALTS)).cast("int")
+    groups = sizes.select("token", "group", "limit", salts.alias("salts"))
+    r = live.join(groups.drop("limit"), ["token", "group"]).select(
+        F.col("id").alias("right"), F.col("n").alias("rn"), "token", "group", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "bound"
+    )
+    l = every.join(groups, "token").where(F.col("id") < F.col("limit")).select(
+        F.col("id").alias("left"), F.col("n").alias("ln"), "token", "group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    )
+    joined = l.join(r, ["token", "group", "salt"]).where((F.col("left") < F.col("bound")) & _length_ok(F.col("ln"), F.col("rn")))
+    return _sharing(joined, SHARED)
 
 
-def _sharing_enough(joined: DataFrame) -> DataFrame:
-    return joined.groupBy("left", "right").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("left", "right")
+def _sharing(joined: DataFrame, least: int) -> DataFrame:
+    return joined.groupBy("left", "right").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("left", "right")
 
 
 def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,9 +184,8 @@ def near_set_pairs(index: DuplicateIndex) -> DataFrame:
     Together with ``members`` this states every near-duplicate pair of rows: two rows are
     near duplicates when their sets are equal or paired.  Rows are never multiplied out.
     """
-    prefixes = _prefixes(index.sets)
-    tokens = prefixes.join(_salts(prefixes), "token")
-    later = tokens.withColumn("bound", F.col("id"))
+    tokens = _tokens(_prefixes(index.sets))
+    later = tokens.withColumns({"bound": F.col("id"), "group": F.lit(0).cast("bigint")})
     pairs = _verified(_candidates(later, tokens), index.sets)
     return pairs.select("left", "right", "common", "union_size", (F.col("common") / F.col("union_size")).alias("jaccard"))
 
@@ -177,38 +193,25 @@ def near_set_pairs(index: DuplicateIndex) -> DataFrame:
 def _set_anchors(index: DuplicateIndex) -> DataFrame:
     """Smallest earlier near set per set, in two exact rounds.
 
-    Round one tries only sets that are the first of several prefix tokens: linear, and enough
-    for nearly all members of a family of near copies.  Round two looks at the other earlier sets, but
-    only below what round one found, and not at all where nothing smaller is left.
+    Round one compares each set with the first sets that hold its links: linear, and it
+    settles nearly all members of a family of near copies.  Round two looks at the other
+    earlier sets, but only at those before what round one found.  Sets that share a popular
+    anchor form a group of their own there, so a family never meets its own later members.
     """
     prefixes = cut(_prefixes(index.sets), "prefixes")
-    salted = prefixes.join(_salts(prefixes), "token")
-    heads = prefixes.groupBy("token").agg(F.min("id").alias("head"))
-    tried = _sharing_enough(prefixes.join(heads, "token").where(F.col("head") < F.col("id")).select(F.col("head").alias("left"), F.col("id").alias("right")))
-    found = cut(_verified(tried, index.sets).groupBy("right").agg(F.min("left").alias("best")), "anchors")
-    open_rows = salted.join(found.select(F.col("right").alias("id"), "best"), "id", "left").withColumn("bound", F.coalesce("best", "id"))
-    # Per token, the largest bound of the rows that have an anchor and of those that have none.
-    limits = open_rows.groupBy("token", F.col("best").isNotNull().alias("settled")).agg(F.max("bound").alias("limit"))
-    later = open_rows.withColumn("settled", F.col("best").isNotNull())
-    earlier = salted.join(limits, "token").where(F.col("id") < F.col("limit"))
-    # Rows whose bound is at most the head of the token have nothing left to try there.
-    later = later.join(heads, "token").where(F.col("head") < F.col("bound"))
-    rest = _candidates_by_class(later, earlier)
-    more = _verified(rest, index.sets).groupBy("right").agg(F.min("left").alias("best"))
+    links = _links(prefixes)
+    heads = links.groupBy("link").agg(F.min("id").alias("head"))
+    tried = links.join(heads, "link").where(F.col("head") < F.col("id")).select(F.col("head").alias("left"), F.col("id").alias("right"))
+    found = cut(_verified(_sharing(tried, 2), index.sets).groupBy("right").agg(F.min("left").alias("best")), "anchors")
+    popular = found.groupBy("best").agg(F.count("*").alias("members")).where(F.col("members") >= POPULAR).select("best", F.lit(True).alias("popular"))
+    settled = found.join(popular, "best", "left").select(F.col("right").alias("id"), "best", F.coalesce("popular", F.lit(False)).alias("popular"))
+    tokens = _tokens(prefixes)
+    group = F.when(F.col("popular"), F.col("best")).when(F.col("best").isNotNull(), F.lit(-1)).otherwise(F.lit(-2)).cast("bigint")
+    bounds = prefixes.select("id").join(settled, "id", "left").select("id", F.coalesce("best", "id").alias("bound"), group.alias("group"))
+    more = _verified(_candidates(tokens.join(bounds, "id"), tokens), index.sets).groupBy("right").agg(F.min("left").alias("best"))
     return found.unionByName(more).groupBy("right").agg(F.min("best").alias("anchor"))
 
 
-def _candidates_by_class(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    r = later.select(
-        F.col("id").alias("right"), F.col("n").alias("rn"), "token", "settled", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "bound"
-    )
-    l = earlier.select(
-        F.col("id").alias("left"), F.col("n").alias("ln"), "token", "settled", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    )
-    joined = l.join(r, ["token", "settled", "salt"])
-    return _sharing_enough(joined.where((F.col("left") < F.col("bound")) & _length_ok(F.col("ln"), F.col("rn"))))
-
-
 def near_duplicates(df: DataFrame, text: str = "prompt", seq: str = "seq") -> DataFrame:
     """One row per text that repeats an earlier one: seq, anchor_seq, kind (``exact`` / ``near``).
 

@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,15 +39,19 @@ def stream_deltas(stream: DataFrame, fold: Fold, path: str, checkpoint: str, **t
     return start(stream.writeStream.foreachBatch(sink), checkpoint, **trigger)
 
 
-def read_deltas(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Everything written so far, with the ``batch`` id; empty when nothing was and a schema is given."""
+def read_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """Everything written so far, with the ``batch`` id."""
+    return spark.read.parquet(path)
+
+
+def read_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One folder, or an empty frame of the schema when it is not there."""
     try:
-        reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-        return reader.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
-        if schema is None or exc.getCondition() != "PATH_NOT_FOUND":
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("bigint"))
+        return spark.createDataFrame([], schema)
 
 
 def compact(spark: SparkSession, path: str, target: str, merge: Fold) -> None:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from benchloom.operators.runs import KEY, breach_rank, key_outcomes
-from benchloom.streaming.deltas import read_deltas, start, stream_deltas, write_batch
+from benchloom.operators.runs import KEY, breach_rank, key_outcomes, unannotated
+from benchloom.streaming.deltas import read_folder, start, stream_deltas, write_batch
 
 WATERMARK = "10 minutes"
 
@@ -134,8 +134,8 @@ def budget_monitor(
 ) -> StreamingQuery:
     """One alert per run, at the row that first breaches the budget.
 
-    The state is one failure count per run and batch; a batch is folded to those counts
-    before anything is shuffled.  Only a run that crosses its limit in this batch has its
+    The state is one running failure count per run, written with each batch and read from
+    the batch before; a batch is folded to counts before anything is shuffled.  Only a run that crosses its limit in this batch has its
     rows numbered, in time blocks.  Alerts land in ``path/alerts``, counts in ``path/counts``.
     """
 
@@ -143,7 +143,7 @@ def budget_monitor(
         spark = batch.sparkSession
         batch = batch.persist()
         failed = batch.where(F.col("status") == "failed").groupBy("run_id").agg(F.count("*").alias("failed"))
-        before = read_deltas(spark, f"{path}/counts", _BUDGET).where(F.col("batch") < batch_id).groupBy("run_id").agg(F.sum("failed").alias("so_far"))
+        before = read_folder(spark, f"{path}/counts/batch={batch_id - 1}", _BUDGET).select("run_id", F.col("failed").alias("so_far"))
         limits = planned.select("run_id", "planned_total", breach_rank(F.col("planned_total"), max_failures, max_rate).alias("at"))
         state = failed.join(before, "run_id", "left").join(limits, "run_id").withColumn("so_far", F.coalesce("so_far", F.lit(0)))
         crossing = state.where((F.col("so_far") < F.col("at")) & (F.col("so_far") + F.col("failed") >= F.col("at"))).select(
@@ -152,7 +152,8 @@ def budget_monitor(
         rows = batch.join(crossing.select("run_id"), "run_id", "left_semi")
         hits = _nth_failure(rows, crossing)
         write_batch(hits, f"{path}/alerts", batch_id)
-        write_batch(failed, f"{path}/counts", batch_id)
+        running = before.withColumnRenamed("so_far", "failed").unionByName(failed).groupBy("run_id").agg(F.sum("failed").alias("failed"))
+        write_batch(running, f"{path}/counts", batch_id)
         batch.unpersist()
 
     return start(ledger.writeStream.foreachBatch(sink), checkpoint, **trigger)
@@ -171,16 +172,16 @@ def _nth_failure(rows: DataFrame, crossing: DataFrame) -> DataFrame:
 
 # --- R5 -------------------------------------------------------------------------------
 def incremental_annotation(records: DataFrame, annotations: DataFrame, path: str, checkpoint: str, keys: list[str] = ("source_run_id", "source_record_id"), **trigger) -> StreamingQuery:
-    """Arriving records that are neither annotated nor handed out before, each once."""
+    """Arriving records that are not annotated, each key once over the life of the stream.
+
+    The keys handed out are the stream's state; the finished annotations are joined per batch.
+    """
     keys = list(keys)
-    schema = records.schema
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        handed = read_deltas(batch.sparkSession, path, schema).where(F.col("batch") < batch_id).select(*keys)
-        done = annotations.select(*keys).unionByName(handed).distinct()
-        write_batch(batch.dropDuplicates(keys).join(done, keys, "left_anti"), path, batch_id)
+        write_batch(unannotated(batch, annotations, keys), path, batch_id)
 
-    return start(records.writeStream.foreachBatch(sink), checkpoint, **trigger)
+    return start(records.dropDuplicates(keys).writeStream.outputMode("append").foreachBatch(sink), checkpoint, **trigger)
 
 
 # --- R6 -------------------------------------------------------------------------------

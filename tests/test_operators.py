@@ -97,6 +97,7 @@ def test_pairs_and_members_state_every_pair(spark):
 
 def test_hot_tokens_are_salted(spark, monkeypatch):
     monkeypatch.setattr(D, "CELL_ROWS", 3)
+    monkeypatch.setattr(D, "POPULAR", 4)
     texts = corpus(4)
     df = spark.createDataFrame(list(enumerate(texts)), "seq bigint, prompt string")
     got = {r.seq: (r.anchor_seq, r.kind) for r in D.near_duplicates(df).collect()}
