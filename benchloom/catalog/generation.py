@@ -229,9 +229,35 @@ def _(t):
     return out
 
 
-@query("G5_dedupe_regenerate")
+def _near_ctes(source: str, x: str) -> str:
+    """CTEs ending in ``dup{x}(seq)``: the rows of ``source`` that repeat an earlier one."""
+    return rf"""
+k{x} as (select seq, regexp_replace(lower(prompt), '[^a-z0-9\x{{4e00}}-\x{{9fff}} ]+', ' ', 'g') as k from {source}),
+s{x} as materialized (select seq, k, list_sort(list_distinct(list_filter(string_split(k, ' '), lambda w: w <> ''))) as toks from k{x}),
+d{x} as materialized (select min(seq) as seq, toks, len(toks) as n from s{x} group by toks),
+p{x} as materialized (select y.l, y.r from (select a.seq as l, b.seq as r, a.n + b.n as n, len(list_intersect(a.toks, b.toks)) as c
+  from d{x} a join d{x} b on a.seq < b.seq and a.n * 10 >= b.n * 9 and b.n * 10 >= a.n * 9) y where y.c * 10 >= (y.n - y.c) * 9),
+m{x} as (select seq, min(seq) over (partition by k) as a, min(seq) over (partition by toks) as b from s{x}),
+dup{x} as materialized (select m.seq from m{x} m left join (select r, min(l) as l from p{x} group by 1) q on q.r = m.b where m.a < m.seq or m.b < m.seq or q.l is not null)"""
+
+
+def _drawn_sql(seed: str) -> str:
+    pick = lambda part: _pick_sql(part).replace(f"'42:{part}:'", f"'{seed}:{part}:'")
+    parts = ", ".join(pick(p) for p in POOLS)
+    return rf"trim(regexp_replace(concat_ws(', ', theme, {parts}, 'photorealistic detail'), '\s+', ' ', 'g'))"
+
+
+@query(
+    "G5_dedupe_regenerate",
+    f"""
+with b0 as (select seq, case_id, prompt as theme from v_cases),
+t0 as materialized (select seq, case_id, theme, {_drawn_sql("42")} as prompt from b0), {_near_ctes("t0", "x")},
+t1 as materialized (select t0.seq, case_id, theme, case when dupx.seq is null then prompt else {_drawn_sql("42:1")} end as prompt, dupx.seq is not null as first_pass
+  from t0 left join dupx on dupx.seq = t0.seq), {_near_ctes("t1", "y")}
+select t1.seq, md5(case when dupy.seq is null then prompt else {_drawn_sql("42:2")} end) as digest, case when dupy.seq is not null then 2 when first_pass then 1 end as last_pass
+from t1 left join dupy on dupy.seq = t1.seq""",
+)
 def _(t):
-    """Drafts whose theme is a whole document; checked by brute force in the tests."""
     samples = t("v_cases").select(F.col("case_id").alias("sample_id"), "seq", F.col("prompt").alias("theme"))
     final, log = TH.dedupe_regenerate(TH.compose_drafts(samples, POOLS, "keyword_list"), POOLS, "keyword_list")
     passes = log.groupBy("seq").agg(F.max("dedupe_pass").cast("bigint").alias("last_pass"))

@@ -196,6 +196,10 @@ def _draft(pools: dict[str, list[str]], seed: Column | int, sample: Column | str
 
 
 def _render(draft: dict[str, Column], style: str) -> Column:
+    return normalize_text(_sentence(draft, style))
+
+
+def _sentence(draft: dict[str, Column], style: str) -> Column:
     theme = F.col("theme")
     d = draft
     if style == "keyword_list":
@@ -214,7 +218,7 @@ def _render(draft: dict[str, Column], style: str) -> Column:
 def compose_drafts(samples: DataFrame, pools: dict[str, list[str]], style: str = "detailed", seed: Column | int = 42) -> DataFrame:
     """Adds the six draft parts and the rendered ``prompt``; picks depend on seed and sample id only."""
     draft = _draft(pools, seed, "sample_id")
-    return samples.withColumns({**draft, "prompt": normalize_text(_render(draft, style)) if style == "keyword_list" else _render(draft, style)})
+    return samples.withColumns({**draft, "prompt": _render(draft, style)})
 
 
 # --- G5 -------------------------------------------------------------------------------
