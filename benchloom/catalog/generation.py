@@ -13,6 +13,7 @@ from benchloom.operators import duplicates as D
 from benchloom.operators import realizations as RZ
 from benchloom.operators import summaries as SM
 from benchloom.operators import themes as TH
+from benchloom.session import cut
 
 MSG = fixed.GUARD_MESSAGES
 
@@ -96,7 +97,7 @@ def _(t):
 
 
 def draws(t: Tables) -> DataFrame:
-    tree = nodes(t)
+    tree = cut(nodes(t), "nodes")
     return TH.draw_themes(tree, TH.theme_quota_plan(tree, COUNTS, DEFAULTS), 42)
 
 

@@ -184,7 +184,7 @@ def near_set_pairs(index: DuplicateIndex) -> DataFrame:
     Together with ``members`` this states every near-duplicate pair of rows: two rows are
     near duplicates when their sets are equal or paired.  Rows are never multiplied out.
     """
-    tokens = _tokens(_prefixes(index.sets))
+    tokens = _tokens(cut(_prefixes(index.sets), "prefixes"))
     later = tokens.withColumns({"bound": F.col("id"), "group": F.lit(0).cast("bigint")})
     pairs = _verified(_candidates(later, tokens), index.sets)
     return pairs.select("left", "right", "common", "union_size", (F.col("common") / F.col("union_size")).alias("jaccard"))
