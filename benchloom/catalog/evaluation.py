@@ -297,20 +297,20 @@ def _(t):
 @query(
     "J2_attach_responses",
     """
-select r.request_id, r.target_model, r.case_id, c.family_id, r.response_text, null as error from v_results r join
+select concat('task:', r.target_model, ':', r.case_id) as request_id, r.target_model, r.case_id, c.family_id, r.source_record_id, r.response_text, null as error from v_results r join
   (select concat('conv_', cast(doc_id as varchar(20))) as case_id, source as family_id from documents) c on r.case_id = c.case_id
-union all select null, 'model_9', null, null, null, 'no response rows for target'""",
+union all select null, 'model_9', null, null, null, null, 'no response rows for target'""",
 )
 def _(t):
+    """Several responses to one request all attach; a target without any is a failure row."""
     from benchloom.operators import requests as RQ
 
+    targets = ["model_0", "model_1", "model_2", "model_9"]
     cases = t("documents").select(F.concat(F.lit("conv_"), F.col("doc_id").cast("string")).alias("case_id"), F.col("source").alias("family_id"))
-    turns = t("v_results").select("turn").distinct()
-    asked = RQ.expand_requests(cases, ["model_0", "model_1", "model_2", "model_9"], "task").crossJoin(F.broadcast(turns))
-    requests = asked.withColumn("request_id", F.concat(F.replace("case_id", F.lit("conv_"), F.lit("req_")), F.lit("_"), F.col("turn").cast("string"))).drop("turn")
-    responses = t("v_results").select(F.col("request_id").alias("prompt_id"), "target_model", "response_text")
-    results, failures = RQ.attach_responses(requests, responses, ["model_0", "model_1", "model_2", "model_9"])
-    good = results.select("request_id", "target_model", "case_id", "family_id", "response_text")
+    requests = RQ.expand_requests(cases, targets, "task")
+    responses = t("v_results").select(F.concat_ws(":", F.lit("task"), "target_model", "case_id").alias("prompt_id"), "target_model", "source_record_id", "response_text")
+    results, failures = RQ.attach_responses(requests, responses, targets)
+    good = results.select("request_id", "target_model", "case_id", "family_id", "source_record_id", "response_text")
     return good.unionByName(failures.select("target_model", "error"), allowMissingColumns=True)
 
 
@@ -600,7 +600,7 @@ def _(t):
     hooks.register_plugin("broken", broken)
     outputs, errors = hooks.run_plugins({"results": t("v_results")})
     out = outputs["per_model"].unionByName(outputs["models"])
-    failed = t("v_results").limit(1).select(F.lit("broken").alias("key"), F.lit(len(errors)).cast("bigint").alias("n"), F.lit("errors").alias("plugin_id"))
+    failed = t("v_results").agg(F.max(F.lit(len(errors)).cast("bigint")).alias("n")).select(F.lit("broken").alias("key"), "n", F.lit("errors").alias("plugin_id"))
     return out.unionByName(failed)
 
 

@@ -135,11 +135,9 @@ def rule_scores(results: DataFrame, rules: list[Rule], reply: str = "response_te
         ]
     )
     none = F.array().cast("array<string>")
-    empty = results.limit(0)
-    rows = (results if known else empty).select(*_carry(results), F.explode(scored).alias("r")) if known else None
     scores = None
-    if rows is not None:
-        scores = rows.select(
+    if known:
+        scores = results.select(*_carry(results), F.explode(scored).alias("r")).select(
             *_carry(results),
             F.col("r.scorer_id").alias("scorer_id"),
             F.lit("success").alias("status"),
@@ -156,7 +154,8 @@ def rule_scores(results: DataFrame, rules: list[Rule], reply: str = "response_te
         ).alias("f"),
     ).select(*_carry(results), F.lit("rule_scorer").alias("stage"), "f.scorer_id", "f.error")
     if scores is None:
-        scores = failed.limit(0).select(*_carry(results), "scorer_id")
+        typed = {"status": "string", "labels": "array<string>", "scores": "map<string,double>", "rationale": "string"}
+        scores = failed.where(F.lit(False)).select(*_carry(results), "scorer_id", *[F.lit(None).cast(k).alias(c) for c, k in typed.items()])
     return scores, failed
 
 

@@ -145,7 +145,10 @@ def _score_metrics(shape, results: DataFrame, scores: DataFrame | None) -> DataF
     facts = scores.select(F.explode(F.concat(*filled)).alias("f")).groupBy("f.metric", "f.key", "f.subkey").agg(F.count("*").alias("n"), F.avg("f.v").alias("mean"))
     value = F.when(F.col("metric") == "average_numeric_score", F.col("mean")).otherwise(F.col("n"))
     counted = facts.where((F.col("metric") != "average_numeric_score") | F.col("mean").isNotNull())
-    return shape(counted, F.col("metric"), F.col("key"), F.col("subkey"), value)
+    rows = shape(counted, F.col("metric"), F.col("key"), F.col("subkey"), value)
+    # An empty layer still states its zero total.
+    zero = _or_zero(shape, results, None, "score_record_count", {})
+    return rows.unionByName(zero).groupBy("metric", "key", "subkey").agg(F.sum("value").alias("value"))
 
 
 # --- A3 to A8 -------------------------------------------------------------------------

@@ -142,3 +142,11 @@ def test_evaluate_end_to_end(spark):
     assert summary[("target_result_count", None, None)] == 2 and summary[("failure_count", None, None)] == 2
     assert summary[("counts_by_scorer", "judge", None)] == 1 and summary[("average_numeric_score", "r", "matched")] == 0.5
     assert {r.stage for r in out["failures"].collect()} == {"target_execution", "parse"}
+
+
+def test_evaluate_without_any_scorer(spark):
+    cases = spark.sql("select 'c1' case_id, 'b' benchmark_id, 's' split, 'g' group_key")
+    responses = spark.sql("select 't:m1:c1' prompt_id, 'm1' target_model, 'ra' source_run_id, 'rec1' source_record_id, 'sure' response_text")
+    out = E.evaluate(cases, E.plan_requests(cases, ["m1"], "t"), responses, [RS.Normalizer("n")], [])
+    assert [(r.scorer_id, r.score_record_count) for r in out["group_analysis"].collect()] == [(None, 0)]
+    assert out["failures"].count() == 0 and out["summary"].where("metric = 'score_record_count' and value = 0").count() == 1
