@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from benchloom.llm import dac
+from benchloom.llm import dac, jump, mixing, prefix_bpe
 from benchloom.llm.common import table
 from benchloom.session import scratch_path
 
+SHARDS = 16
+ENTROPY = 0.97  # of the greatest entropy
+
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written as directly addressable codes and read back."""
@@ -17,5 +21,27 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.document_digests(dac.read_segments(spark, path))
 
 
-QUERIES = {"op1_token_codes": op1_token_codes}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture deals it, with its epoch, block and place."""
+    rows, totals = mixing.source_totals(table(spark, sf_dir, "documents"))
+    return mixing.realise(rows, mixing.weights(totals, entropy=ENTROPY))
+
+
+def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard, slot and shard after one more is appended."""
+    return jump.assign(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by prefix dynamic programming and decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = prefix_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    decoded = ids.withColumn("decoded", prefix_bpe.decode(F.col("ids"), path))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_codes, op3_mixing, op8_jump_shards, op10_prefix_bpe)}
 ORACLE: dict[str, str] = {}
