@@ -173,6 +173,8 @@ class TextEncoder:
         after = text[:start] + new + text[end:]
         shift = len(new) - (end - start)
         keep = max(0, sum(b <= start for _, b in spans) - 1)
+        while keep and text[slice(*spans[keep - 1])].isspace():  # a run of white space is cut by what follows it
+            keep -= 1
         out = spans[:keep]
         starts = {a + shift: k for k, (a, _) in enumerate(spans) if a >= end}
         fresh = 0
