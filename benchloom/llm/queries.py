@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import dac, jump, mixing, prefix_bpe
+from benchloom.llm import dac, jump, mixing, prefix_bpe, simhash
 from benchloom.llm.common import table
 from benchloom.session import scratch_path
 
@@ -21,6 +21,11 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.document_digests(dac.read_segments(spark, path))
 
 
+def op2_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its near-duplicate component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture deals it, with its epoch, block and place."""
     rows, totals = mixing.source_totals(table(spark, sf_dir, "documents"))
@@ -43,5 +48,5 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op3_mixing, op8_jump_shards, op10_prefix_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_covering_simhash, op3_mixing, op8_jump_shards, op10_prefix_bpe)}
 ORACLE: dict[str, str] = {}
