@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import dac, jump, mixing, prefix_bpe, simhash
+import corpus_pipeline
+from benchloom.llm import dac, jump, langid, mixing, prefix_bpe, simhash, toxicity
 from benchloom.llm.common import table
 from benchloom.session import scratch_path
 
@@ -32,6 +33,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.realise(rows, mixing.weights(totals, entropy=ENTROPY))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.classify(docs, langid.learn(docs))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learned from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, slot and shard after one more is appended."""
     return jump.assign(table(spark, sf_dir, "documents"), SHARDS)
@@ -48,5 +61,6 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_covering_simhash, op3_mixing, op8_jump_shards, op10_prefix_bpe)}
+OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op7_toxicity, op8_jump_shards, op10_prefix_bpe]
+QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {}
