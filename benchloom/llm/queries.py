@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from benchloom.llm import dac, jump, langid, mixing, prefix_bpe, simhash, toxicity
+from benchloom.llm import dac, jump, langid, mixing, prefix_bpe, simhash, toxicity, warc
 from benchloom.llm.common import table
 from benchloom.session import scratch_path
 
@@ -50,6 +50,13 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump.assign(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by prefix dynamic programming and decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +68,6 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op7_toxicity, op8_jump_shards, op10_prefix_bpe]
+OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op7_toxicity, op8_jump_shards, op9_warc, op10_prefix_bpe]
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {}
