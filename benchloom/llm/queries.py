@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from benchloom.llm import dac, jump, langid, mixing, prefix_bpe, pstable, simhash, toxicity, warc
+from benchloom.llm import dac, jump, langid, mixing, postings, prefix_bpe, pstable, simhash, toxicity, warc
 from benchloom.llm.common import table
 from benchloom.session import scratch_path
 
@@ -44,6 +44,11 @@ def op5_pstable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of each twentieth vector."""
+    return postings.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, learned from the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -73,6 +78,6 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op5_pstable_dedup, op7_toxicity, op8_jump_shards, op9_warc, op10_prefix_bpe]
+OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op5_pstable_dedup, op6_posting_lists, op7_toxicity, op8_jump_shards, op9_warc, op10_prefix_bpe]
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {}
