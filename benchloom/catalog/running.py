@@ -354,12 +354,12 @@ def _run(query_) -> None:
 
 @query("R1_ledger_sink", "select event_id, run_id, model_name, prompt_id, status from v_ledger")
 def _(t):
-    """Every row is delivered twice; the sink keeps one."""
+    """Every row is delivered twice; the ledger shows one."""
     base = scratch_path(t.spark, "r1")
     rows = _stream(t, _ledger_columns())
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    _run(L.ledger_sink(twice, f"{base}/out", f"{base}/cp", ["run_id", "event_id"], available_now=True))
-    return t.spark.read.parquet(f"{base}/out").select("event_id", "run_id", "model_name", "prompt_id", "status")
+    _run(L.ledger_sink(twice, f"{base}/out", f"{base}/cp", available_now=True))
+    return L.ledger_rows(read_deltas(t.spark, f"{base}/out"), ["run_id", "event_id"]).select("event_id", "run_id", "model_name", "prompt_id", "status")
 
 
 @query("R2_ledger_state", f"{OUTCOME_SQL} select model_name, prompt_id, case rank when 2 then 'success' else 'failed' end as state from o")
@@ -380,7 +380,7 @@ def _(t):
     base = scratch_path(t.spark, "r3")
     by = ["run_id", "model_name"]
     _run(L.stream_throughput(_stream(t, _ledger_columns()), f"{base}/out", f"{base}/cp", by, available_now=True))
-    rows = L.latest(read_deltas(t.spark, f"{base}/out"), ["window_start", "window_end", *by])
+    rows = L.merge_throughput(read_deltas(t.spark, f"{base}/out"), by)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *by, "processed", "succeeded", "failed", "rate_per_min")
 
 

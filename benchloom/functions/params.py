@@ -18,8 +18,9 @@ def _text(v: Column) -> Column:
 
 def _int(v: Column, kind: Column) -> Column:
     whole = F.when(_text(v).rlike(r"^[+-]?\d+$"), _text(v).try_cast("bigint"))
+    # whole numbers stay whole: a double holds them exactly up to 2^53 only
     number = F.try_variant_get(v, "$", "double").try_cast("bigint")
-    return F.when(kind == "STRING", whole).when(kind != "BOOLEAN", number)
+    return F.when(kind == "STRING", whole).when(kind.isin("LONG", "BIGINT"), F.try_variant_get(v, "$", "bigint")).when(kind != "BOOLEAN", number)
 
 
 def _float(v: Column, kind: Column) -> Column:

@@ -228,13 +228,24 @@ def union_runs(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def merge_runs(dfs: list[DataFrame] | DataFrame, manifests: DataFrame, order: list[str] = ("run_order", "record_id")) -> DataFrame:
-    """Union of several runs with their lineage, renumbered densely in run order."""
+def merge_runs(dfs: list[DataFrame] | DataFrame, manifests: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Union of several runs with their lineage, renumbered densely in run order.
+
+    By default the records of a run follow the number in their id, ids without one the others.
+    """
     merged = union_runs(dfs) if isinstance(dfs, list) else dfs
-    lineage = first_wins(
+    if order is None:
+        number = F.regexp_extract("record_id", r"(\d+)$", 1)
+        merged = merged.withColumn("__number", F.when(number != "", number.try_cast("decimal(38,0)")))
+        merged = merged.withColumn("__unnumbered", F.col("__number").isNull())
+        order = ["run_order", "__unnumbered", "__number", "record_id"]
+    return number_records(merged.join(_lineage(manifests), "run_id", "left"), list(order)).drop("__number", "__unnumbered")
+
+
+def _lineage(manifests: DataFrame) -> DataFrame:
+    return first_wins(
         manifests.select("run_id", "parent_run_id", "source_run_id", "recovery_mode"), ["run_id"], ["parent_run_id"]
     ).select("run_id", F.struct("parent_run_id", "source_run_id", "recovery_mode").alias("source_run_lineage"))
-    return number_records(merged.join(lineage, "run_id", "left"), list(order))
 
 
 # --- W10 ------------------------------------------------------------------------------
@@ -267,14 +278,15 @@ def failure_budget(
 ) -> DataFrame:
     """First breaching row per run with the failures and the rate at that point.
 
-    ``planned``: run_id, planned_total.  Only failed rows are numbered, per run and time
-    block, so a run with most of the rows is spread over its blocks.
+    ``planned``: run_id, planned_total; a run without a plan counts as 0 planned, so only the
+    count limit holds for it.  Only failed rows are numbered, per run and time block, so a run
+    with most of the rows is spread over its blocks.
     """
-    limits = planned.select("run_id", "planned_total", breach_rank(F.col("planned_total"), max_failures, max_rate).alias("__at"))
     failed = ledger.where(F.col("status") == "failed").select("run_id", "ts", "event_id")
     block = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(block_seconds * 1_000_000))
     numbered = blockwise_row_number(failed, ["run_id"], ["ts", "event_id"], block, "failed_outputs")
-    hit = numbered.join(limits, "run_id").where(F.col("failed_outputs") == F.col("__at"))
+    known = numbered.join(planned.select("run_id", "planned_total"), "run_id", "left").withColumn("planned_total", F.coalesce("planned_total", F.lit(0)))
+    hit = known.where(F.col("failed_outputs") == breach_rank(F.col("planned_total"), max_failures, max_rate))
     rate = F.when(F.col("planned_total") > 0, F.col("failed_outputs") / F.col("planned_total")).otherwise(0.0)
     return hit.select("run_id", "ts", "event_id", "failed_outputs", rate.alias("failure_rate"))
 

@@ -11,22 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from benchloom.operators.keyed import first_wins
 from benchloom.operators.runs import KEY, breach_rank, key_outcomes, unannotated
 from benchloom.streaming.deltas import read_folder, start, stream_deltas, write_batch
 
-WATERMARK = "10 minutes"
-
 
 # --- R1 -------------------------------------------------------------------------------
-def unique_rows(stream: DataFrame, keys: list[str], watermark: str = WATERMARK) -> DataFrame:
-    """Rows redelivered within the watermark are dropped; works on streams."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+def ledger_sink(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends every row, however late it comes, one folder per micro-batch; a replayed batch overwrites its own."""
+    return stream_deltas(stream, lambda batch: batch, path, checkpoint, **trigger)
 
 
-def ledger_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], watermark: str = WATERMARK, **trigger) -> StreamingQuery:
-    """Append-only, exactly-once ledger files; a redelivered row is written once."""
-    rows = unique_rows(stream, keys, watermark)
-    return start(rows.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, **trigger)
+def ledger_rows(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The ledger as written by ``ledger_sink``: of a redelivered row, the one that came first."""
+    return first_wins(written, keys, ["batch"]).select(*[c for c in written.columns if c != "batch"])
 
 
 # --- R2 -------------------------------------------------------------------------------
@@ -45,45 +43,30 @@ def _done(name: str = "status") -> tuple[Column, Column]:
     return F.count_if(F.col(name) == "success"), F.count_if(F.col(name) == "failed")
 
 
-def throughput(ledger: DataFrame, by: list[str], window: str = "1 hour", slide: str | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Per window: processed, succeeded, failed and the rate per minute (3 decimals, half-even).
-
-    Tumbling, or sliding with ``slide``.  On a stream, rows later than the watermark are
-    dropped and show up in the query's progress.
-    """
+def throughput_fold(ledger: DataFrame, by: list[str], window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Mergeable counts per window, tumbling or sliding with ``slide``."""
     ok, bad = _done()
-    rows = ledger.where(F.col("status").isin("success", "failed"))
-    rows = rows.withWatermark("ts", watermark) if ledger.isStreaming else rows
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    agg = rows.groupBy(w.alias("w"), *by).agg(ok.alias("succeeded"), bad.alias("failed"))
-    minutes = (F.unix_micros("w.end") - F.unix_micros("w.start")) / F.lit(60_000_000)
-    done = F.col("succeeded") + F.col("failed")
-    return agg.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
-        done.alias("processed"), "succeeded", "failed", F.bround(done / minutes, 3).alias("rate_per_min"),
-    )
-
+    agg = ledger.where(F.col("status").isin("success", "failed")).groupBy(w.alias("w"), *by).agg(ok.alias("succeeded"), bad.alias("failed"))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "succeeded", "failed")
 
-def stream_throughput(ledger: DataFrame, path: str, checkpoint: str, by: list[str], window: str = "1 hour", slide: str | None = None, watermark: str = WATERMARK, **trigger) -> StreamingQuery:
-    """Current value of every window that changed, per batch; read with ``latest``."""
-    rows = throughput(ledger, by, window, slide, watermark)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
-
-    return start(rows.writeStream.outputMode("update").foreachBatch(sink), checkpoint, **trigger)
+def merge_throughput(folds: DataFrame, by: list[str]) -> DataFrame:
+    """Per window: processed, succeeded, failed and the rate per minute (3 decimals, half-even)."""
+    agg = folds.groupBy("window_start", "window_end", *by).agg(F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"))
+    minutes = (F.unix_micros("window_end") - F.unix_micros("window_start")) / F.lit(60_000_000)
+    done = F.col("succeeded") + F.col("failed")
+    return agg.select("window_start", "window_end", *by, done.alias("processed"), "succeeded", "failed", F.bround(done / minutes, 3).alias("rate_per_min"))
 
 
-def latest(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    """The last written row per key."""
-    rest = [c for c in deltas.columns if c not in (*keys, "batch")]
-    best = deltas.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return best.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
+def throughput(ledger: DataFrame, by: list[str], window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Batch form of the same measure."""
+    return merge_throughput(throughput_fold(ledger, by, window, slide), by)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark, over the progress kept by the query."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p.get("stateOperators", []))
+def stream_throughput(ledger: DataFrame, path: str, checkpoint: str, by: list[str], window: str = "1 hour", slide: str | None = None, **trigger) -> StreamingQuery:
+    """Counts per window and batch; read with ``merge_throughput``.  Late rows count whenever they come."""
+    return stream_deltas(ledger, lambda batch: throughput_fold(batch, by, window, slide), path, checkpoint, **trigger)
 
 
 def progress_fold(ledger: DataFrame, by: list[str]) -> DataFrame:
@@ -145,7 +128,9 @@ def budget_monitor(
         failed = batch.where(F.col("status") == "failed").groupBy("run_id").agg(F.count("*").alias("failed"))
         before = read_folder(spark, f"{path}/counts/batch={batch_id - 1}", _BUDGET).select("run_id", F.col("failed").alias("so_far"))
         limits = planned.select("run_id", "planned_total", breach_rank(F.col("planned_total"), max_failures, max_rate).alias("at"))
-        state = failed.join(before, "run_id", "left").join(limits, "run_id").withColumn("so_far", F.coalesce("so_far", F.lit(0)))
+        state = failed.join(before, "run_id", "left").join(limits, "run_id", "left").withColumns(
+            {"so_far": F.coalesce("so_far", F.lit(0)), "at": F.coalesce("at", breach_rank(F.lit(0), max_failures, max_rate)), "planned_total": F.coalesce("planned_total", F.lit(0))}
+        )
         crossing = state.where((F.col("so_far") < F.col("at")) & (F.col("so_far") + F.col("failed") >= F.col("at"))).select(
             "run_id", "planned_total", "so_far", F.col("at").alias("full_at")
         )
@@ -174,14 +159,19 @@ def _nth_failure(rows: DataFrame, crossing: DataFrame) -> DataFrame:
 def incremental_annotation(records: DataFrame, annotations: DataFrame, path: str, checkpoint: str, keys: list[str] = ("source_run_id", "source_record_id"), **trigger) -> StreamingQuery:
     """Arriving records that are not annotated, each key once over the life of the stream.
 
-    The keys handed out are the stream's state; the finished annotations are joined per batch.
+    What was handed out in earlier batches stands in ``path``; it and the finished annotations
+    are joined per batch, so no state store holds the keys.
     """
     keys = list(keys)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(unannotated(batch, annotations, keys), path, batch_id)
+        spark = batch.sparkSession
+        new = unannotated(batch.dropDuplicates(keys), annotations, keys)
+        schema = T.StructType([*[batch.schema[k] for k in keys], T.StructField("batch", T.LongType())])
+        handed = read_folder(spark, path, schema).where(F.col("batch") < batch_id).select(*keys)
+        write_batch(new.join(handed, keys, "left_anti"), path, batch_id)
 
-    return start(records.dropDuplicates(keys).writeStream.outputMode("append").foreachBatch(sink), checkpoint, **trigger)
+    return start(records.writeStream.foreachBatch(sink), checkpoint, **trigger)
 
 
 # --- R6 -------------------------------------------------------------------------------

@@ -55,22 +55,22 @@ def test_windows_over_batches(spark, ledger, files):
     base = scratch_path(spark, "windows")
     by = ["run_id", "model_name"]
     L.stream_throughput(stream(spark, ledger, files), f"{base}/out", f"{base}/cp", by, window="2 hours", available_now=True).awaitTermination()
-    got = L.latest(read_deltas(spark, f"{base}/out"), ["window_start", "window_end", *by])
-    same(got, L.throughput(ledger, by, "2 hours"))
+    same(L.merge_throughput(read_deltas(spark, f"{base}/out"), by), L.throughput(ledger, by, "2 hours"))
 
 
-def test_late_rows_are_dropped_and_counted(spark, ledger):
+def test_late_rows_count(spark, ledger):
+    """Rows that come hours late, in a later batch and a second run, are written and counted."""
     path, base = scratch_path(spark, "late"), scratch_path(spark, "late-out")
     done = ledger.where("status <> 'running'")
-    done.where("ts > '2024-01-01 12:00:00'").coalesce(1).write.mode("append").parquet(path)
-    query = lambda: L.stream_throughput(stream(spark, ledger, path), f"{base}/out", f"{base}/cp", ["run_id"], available_now=True)
-    query().awaitTermination()
-    done.where("ts < '2024-01-01 06:00:00'").coalesce(1).write.mode("append").parquet(path)
-    second = query()
-    second.awaitTermination()
-    assert L.late_rows(second) > 0
-    starts = L.latest(read_deltas(spark, f"{base}/out"), ["window_start", "run_id"]).agg(F.min("window_start").alias("m")).first().m
-    assert str(starts) >= "2024-01-01 12:00:00"
+    rates = lambda: L.stream_throughput(stream(spark, ledger, path), f"{base}/out", f"{base}/cp", ["run_id"], available_now=True)
+    rows = lambda: L.ledger_sink(stream(spark, ledger, path), f"{base}/rows", f"{base}/cp2", available_now=True)
+    parts = ["ts > '2024-01-01 12:00:00'", "ts < '2024-01-01 06:00:00'", "ts >= '2024-01-01 06:00:00' and ts <= '2024-01-01 12:00:00'"]
+    for part in parts:
+        done.where(part).coalesce(1).write.mode("append").parquet(path)
+        rates().awaitTermination()
+        rows().awaitTermination()
+    same(L.merge_throughput(read_deltas(spark, f"{base}/out"), ["run_id"]), L.throughput(done, ["run_id"]))
+    same(L.ledger_rows(read_deltas(spark, f"{base}/rows"), ["run_id", "event_id"]), done)
 
 
 def test_snapshot(spark, ledger, files):
@@ -103,6 +103,20 @@ def test_budget_alerts_once_per_run(spark, ledger, files, limits):
     same(alerts, RN.failure_budget(ledger, plan, **limits))
 
 
+def test_budget_without_a_plan(spark):
+    """A run that no plan names is held to the count limit alone."""
+    rows = [("r", f"2024-01-01 00:00:0{k}", k, "failed") for k in range(5)]
+    ledger = spark.createDataFrame(rows, "run_id string, ts string, event_id bigint, status string").withColumn("ts", F.col("ts").cast("timestamp"))
+    plan = spark.createDataFrame([], "run_id string, planned_total bigint")
+    got = RN.failure_budget(ledger, plan, max_failures=1).collect()
+    assert [(r.event_id, r.failed_outputs, r.failure_rate) for r in got] == [(1, 2, 0.0)]
+    assert RN.failure_budget(ledger, plan, max_rate=0.1).count() == 0
+    path, base = scratch_path(spark, "noplan"), scratch_path(spark, "noplan-out")
+    ledger.coalesce(1).write.parquet(path)
+    L.budget_monitor(L.read_stream(spark, path, ledger.schema), plan, f"{base}/out", f"{base}/cp", 1, 0.1, available_now=True).awaitTermination()
+    assert [(r.event_id, r.failed_outputs) for r in read_deltas(spark, f"{base}/out/alerts").collect()] == [(1, 2)]
+
+
 def test_incremental_annotation_hands_out_once(spark, ledger, files):
     base = scratch_path(spark, "ann")
     rename = lambda df: df.select(F.col("run_id").alias("source_run_id"), F.col("prompt_id").alias("source_record_id"), "event_id")
@@ -118,8 +132,8 @@ def test_sink_drops_redelivered_rows(spark, ledger, files):
     base = scratch_path(spark, "sink")
     again = stream(spark, ledger, files)
     twice = again.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    L.ledger_sink(twice, f"{base}/out", f"{base}/cp", ["run_id", "event_id"], available_now=True).awaitTermination()
-    same(spark.read.parquet(f"{base}/out"), ledger)
+    L.ledger_sink(twice, f"{base}/out", f"{base}/cp", available_now=True).awaitTermination()
+    same(L.ledger_rows(read_deltas(spark, f"{base}/out"), ["run_id", "event_id"]), ledger)
 
 
 def test_stage_pairs(spark, ledger, files):
