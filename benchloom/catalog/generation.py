@@ -26,11 +26,6 @@ p as materialized (select x.l, x.r, x.c, x.n - x.c as u from (select a.seq as l,
   from d a join d b on a.seq < b.seq and a.n * 10 >= b.n * 9 and b.n * 10 >= a.n * 9) x where x.c * 10 >= (x.n - x.c) * 9)"""
 
 
-@query("J14_near_set_pairs", f'{TOKENS_SQL} select l as "left", r as "right", c as common, u as union_size, c / cast(u as double) as jaccard from p')
-def _(t):
-    return D.near_set_pairs(D.duplicate_index(t("v_prompt_texts")))
-
-
 @query(
     "J14_duplicate_members",
     f"{TOKENS_SQL} select seq, min(seq) over (partition by k) as text_first, min(seq) over (partition by toks) as set_first from s",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from benchloom import fixed
 from benchloom.functions import variants as V
-from benchloom.functions.text import WS, blank_to_null, col, strip_ws
+from benchloom.functions.text import WS, blank_to_null, col, java_pattern, strip_ws
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def pattern_value(reply: Column | str, patterns: list[str]) -> Column:
     """Group 1 of the first pattern with a non-blank hit, cut at the fixed length."""
     return _first(
         [
-            F.substring(blank_to_null(F.regexp_extract(col(reply), f"(?ismU){p}", 1)), 1, fixed.PATTERN_VALUE_CHARS)
+            F.substring(blank_to_null(F.regexp_extract(col(reply), f"(?ismU){java_pattern(p)}", 1)), 1, fixed.PATTERN_VALUE_CHARS)
             for p in patterns
         ]
     )

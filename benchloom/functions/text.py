@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -103,3 +104,19 @@ def digits(n: Column, width: int) -> Column:
     """Zero-padded number that grows beyond ``width`` instead of being cut."""
     text = n.cast("string")
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def java_pattern(pattern: str) -> str:
+    """A Python pattern with its named groups spelled as Java has them; underscores, which Java names lack, become ``U``."""
+    name = lambda m: m[1].replace("_", "U")
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m)}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{name(m)}>", pattern)
+
+
+def pattern_error(spark: SparkSession, pattern: str) -> str | None:
+    """Why Spark cannot use the pattern, or None; a constant expression, so no task runs."""
+    try:
+        spark.sql("select '' rlike :p", args={"p": pattern}).collect()
+    except Exception as exc:  # noqa: BLE001 - any complaint is the answer
+        return str(exc).splitlines()[0]
+    return None

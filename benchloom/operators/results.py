@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchloom.functions import signals, variants as V
 from benchloom.functions.replies import ReplySpec, json_payload, reasoning_tail, tag_reply
-from benchloom.functions.text import blank_to_null, strip_ws
+from benchloom.functions.text import blank_to_null, java_pattern, pattern_error, strip_ws
 from benchloom.operators.keyed import last_wins, preference
 
 _CARRY = [
@@ -111,17 +111,30 @@ def _rule_match(rule: Rule, text: Column) -> Column:
         if rule.rule_type == "contains_any":
             hit = hit | F.lower(text).contains(p.lower())
         elif rule.rule_type == "regex_any":
-            hit = hit | text.rlike("(?iU)" + p)
+            hit = hit | text.rlike("(?iU)" + java_pattern(p))
         else:
             hit = hit | (strip_ws(text) == p.strip())
     return hit
 
 
+def _rule_error(spark: SparkSession, rule: Rule) -> str | None:
+    if rule.rule_type not in RULE_TYPES:
+        return f"unsupported rule type: {rule.rule_type}"
+    if rule.rule_type != "regex_any":
+        return None
+    return next((f"bad pattern {p}: {e}" for p in rule.patterns if (e := pattern_error(spark, "(?iU)" + java_pattern(p)))), None)
+
+
 def rule_scores(results: DataFrame, rules: list[Rule], reply: str = "response_text") -> tuple[DataFrame, DataFrame]:
-    """(scores, failures).  All rules are one projection followed by one explode; no join."""
+    """(scores, failures).  All rules are one projection followed by one explode; no join.
+
+    A rule of an unknown type or with a pattern that cannot be compiled gives failures, the
+    other rules their scores.
+    """
     text = F.coalesce(F.col(reply), F.lit(""))
-    known = [r for r in rules if r.rule_type in RULE_TYPES]
-    unknown = [r for r in rules if r.rule_type not in RULE_TYPES]
+    errors = {r.scorer_id: _rule_error(results.sparkSession, r) for r in rules}
+    known = [r for r in rules if errors[r.scorer_id] is None]
+    unknown = [r for r in rules if errors[r.scorer_id] is not None]
     scored = F.array(
         *[
             F.struct(
@@ -148,7 +161,7 @@ def rule_scores(results: DataFrame, rules: list[Rule], reply: str = "response_te
     failed = results.select(
         *_carry(results),
         F.explode(
-            F.array(*[F.struct(F.lit(r.scorer_id).alias("scorer_id"), F.lit(f"unsupported rule type: {r.rule_type}").alias("error")) for r in unknown])
+            F.array(*[F.struct(F.lit(r.scorer_id).alias("scorer_id"), F.lit(errors[r.scorer_id]).alias("error")) for r in unknown])
             if unknown
             else F.array().cast("array<struct<scorer_id:string,error:string>>")
         ).alias("f"),
@@ -180,7 +193,7 @@ def parse_annotations(replies: DataFrame, required: list[str] = (), reply: str =
 
 
 def judgement(annotation: Column | str = "annotation") -> dict[str, Column]:
-    """labels, scores and rationale of a parsed judge reply."""
+    """labels, scores, score_texts and rationale of a parsed judge reply."""
     a = annotation if isinstance(annotation, str) else annotation
     action = F.nullif(V.get_text(a, "recommended_action"), F.lit(""))
     none = F.array().cast("array<string>")
@@ -191,10 +204,18 @@ def judgement(annotation: Column | str = "annotation") -> dict[str, Column]:
             for k in ("confidence", "score")
         ]
     )
+    # a score that is no number is kept as text; averages use the numbers only
+    words = F.array(
+        *[
+            F.when(V.get_number(a, k).isNull() & V.get_text(a, k).isNotNull(), F.struct(F.lit(k).alias("k"), V.get_text(a, k).alias("v")))
+            for k in ("confidence", "score")
+        ]
+    )
     rationale = F.coalesce(*[F.nullif(V.get_text(a, k), F.lit("")) for k in ("rationale", "primary_justification", "summary")])
     return {
         "labels": labels,
         "scores": F.map_from_entries(F.filter(numbers, lambda e: e.isNotNull())),
+        "score_texts": F.map_from_entries(F.filter(words, lambda e: e.isNotNull())),
         "rationale": rationale,
     }
 
@@ -243,13 +264,30 @@ def judge_context(results: DataFrame, normalized: DataFrame) -> DataFrame:
     return results.join(last, keys, "left")
 
 
+def _by_scorer(fields: list[str]):
+    """Compares score records by the text fields they have; maps cannot be ordered."""
+
+    def compare(a: Column, b: Column) -> Column:
+        key = lambda s: F.struct(*[s[f].cast("string").alias(f) for f in ("scorer_id", "status", "rationale") if f in fields])
+        return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+
+    return compare
+
+
+def _one_each(df: DataFrame, key: str, order: str | None) -> DataFrame:
+    hashed = df.withColumn("__order", F.xxhash64(*[F.to_json(F.struct(c)) for c in df.columns]))
+    return last_wins(hashed, [key], [order, "__order"] if order else ["__order"]).drop("__order")
+
+
 def experiment_dataset(
-    results: DataFrame, cases: DataFrame, requests: DataFrame, normalized: DataFrame, scores: DataFrame
+    results: DataFrame, cases: DataFrame, requests: DataFrame, normalized: DataFrame, scores: DataFrame, order: str | None = None
 ) -> DataFrame:
     """One wide row per target result.
 
     The many-sides are folded to one row per (request, target) before they are joined; an
-    array holds at most one entry per normalizer or scorer.
+    array holds at most one entry per normalizer or scorer, in the order of their ids.  Of cases
+    or requests with one id the last by the column ``order`` counts, without it that with the
+    greatest content hash.
     """
     keys = ["request_id", "target_model"]
     norm_fields = [c for c in ("normalizer_id", "status", "decision_text", "refusal_flag", "reasoning_trace_text") if c in normalized.columns]
@@ -265,13 +303,13 @@ def experiment_dataset(
         *keys, "normalized_results", "normalized_result_count", *[F.col("__best")[c].alias(c) for c in norm_fields if c not in ("normalizer_id", "status")]
     )
     by_score = scores.groupBy(*keys).agg(
-        F.collect_list(F.struct(*score_fields)).alias("score_records"), F.count("*").alias("score_record_count")
+        F.array_sort(F.collect_list(F.struct(*score_fields)), _by_scorer(score_fields)).alias("score_records"), F.count("*").alias("score_record_count")
     )
-    case_side = cases.select(
+    case_side = _one_each(cases, "case_id", order).select(
         "case_id",
         *[F.col(c).alias(f"case_{c}") for c in ("prompt", "split", "tags", "case_version", "source_builder", "grouping", "metadata") if c in cases.columns],
     )
-    request_side = requests.select("request_id", F.struct(*[c for c in ("task_id", "target_model", "case_id") if c in requests.columns]).alias("execution_request"))
+    request_side = _one_each(requests, "request_id", order).select("request_id", F.struct(*[c for c in ("task_id", "target_model", "case_id") if c in requests.columns]).alias("execution_request"))
     wide = (
         results.join(case_side, "case_id", "left")
         .join(request_side, "request_id", "left")

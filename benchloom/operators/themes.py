@@ -14,12 +14,13 @@ from benchloom.functions.text import digits, normalize_text
 from benchloom.operators.duplicates import near_duplicates
 from benchloom.session import cut
 
-MAX_DEPTH = len(fixed.THEME_LEVELS)
 DRAW_CHUNK = 10_000
 
 
 def path_text(path: Column | str) -> Column:
-    return F.concat_ws("/", path)
+    """A path as one text; a slash or backslash inside a name gets a backslash, so that paths stay apart."""
+    col = F.col(path) if isinstance(path, str) else path
+    return F.concat_ws("/", F.transform(col, lambda x: F.regexp_replace(x, r"([\\/])", r"\\$1")))
 
 
 def _counted(nodes: DataFrame, counts: dict[str, int] | DataFrame | None, defaults: dict[str, int] | None) -> DataFrame:
@@ -49,8 +50,8 @@ def theme_quota_plan(nodes: DataFrame, counts: dict[str, int] | DataFrame | None
     """Allocations: one row per node that keeps a residual quota for itself.
 
     ``nodes``: path (array), ord (sibling positions, array), count, tags, metadata (map).
-    One pass per level from the leaves up, four at most.  A parent keeps what its
-    descendants did not take.
+    One pass per level of the tree, from the deepest up.  A parent keeps what its descendants
+    did not take.  Level defaults name the first four levels.
     """
     counted = _counted(nodes, counts, defaults)
     parent = F.when(F.col("depth") > 1, path_text(F.slice("path", 1, F.col("depth") - 1)))
@@ -58,7 +59,8 @@ def theme_quota_plan(nodes: DataFrame, counts: dict[str, int] | DataFrame | None
     tree = cut(counted.withColumn("parent", parent), "tree")
     below = None
     levels = []
-    for d in range(MAX_DEPTH, 0, -1):
+    deepest = tree.agg(F.max("depth")).first()[0] or 1
+    for d in range(deepest, 0, -1):
         here = tree.where(F.col("depth") == d)
         if below is None:
             here = here.withColumn("taken", F.lit(0).cast("bigint"))
@@ -81,25 +83,25 @@ def allocation_leaves(nodes: DataFrame, plan: DataFrame) -> DataFrame:
     base = nodes.select(path_text("path").alias("leaf"), "path", "ord", "tags", "metadata", F.size("path").alias("depth"))
     parents = nodes.where(F.size("path") > 1).select(path_text(F.slice("path", 1, F.size("path") - 1)).alias("leaf")).distinct()
     leaves = base.join(parents, "leaf", "left_anti")
-    # The chain of a leaf is itself and its ancestors: at most MAX_DEPTH entries.
+    # The chain of a leaf is itself and its ancestors: one entry per level.
     chain = leaves.select("leaf", F.col("path").alias("p"), F.col("ord").alias("leaf_ord"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d")).select(
-        "leaf", "leaf_ord", "d", path_text(F.slice("p", 1, F.col("d"))).alias("node")
+        "leaf", "p", "leaf_ord", "d", path_text(F.slice("p", 1, F.col("d"))).alias("node")
     )
     info = plan.select("node", "quota", "residual").join(nodes.select(path_text("path").alias("node"), "tags", "metadata"), "node")
-    steps = chain.join(info, "node").groupBy("leaf", "leaf_ord").agg(
+    steps = chain.join(info, "node").groupBy("leaf", "p", "leaf_ord").agg(
         F.array_sort(
             F.collect_list(
                 F.struct("d", "node", "residual", F.col("quota").isNotNull().alias("explicit"), "tags", F.map_entries("metadata").alias("metadata"))
             )
         ).alias("steps")
     )
-    picked = steps.select("leaf", "leaf_ord", "steps", F.explode("steps").alias("a")).where("a.residual > 0")
+    picked = steps.select("leaf", "p", "leaf_ord", "steps", F.explode("steps").alias("a")).where("a.residual > 0")
     lower = F.filter("steps", lambda s: s["d"] > F.col("a.d"))
     excluded = F.exists(lower, lambda s: (s["residual"] > 0) | ((s["d"] == F.col("a.d") + 1) & s["explicit"]))
     own = F.filter("steps", lambda s: s["d"] >= F.col("a.d"))
     tags = F.array_distinct(F.flatten(F.transform(own, lambda s: F.coalesce(s["tags"], F.array().cast("array<string>")))))
     rows = picked.select(
-        F.col("a.node").alias("alloc"), F.col("a.residual").alias("n"), "leaf", "leaf_ord", excluded.alias("excluded"), tags.alias("tags"), _merged(own).alias("metadata")
+        F.col("a.node").alias("alloc"), F.col("a.residual").alias("n"), "leaf", F.col("p").alias("leaf_path"), "leaf_ord", excluded.alias("excluded"), tags.alias("tags"), _merged(own).alias("metadata")
     )
     free = rows.groupBy("alloc").agg(F.count_if(~F.col("excluded")).alias("free"))
     usable = rows.join(free, "alloc").withColumn("forced", F.col("free") == 0).where(F.col("forced") | ~F.col("excluded"))
@@ -108,6 +110,7 @@ def allocation_leaves(nodes: DataFrame, plan: DataFrame) -> DataFrame:
         "alloc",
         "n",
         "leaf",
+        "leaf_path",
         (F.row_number().over(w.orderBy("leaf_ord")) - 1).cast("bigint").alias("leaf_index"),
         F.count("*").over(w).alias("n_leaves"),
         "forced",
@@ -156,7 +159,7 @@ def draw_themes(nodes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     index = F.when(resampled, draw_index(seed, F.col("n_leaves"), "alloc", F.col("draw").cast("string"))).otherwise(F.col("draw"))
     chosen = draws.select("alloc", "offset", "draw", resampled.alias("resampled"), index.alias("leaf_index"))
     joined = chosen.join(leaves.drop("n", "n_leaves", "forced"), ["alloc", "leaf_index"])
-    path = F.split("leaf", "/")
+    path = F.col("leaf_path")
     n = F.size(path)
     category = F.get(path, F.lit(0))
     sub = F.when(n > 1, F.get(path, F.lit(1))).otherwise(category)
@@ -164,7 +167,7 @@ def draw_themes(nodes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
         F.concat(F.lit("sample_"), digits(F.col("offset") + F.col("draw") + 1, 6)).alias("sample_id"),
         (F.col("offset") + F.col("draw") + 1).alias("seq"),
         F.col("alloc").alias("quota_source_path"),
-        path.alias("theme_path"),
+        F.col("leaf_path").alias("theme_path"),
         category.alias("category"),
         sub.alias("subcategory"),
         F.when(n > 2, F.element_at(path, n - 1)).otherwise(sub).alias("subtopic"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from benchloom.session import cut
 from benchloom.sources.cases import CASE_FILE, default_case_fields
 
 RowFunction = Callable[[dict], dict | list[dict] | None]
@@ -52,7 +54,10 @@ class Hooks:
         self.plugins[name] = (fn, tuple(needs))
 
     def run_plugins(self, layers: dict[str, DataFrame], names: list[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
-        """(outputs, errors by plugin).  A plugin that fails to build, or whose need failed, stops nothing else."""
+        """(outputs, errors by plugin).  A plugin that fails, or whose need failed, stops nothing else.
+
+        Each output is written to the shared folder at once, so that it fails here and not later.
+        """
         wanted = list(self.plugins) if names is None else names
         outputs: dict[str, DataFrame] = {}
         errors: dict[str, str] = {}
@@ -63,7 +68,7 @@ class Hooks:
                 errors[name] = f"needs failed plugin: {', '.join(lacking)}"
                 continue
             try:
-                outputs[name] = fn(layers, outputs).withColumn("plugin_id", F.lit(name))
+                outputs[name] = cut(fn(layers, outputs).withColumn("plugin_id", F.lit(name)), f"plugin-{name}")
             except Exception as exc:  # noqa: BLE001 - isolation is the feature
                 errors[name] = str(exc)
         return outputs, errors
@@ -127,20 +132,25 @@ def map_rows(df: DataFrame, fn: RowFunction, schema: T.StructType, key: str = "s
     names = schema.fieldNames()
     out = T.StructType([*schema.fields, T.StructField("__key", T.StringType()), T.StructField("__error", T.StringType())])
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    kinds = to_arrow_schema(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for record in batch.to_dict("records"):
+            for record in batch.to_pylist():
                 where = None if record.get(key) is None else str(record.get(key))
                 try:
                     made = fn(record)
                     made = [] if made is None else made if isinstance(made, list) else [made]
+                    for m in made:  # a value of another type than declared is the row's own error
+                        for n in names:
+                            pa.array([m.get(n)], kinds.field(n).type)
                     rows += [{**{n: m.get(n) for n in names}, "__key": where, "__error": None} for m in made]
                 except Exception as exc:  # noqa: BLE001 - reported as a row
                     rows.append({**dict.fromkeys(names), "__key": where, "__error": str(exc) or type(exc).__name__})
-            yield pd.DataFrame(rows, columns=[*names, "__key", "__error"])
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return df.mapInPandas(run, out)
+    return df.mapInArrow(run, out)
 
 
 def column_normalizer(**columns: Column) -> Callable[[DataFrame], DataFrame]:
