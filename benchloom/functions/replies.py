@@ -37,6 +37,7 @@ class ReplySpec:
     trace_keys: tuple[str, ...] = ("thinking_content",)
     trace_tags: tuple[str, ...] = ("thinking",)
     trace_patterns: tuple[str, ...] = ()
+    format: str = "tag_blocks"  # or json_object, markdown_sections; anything else is plain text
 
     def __post_init__(self) -> None:
         for patterns in [*self.fallbacks.values(), self.trace_patterns]:
@@ -103,6 +104,84 @@ def json_reply(reply: Column | str, spec: ReplySpec) -> Column:
     return V.let(V.let(json_payload(reply), read), judge)
 
 
+def _is_not(name: str):
+    return lambda k, _: k != name
+
+
+def _empty_map() -> Column:
+    return F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
+
+
+def json_structured(reply: Column | str, spec: ReplySpec, artifact_metadata: Column | None = None) -> Column:
+    """The struct of ``structured_reply`` with every field of the object, whether the spec names it or not.
+
+    A field that is empty is filled from its aliases; the reasoning trace becomes ``thinking``
+    unless the object has that key.
+    """
+
+    def read(text: Column) -> Column:
+        return F.struct(json_payload(text).alias("payload"), reasoning_trace(text, spec, artifact_metadata).alias("trace"))
+
+    def judge(r: Column) -> Column:
+        all_fields = F.coalesce(F.transform_values(F.try_variant_get(r["payload"], "$", "map<string,variant>"), lambda _, v: V.as_text(v)), _empty_map())
+        fields = all_fields
+        value = lambda n: F.nullif(F.try_element_at(all_fields, F.lit(n)), F.lit(""))
+        for name, aliases in spec.aliases.items():
+            filled = _first([value(n) for n in aliases])
+            others = F.map_filter(fields, _is_not(name))
+            fields = F.when(value(name).isNull() & filled.isNotNull(), F.map_concat(others, F.create_map(F.lit(name), filled))).otherwise(fields)
+        trace = r["trace"]["text"]
+        with_trace = F.map_concat(fields, F.create_map(F.lit("thinking"), trace))
+        fields = F.when(trace.isNotNull() & ~F.map_contains_key(fields, "thinking"), with_trace).otherwise(fields)
+
+        def done(fields: Column) -> Column:
+            got = lambda n: F.try_element_at(fields, F.lit(n))
+            absent = [F.when(F.coalesce(got(n), F.lit("")).isin("", "[]"), F.lit(n)) for n in spec.required]
+            missing = F.filter(F.array(*absent).cast("array<string>"), lambda x: x.isNotNull())
+            found = r["payload"].isNotNull()
+            none = F.lit(None).cast("string")
+            kept = F.when(found, fields).otherwise(_empty_map())
+            return F.struct(
+                F.when(~found, "invalid").when(F.size(missing) == 0, "parsed").otherwise("partial").alias("status"),
+                kept.alias("fields"), F.when(found, missing).otherwise(F.array(*[F.lit(n) for n in spec.required]).cast("array<string>")).alias("missing"),
+                _empty_map().alias("fallback_source"), F.when(found, trace).otherwise(none).alias("trace_text"),
+                F.when(found, r["trace"]["source"]).otherwise("none").alias("trace_source"), kept.alias("raw_hits"),
+            )
+
+        return V.let(fields, done)
+
+    return V.let(V.let(strip_ws(reply), read), judge)
+
+
+def plain_structured(reply: Column | str, spec: ReplySpec, artifact_metadata: Column | None = None) -> Column:
+    """The struct of ``structured_reply`` with the whole reply as ``text``; only an empty reply is invalid."""
+
+    def read(text: Column) -> Column:
+        return F.struct(text.alias("text"), reasoning_trace(text, spec, artifact_metadata).alias("trace"))
+
+    def judge(r: Column) -> Column:
+        values = {"text": F.coalesce(r["text"], F.lit("")), "thinking": r["trace"]["text"]}
+        absent = [F.when(F.coalesce(values.get(n, F.lit(None).cast("string")), F.lit("")).isin("", "[]"), F.lit(n)) for n in spec.required]
+        return F.struct(
+            F.when(values["text"] == "", "invalid").otherwise("parsed").alias("status"), _field_map(values).alias("fields"),
+            F.filter(F.array(*absent).cast("array<string>"), lambda x: x.isNotNull()).alias("missing"), _empty_map().alias("fallback_source"),
+            r["trace"]["text"].alias("trace_text"), r["trace"]["source"].alias("trace_source"), _empty_map().alias("raw_hits"),
+        )
+
+    return V.let(V.let(strip_ws(reply), read), judge)
+
+
+def structured_reply(reply: Column | str, spec: ReplySpec, mode: str = "", artifact_metadata: Column | None = None) -> Column:
+    """Struct(status, fields, missing, fallback_source, trace_text, trace_source, raw_hits) by the format of the spec."""
+    if spec.format in ("json", "json_object"):
+        return json_structured(reply, spec, artifact_metadata)
+    if spec.format == "tag_blocks":
+        return tag_reply(reply, spec, mode, artifact_metadata)
+    if spec.format == "markdown_sections":
+        return section_reply(reply, spec, mode, artifact_metadata)
+    return plain_structured(reply, spec, artifact_metadata)
+
+
 def _field_map(values: dict[str, Column]) -> Column:
     """Map of the fields that have a value."""
     if not values:
@@ -225,13 +304,14 @@ def _block_reply(reply: Column | str, spec: ReplySpec, mode: str, extract, artif
             _field_map(source).alias("fallback_source"),
             trace.alias("trace_text"),
             r["trace"]["source"].alias("trace_source"),
+            _field_map({n: r[f"h{i}"] for i, n in enumerate(names)}).alias("raw_hits"),
         )
 
     return V.let(V.let(strip_ws(reply), read), merge)
 
 
 def tag_reply(reply: Column | str, spec: ReplySpec, mode: str = "", artifact_metadata: Column | None = None) -> Column:
-    """Struct(status, fields, missing, fallback_source, trace_text, trace_source) of a tagged reply."""
+    """Struct(status, fields, missing, fallback_source, trace_text, trace_source, raw_hits) of a tagged reply."""
     return _block_reply(reply, spec, mode, tag_value, artifact_metadata, choices=True)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchloom.functions import signals, variants as V
-from benchloom.functions.replies import ReplySpec, json_payload, reasoning_tail, tag_reply
+from benchloom.functions.replies import ReplySpec, json_payload, reasoning_tail, structured_reply
 from benchloom.functions.text import blank_to_null, java_pattern, pattern_error, strip_ws
 from benchloom.operators.keyed import last_wins, preference
 
@@ -41,13 +41,15 @@ def _normalize_one(results: DataFrame, n: Normalizer, reply: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     if n.spec is not None or n.kind == "structural":
         meta = F.col("artifact_metadata") if "artifact_metadata" in rows.columns else None
-        staged = staged.withColumn("__parsed", tag_reply(F.col("__text"), n.spec or ReplySpec(), n.mode, meta))
+        staged = staged.withColumn("__parsed", structured_reply(F.col("__text"), n.spec or ReplySpec(), n.mode, meta))
         value = lambda k: F.try_element_at(F.col("__parsed.fields"), F.lit(k))
         trace, source = F.col("__parsed.trace_text"), F.col("__parsed.trace_source")
+        hits, spares = F.col("__parsed.raw_hits"), F.col("__parsed.fallback_source")
         status, missing = F.col("__parsed.status"), F.col("__parsed.missing")
     else:
         value = lambda k: nothing
         trace, source, status, missing = nothing, F.lit("none"), nothing, F.array().cast("array<string>")
+        hits = spares = F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
     if n.kind == "structural":
         decision = F.coalesce(value("final_choice"), value("final_answer"), signals.first_visible_line(F.col("__text")))
         refusal = signals.structural_refusal(F.col("__text"))
@@ -77,19 +79,32 @@ def _normalize_one(results: DataFrame, n: Normalizer, reply: str) -> DataFrame:
             feats["compares"].alias("contains_option_comparison"),
             status.alias("parse_status"),
             missing.alias("missing_required"),
+            hits.alias("raw_hits"),
+            spares.alias("fallback_source"),
         ).alias("extracted"),
         F.struct(decision.alias("recommended_action"), refusal.alias("refusal_flag"), value("reason").alias("justification_text")).alias("comparability"),
         F.struct(thinking.alias("reasoning_trace_text"), source.alias("reasoning_trace_source")).alias("introspection"),
     )
 
 
+NORMALIZER_KINDS = ("text", "structural")
+
+
+def normalizer_failures(results: DataFrame, normalizers: list[Normalizer]) -> DataFrame:
+    """A row per result and normalizer of an unsupported kind: stage, normalizer_id, error."""
+    bad = F.array(
+        *[F.struct(F.lit(n.normalizer_id).alias("normalizer_id"), F.lit(f"unsupported normalizer kind: {n.kind}").alias("error")) for n in normalizers if n.kind not in NORMALIZER_KINDS]
+    ).cast("array<struct<normalizer_id:string,error:string>>")
+    return results.select(*_carry(results), F.explode(bad).alias("f")).select(*_carry(results), F.lit("normalizer").alias("stage"), "f.normalizer_id", "f.error")
+
+
 def normalize_results(results: DataFrame, normalizers: list[Normalizer], reply: str = "response_text") -> DataFrame:
-    """Normalized rows of every normalizer, one projection each."""
+    """Normalized rows of every normalizer, one projection each; see ``normalizer_failures`` for kinds that are none."""
     out = None
-    for n in normalizers:
+    for n in [n for n in normalizers if n.kind in NORMALIZER_KINDS] or [Normalizer("none")]:
         rows = _normalize_one(results, n, reply)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out if any(n.kind in NORMALIZER_KINDS for n in normalizers) else out.limit(0)
 
 
 # --- T13 ------------------------------------------------------------------------------
@@ -173,12 +188,18 @@ def rule_scores(results: DataFrame, rules: list[Rule], reply: str = "response_te
 
 
 # --- T14, J5 --------------------------------------------------------------------------
-def parse_annotations(replies: DataFrame, required: list[str] = (), reply: str = "raw_reply") -> tuple[DataFrame, DataFrame]:
+def parse_annotations(replies: DataFrame, required: list[str] = (), reply: str = "raw_reply", spec: ReplySpec | None = None) -> tuple[DataFrame, DataFrame]:
     """(annotations with an ``annotation`` VARIANT, parse failures).
 
-    Required keys are checked by presence only.
+    Without a spec, or with one for JSON, the object in the reply is the annotation; with
+    another format the fields that the spec finds are.  Required keys are checked by presence.
     """
-    parsed = replies.withColumn("annotation", json_payload(reply))
+    if spec is None or spec.format in ("json", "json_object"):
+        annotation = json_payload(reply)
+    else:
+        found = F.to_json(structured_reply(reply, spec)["fields"])
+        annotation = F.when(blank_to_null(reply).isNotNull(), F.parse_json(found))
+    parsed = replies.withColumn("annotation", annotation)
     absent = F.filter(
         F.array(*[F.when(~V.has_key("annotation", k), F.lit(k)) for k in required]).cast("array<string>"), lambda x: x.isNotNull()
     )
@@ -239,9 +260,9 @@ def judge_to_scores(annotations: DataFrame, results: DataFrame, scorer_id: str)
     return joined.withColumn("scorer_id", F.lit(scorer_id))
 
 
-def judge_scores(replies: DataFrame, results: DataFrame, scorer_id: str, required: list[str] = (), reply: str = "raw_reply") -> tuple[DataFrame, DataFrame]:
-    """(scores, parse failures) straight from raw judge replies."""
-    good, bad = parse_annotations(replies, required, reply)
+def judge_scores(replies: DataFrame, results: DataFrame, scorer_id: str, required: list[str] = (), reply: str = "raw_reply", spec: ReplySpec | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores, parse failures) straight from raw judge replies, in the format of ``spec``."""
+    good, bad = parse_annotations(replies, required, reply, spec)
     return judge_to_scores(good, results, scorer_id), bad
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from benchloom.functions import params as P
-from benchloom.functions.replies import pattern_value
+from benchloom.functions.replies import ReplySpec, pattern_value, structured_reply
 from benchloom.operators import results as R
 from benchloom.operators import runs as RN
 from benchloom.operators import themes as TH
@@ -77,3 +77,38 @@ def test_wrong_types_and_late_errors_stay_apart(spark):
     hooks.register_plugin("after", lambda layers, made: made["late"], ("late",))
     outputs, errors = hooks.run_plugins({"rows": rows})
     assert outputs["fine"].count() == 3 and set(errors) == {"late", "after"} and "late fault" in errors["late"]
+
+
+def test_json_reply_keeps_all_fields_and_the_trace(spark):
+    texts = ['{"a":1,"b":"x"}', '<thinking>why</thinking> {"l": "", "l2": true, "n": null, "o": {"k": [1]}}', "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    spec = ReplySpec(format="json_object", aliases={"l": ["l2"]}, required=("o",))
+    one = df.select(structured_reply("t", ReplySpec(format="json_object")).alias("p")).collect()[0].p
+    assert one.fields == {"a": "1", "b": "x"} and one.status == "parsed" and one.raw_hits == one.fields
+    rows = [r.p for r in df.select(structured_reply("t", spec).alias("p")).collect()]
+    assert rows[1].fields == {"l": "True", "l2": "True", "n": None, "o": '{"k":[1]}', "thinking": "why"} and rows[1].trace_source == "tag"
+    assert [(r.status, list(r.missing)) for r in rows] == [("partial", ["o"]), ("parsed", []), ("invalid", ["o"])]
+
+
+def test_every_format_through_normalizers_and_judges(spark):
+    replies = {
+        "json_object": 'so: {"label": "safe", "score": 0.75, "rationale": "r"}',
+        "tag_blocks": "<label>safe</label><score>0.75</score><rationale>r</rationale>",
+        "markdown_sections": "# label\nsafe\n# score\n0.75\n# rationale\nr",
+        "plain_text": "safe",
+    }
+    for kind, text in replies.items():
+        spec = ReplySpec(format=kind, fields=("label", "score", "rationale"), required=("text",) if kind == "plain_text" else ("label",))
+        df = spark.createDataFrame([(text, "r1", "k1", "m"), ("", "r1", "k2", "m")], "response_text string, source_run_id string, source_record_id string, target_model string")
+        rows = {r.source_record_id: r.extracted for r in R.normalize_results(df, [R.Normalizer("n", spec=spec)]).collect()}
+        assert rows["k1"].parse_status == "parsed" and rows["k2"].parse_status in ("invalid", "partial")
+        if kind != "plain_text":
+            assert rows["k1"].raw_hits["label"] == "safe"
+            scores, bad = R.judge_scores(df.withColumnRenamed("response_text", "raw_reply"), df, "j", ["label"], spec=spec)
+            got = scores.collect()
+            assert [(r.source_record_id, r.rationale) for r in got] == [("k1", "r")]
+            assert got[0].scores | got[0].score_texts in ({"score": 0.75}, {"score": "0.75"})
+            assert [r.source_record_id for r in bad.collect()] == ["k2"]
+    odd = [R.Normalizer("n"), R.Normalizer("x", kind="unheard_of")]
+    assert {r.normalizer_id for r in R.normalize_results(df, odd).collect()} == {"n"}
+    assert {(r.normalizer_id, r.error) for r in R.normalizer_failures(df, odd).collect()} == {("x", "unsupported normalizer kind: unheard_of")}
