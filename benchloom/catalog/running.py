@@ -335,6 +335,20 @@ def _stream(t: Tables, view_columns: dict) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*[c.alias(n) for n, c in view_columns.items()])
 
 
+def _late_files(t: Tables) -> str:
+    """``events`` in four files, one micro-batch each; later files hold earlier rows, so most come late."""
+    path = scratch_path(t.spark, "late-events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(2)) + F.when(F.hour(F.col("ts").cast("timestamp")) < 12, 2).otherwise(0)
+    for k in range(4):
+        t("events").where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _late_stream(t: Tables, view_columns: dict) -> DataFrame:
+    raw = L.read_stream(t.spark, _late_files(t), t("events").schema, files_per_batch=1)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*[c.alias(n) for n, c in view_columns.items()])
+
+
 def _id(prefix: str, n):
     return F.concat(F.lit(prefix), n.cast("string"))
 
@@ -362,6 +376,14 @@ def _(t):
     return L.ledger_rows(read_deltas(t.spark, f"{base}/out"), ["run_id", "event_id"]).select("event_id", "run_id", "model_name", "prompt_id", "status")
 
 
+@query("R1_ledger_sink_late_files", "select event_id, run_id, model_name, prompt_id, status from v_ledger")
+def _(t):
+    """Rows that come hours late in later micro-batches are in the ledger like any other."""
+    base = scratch_path(t.spark, "r1l")
+    _run(L.ledger_sink(_late_stream(t, _ledger_columns()), f"{base}/out", f"{base}/cp", available_now=True))
+    return L.ledger_rows(read_deltas(t.spark, f"{base}/out"), ["run_id", "event_id"]).select("event_id", "run_id", "model_name", "prompt_id", "status")
+
+
 @query("R2_ledger_state", f"{OUTCOME_SQL} select model_name, prompt_id, case rank when 2 then 'success' else 'failed' end as state from o")
 def _(t):
     base = scratch_path(t.spark, "r2")
@@ -369,17 +391,26 @@ def _(t):
     return L.ledger_state(read_deltas(t.spark, f"{base}/out"))
 
 
-@query(
-    "R3_throughput",
-    """
+RATES_SQL = """
 with w as (select time_bucket(interval '1 hour', ts) as window_start, run_id, model_name, status from v_ledger where status in ('success', 'failed'))
 select strftime(window_start, '%Y-%m-%d %H:%M:%S') as window_start, run_id, model_name, count(*) as processed, count(*) filter (where status = 'success') as succeeded,
-  count(*) filter (where status = 'failed') as failed, round_even(count(*) / 60.0e0, 3) as rate_per_min from w group by 1, 2, 3""",
-)
+  count(*) filter (where status = 'failed') as failed, round_even(count(*) / 60.0e0, 3) as rate_per_min from w group by 1, 2, 3"""
+
+
+@query("R3_throughput", RATES_SQL)
 def _(t):
+    return _rates(t, _stream)
+
+
+@query("R3_throughput_late_files", RATES_SQL)
+def _(t):
+    return _rates(t, _late_stream)
+
+
+def _rates(t: Tables, source) -> DataFrame:
     base = scratch_path(t.spark, "r3")
     by = ["run_id", "model_name"]
-    _run(L.stream_throughput(_stream(t, _ledger_columns()), f"{base}/out", f"{base}/cp", by, available_now=True))
+    _run(L.stream_throughput(source(t, _ledger_columns()), f"{base}/out", f"{base}/cp", by, available_now=True))
     rows = L.merge_throughput(read_deltas(t.spark, f"{base}/out"), by)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *by, "processed", "succeeded", "failed", "rate_per_min")
 

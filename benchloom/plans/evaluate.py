@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from benchloom.session import cut
 from benchloom.functions.params import merge_layers, signature
 from benchloom.operators import cases as C
 from benchloom.operators import numbering as N
@@ -33,16 +34,19 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """Responses -> results, normalized rows, scores, group analysis, summary and failures.
 
-    A lazy plan: write the layers with ``write_layers`` to cut it where they are reused.
+    Results, normalized rows and scores feed several layers, so each is written once to the
+    shared folder.  Normalizers and rules that cannot run give failure rows.
     """
     results, silent = RQ.attach_responses(requests, responses)
-    normalized = RS.normalize_results(results, normalizers)
+    results = cut(results, "results")
+    normalized = cut(RS.normalize_results(results, normalizers), "normalized")
     scores, bad_rules = RS.rule_scores(results, rules)
-    failures = silent.select("stage", F.col("error")).unionByName(bad_rules.select("stage", "error"))
+    failures = silent.select("stage", F.col("error")).unionByName(bad_rules.select("stage", "error")).unionByName(RS.normalizer_failures(results, normalizers).select("stage", "error"))
     if judge_replies is not None:
         judged, unparsed = RS.judge_scores(judge_replies, results, judge_scorer)
         scores = scores.unionByName(judged, allowMissingColumns=True)
         failures = failures.unionByName(unparsed.select("stage", F.col("error_message").alias("error")))
+    scores = cut(scores, "scores")
     groups = SM.group_summary(results, scores)
     summary = SM.experiment_summary(results, normalized, scores, groups, None, failures)
     return {

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from benchloom import fixed
 from benchloom.functions.text import digits, infer_language, language_alias, normalize_text, strip_ws
 from benchloom.operators.numbering import blockwise_row_number
+from benchloom.session import cut
 
 _PLACE = ["__file", "__split", "__row"]
 
@@ -28,9 +29,13 @@ def _placed(df: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, out: str) -> DataFrame:
-    """Dense 1-based numbers in file, split, row order; a split is the unit of counting."""
+    """Dense 1-based numbers in file, split, row order; a split is the unit of counting.
+
+    Counting and numbering both need the rows, so they are written once: the source is read
+    and its text normalized a single time.
+    """
     block = F.struct("__file", "__split")
-    return blockwise_row_number(df, keys=[], order=["__row"], block=block, out=out)
+    return blockwise_row_number(cut(df, "prompts"), keys=[], order=["__row"], block=block, out=out)
 
 
 def _prompt_id(n: Column | str) -> Column:
