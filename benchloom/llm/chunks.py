@@ -8,16 +8,104 @@ line feed are not cut.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 
 
-def chunks_of(text: str) -> list[str]:
-    """Parts whose encodings, one after the other, are the encoding of ``text``; an empty text has none."""
-    return [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
+_TAIL = re.compile(r"(.*[A-Za-zÀ-ɏ])([.,%&$*#!?;:|]+)", re.DOTALL)
 
 
-def can_follow(chunk: str) -> bool:
-    """True if ``chunk`` keeps its encoding wherever it follows a part that ends in a visible character."""
-    return chunk[0] in " \n" and chunk[-1] not in " \n" and not _OTHER_SPACE.search(chunk)
+def cuttable(text: str) -> bool:
+    return not _OTHER_SPACE.search(text)
+
+
+def words_of(text: str) -> tuple[str, list[str], str]:
+    """A cuttable text as its start, words and trailing white space.
+
+    A word that follows one space stands without it; any other begins with its white space.
+    """
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") or text[-1] in " \n":
+        parts = _CHUNK.findall(text)
+        first = parts.pop(0) if parts and parts[0][0] not in " \n" else ""
+        last = parts.pop() if parts and parts[-1][-1] in " \n" else ""
+        return first, [p[1:] if p[0] == " " and p[1] not in " \n" else p for p in parts], last
+    words = text.replace("\n", " \n").split(" ")
+    return words[0], words[1:], ""
+
+
+def word_and_marks(chunk: str) -> tuple[str, str]:
+    """A chunk cut where a letter meets closing marks, which the pattern never joins; else the chunk and nothing."""
+    found = _TAIL.fullmatch(chunk)
+    return (found[1], found[2]) if found else (chunk, "")
+
+
+CACHED_WORDS = 400_000  # twice that many stand in the two caches of a worker
+CACHED_MARKS = 10_000
+BATCH_CHARS = 1 << 20
+
+
+class WordCache:
+    """Whole texts to bytes of ids; a word met before is looked up.
+
+    ``encode_words`` gets sorted texts that begin with white space and end in a visible
+    character; ``encode_text`` gets anything.  A full cache becomes the older one, from
+    which words still in use come back.  The caches save time and change no result.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], Iterable[bytes]], encode_text: Callable[[str], bytes]):
+        self.encode_words, self.encode_text = encode_words, encode_text
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        if len(self.marks) > CACHED_MARKS:
+            self.marks.clear()
+        known, older, cut, plain = self.known, self.older, [], set()
+        for word in new:
+            if word in older:
+                known[word] = older[word]
+                continue
+            stem, marks = word_and_marks(word)
+            if marks:
+                cut.append((word, stem, marks))
+                if marks not in self.marks:
+                    self.marks[marks] = self.encode_text(marks)
+            if stem in older:
+                known[stem] = older[stem]
+            elif stem not in known:
+                plain.add(stem)
+        words = sorted(plain)
+        known.update(zip(words, self.encode_words([w if w[0] in " \n" else " " + w for w in words]), strict=True))
+        for word, stem, marks in cut:
+            known[word] = known[stem] + self.marks[marks]
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        parts = [words_of(t) if cuttable(t) else None for t in texts]
+        found = [list(map(self.known.get, p[1])) if p else [] for p in parts]
+        new = {w for p, f in zip(parts, found, strict=True) if None in f for w, ids in zip(p[1], f, strict=True) if ids is None}
+        self._learn(new)
+        for text, part, ids in zip(texts, parts, found, strict=True):
+            if part is None:
+                yield self.encode_text(text)
+                continue
+            if None in ids:
+                known = self.known
+                ids = [known[w] if i is None else i for w, i in zip(part[1], ids, strict=True)]
+            first, last = (self.encode_text(x) if x else b"" for x in (part[0], part[2]))
+            yield first + b"".join(ids) + last
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order; about ``BATCH_CHARS`` characters, or one text, are in work at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(HELD_OUT_PART)) == 0, F.lit(False))
 
 
+_HELD: list[tuple[Any, Any]] = []
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """A worker process's model with its caches, kept from task to task; another key lets the one before go."""
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
+
+
 def _forest(left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
     """The edges that a spanning forest of the given ones needs, each node tied to the smallest of its tree."""
     parent: dict[int, int] = {}

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from benchloom.llm.chunks import can_follow, chunks_of
-from benchloom.llm.common import pick
+from benchloom.llm.chunks import WordCache
+from benchloom.llm.common import held, pick
+from benchloom.sizing import broadcast_if_small
 
 WIDTHS = (12, 4, 16)
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
-CACHED_CHUNKS = 800_000
-SEGMENTS = "file_no int, segment_no int, n_docs bigint, n_tokens bigint, segment binary"
+SEGMENTS = "file_no int, segment_no int, before bigint, n_docs bigint, n_tokens bigint, segment binary"
 END_ID = 2
 
 
@@ -167,8 +167,8 @@ def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     return struct.pack("<4sIQB", b"DAC1", len(doc_ids), len(ids), count) + b"".join(out)
 
 
-class CachedEncoder:
-    """Whole texts to uint32 ids with the tokenizers library; chunks met before are looked up."""
+class Encoder:
+    """Texts to bytes of uint32 ids with the tokenizers library."""
 
     def __init__(self, path: str):
         import os
@@ -178,51 +178,28 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.size[i] = len(token)  # one character of a byte-level token is one byte
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known.clear()
-        joint = [c for c in new if can_follow(c)]
-        if joint:
-            ids = self._ids("".join(joint))
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(c.encode()) for c in joint])) + 1
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(joint, (4 * ends).tolist(), strict=True):
-                self.known[chunk] = raw[start:end]
-                start = end
-        for chunk in new.difference(joint):
-            self.known[chunk] = self._ids(chunk).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        parts = chunks_of(text)
-        if new := {c for c in parts if c not in self.known}:
-            self._learn(new)
-            if not all(c in self.known for c in parts):  # the cache was emptied meanwhile
-                self._learn({c for c in parts if c not in self.known})
-        return b"".join(map(self.known.__getitem__, parts))
-
-
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
-def encoder(path: str) -> CachedEncoder:
-    """One encoder a worker process; its cache lives on from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+
+    def text(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        for begin in range(0, len(words), 4096):
+            for one in self.tokenizer.encode_batch_fast(words[begin : begin + 4096], add_special_tokens=False):
+                ids = one.ids
+                yield struct.pack(f"<{len(ids)}I", *ids)
+
+
+def encoder(path: str) -> WordCache:
+    def make() -> WordCache:
+        own = Encoder(path)
+        return WordCache(own.words, own.text)
+
+    return held(("dac", path), make)
 
 
 def _packer(path: str, end_id: int, segment_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number = encoder(path), 0
+        own, number, before = encoder(path), 0, 0
         file_no = TaskContext.get().partitionId()
         docs: list[int | None] = []
         lengths: list[int] = []
@@ -230,20 +207,20 @@ def _packer(path: str, end_id: int, segment_tokens: int) -> Callable:
         end = struct.pack("<I", end_id)
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, before
             ids = np.frombuffer(b"".join(parts), np.uint32)
-            row = [[file_no], [number], [len(docs)], [len(ids)], [pack_segment(docs, lengths, ids)]]
-            number += 1
+            row = [[file_no], [number], [before], [len(docs)], [len(ids)], [pack_segment(docs, lengths, ids)]]
+            number, before = number + 1, before + len(ids)
             for x in (docs, lengths, parts):
                 x.clear()
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["file_no", "segment_no", "n_docs", "n_tokens", "segment"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["file_no", "segment_no", "before", "n_docs", "n_tokens", "segment"])
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = own.encode(text.as_py() or "") + end
-                docs.append(doc_id.as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(t.as_py() or "" for t in batch.column(1)), strict=True):
+                raw = ids + end
+                docs.append(doc_id)
                 parts.append(raw)
                 lengths.append(len(raw) // 4)
                 held += len(raw) // 4
@@ -270,19 +247,16 @@ def write_segments(docs: DataFrame, path: str, tokenizer: str, id_col: str = "do
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with ``start``, the number of tokens before each.
+    """Segments with ``start``, the number of tokens before each; the segments themselves are not shuffled.
 
-    Sums run inside a file first; only one row per file takes part in the running sum.
+    A segment knows the tokens before it in its file; only one row per file takes part in the
+    running sum.
     """
     rows = spark.read.schema(SEGMENTS).parquet(path)
-    index = rows.select("file_no", "segment_no", "n_tokens")
-    files = index.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)
-    files = files.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
-    inside = W.partitionBy("file_no").orderBy("segment_no").rowsBetween(W.unboundedPreceding, -1)
-    index = index.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).drop("n_tokens")
-    starts = index.join(files, "file_no").select("file_no", "segment_no", (F.col("file_start") + F.col("inside")).alias("start"))
-    return rows.join(starts, ["file_no", "segment_no"])
+    files = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
+    earlier = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select("file_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("file_start"))
+    return rows.join(broadcast_if_small(files), "file_no").withColumn("start", F.col("file_start") + F.col("before"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
