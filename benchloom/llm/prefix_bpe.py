@@ -6,13 +6,14 @@ apart when their joint bytes are encoded.  Storing that token per prefix gives t
 every prefix, so appended bytes only add entries, and after an edit entries are computed anew
 only until they agree with the old ones for as long as a token can be.
 
-A whole text is cut by the pattern first.  Pieces met before are looked up, as are chunks of
-pieces; both caches are bounded and only save time.
+A whole text is cut by the pattern first.  Words met before are looked up; new ones are taken in
+sorted order, so that each keeps the entries of the prefix it shares with the one before.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,11 +22,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchloom.llm.chunks import chunks_of
-from benchloom.llm.common import pick
+from benchloom.llm.chunks import WordCache
+from benchloom.llm.common import held, pick
 
-CACHED_CHUNKS = 800_000
-CACHED_PAIRS = 2_000_000
+CACHED_PAIRS = 300_000
+TOKEN_BITS = 24
 
 
 class Ranks:
@@ -37,7 +38,7 @@ class Ranks:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by both ids in one number
         self.finder = ahocorasick.Automaton()
         for b, i in ranks.items():
             if len(b) == 1 or self.merge(b) == [i]:  # others never come out of a merge
@@ -65,11 +66,12 @@ class Ranks:
         return [self.ranks[p] for p in parts]
 
     def stay_apart(self, left: int, right: int) -> bool:
-        known = self.apart.get((left, right))
+        pair = left << TOKEN_BITS | right
+        known = self.apart.get(pair)
         if known is None:
             if len(self.apart) >= CACHED_PAIRS:
                 self.apart.clear()
-            known = self.apart[left, right] = self.merge(self.token[left] + self.token[right]) == [left, right]
+            known = self.apart[pair] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return known
 
 
@@ -82,7 +84,7 @@ class PrefixTable:
 
     def _fill(self, upto: int, stop: Callable[[int], bool] | None = None) -> int:
         """Extends ``last`` to ``upto`` bytes; returns where ``stop`` ended it, or ``upto``."""
-        last, sizes = self.last, self.ranks.token
+        last = self.last
         begin = len(last) - 1
         base = max(0, begin - self.ranks.longest + 1)
         window = self.data[base:upto].decode("latin-1")
@@ -94,7 +96,7 @@ class PrefixTable:
                 continue
             if start:
                 before = last[start]
-                ok = known.get((before, token))
+                ok = known.get(before << TOKEN_BITS | token)
                 if ok is None:
                     ok = apart(before, token)
                 if not ok:
@@ -105,13 +107,21 @@ class PrefixTable:
                 return at
         if done != upto:
             raise ValueError("a byte has no token of its own")
-        del sizes
         return done
 
     def append(self, data: bytes) -> None:
         self.data += data
         self._fill(len(self.data))
 
+    def become(self, data: bytes) -> None:
+        """The table of other bytes, by appending to the prefix both share."""
+        shared, most = 0, min(len(data), len(self.data))
+        while shared < most and data[shared] == self.data[shared]:
+            shared += 1
+        self.data = data[:shared]
+        del self.last[shared + 1 :]
+        self.append(data[shared:])
+
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Bytes ``start`` to ``end`` become ``data``; returns how many prefixes were computed anew."""
         old, shift, same = self.last, len(data) - (end - start), 0
@@ -142,26 +152,31 @@ class TextEncoder:
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.table = PrefixTable(ranks)
+        self.cache = WordCache(self.words, self.text)
 
     def piece(self, piece: str) -> list[int]:
+        """A match that is a token itself is that token; else the table's encoding."""
         data = piece.encode("utf-8")
         whole = self.ranks.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self.ranks, data).ids()
+        if whole is not None:
+            return [whole]
+        self.table.become(data)
+        return self.table.ids()
+
+    def text(self, text: str) -> bytes:
+        return np.array([i for piece in self.pattern.findall(text) for i in self.piece(piece)], np.int32).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = [i for piece in self.pattern.findall(chunk) for i in self.piece(piece)]
-        raw = np.array(ids, np.int32).tobytes()
-        if len(chunk) <= 64:
-            if len(self.known) >= CACHED_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = raw
-        return raw
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        for word in words:
+            if word[0] == " " and word[1:].isalpha():  # one match of the pattern
+                yield struct.pack(f"<{len(ids := self.piece(word))}i", *ids)
+            else:
+                yield self.text(word)
 
     def encode(self, text: str) -> bytes:
-        """The ids as int32 bytes."""
-        get = self.known.get
-        return b"".join([get(c) or self._chunk(c) for c in chunks_of(text)])
+        """The ids of one text as int32 bytes."""
+        return next(self.cache.encode([text]))
 
     def edit(self, text: str, start: int, end: int, new: str) -> tuple[str, list[tuple[int, int]], int]:
         """The edited text, its pieces as (start, end), and how many of them were cut anew.
@@ -186,14 +201,18 @@ class TextEncoder:
         return after, out, fresh
 
 
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+def text_encoder(path: str, pattern: str) -> TextEncoder:
+    return held(("bpe", path, pattern), lambda: TextEncoder(Ranks.load(path), pattern))
 
 
-def text_encoder(path: str, pattern: str) -> TextEncoder:
-    """One encoder a worker process."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = TextEncoder(Ranks.load(path), pattern)
-    return _ENCODERS[path, pattern]
+def _ids_of(own: TextEncoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of a batch (doc_id, text), some rows at a time."""
+    for begin in range(0, batch.num_rows, 512):
+        part = batch.slice(begin, 512)
+        raw = list(own.cache.encode(t.as_py() or "" for t in part.column(1)))
+        offsets = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        yield pa.record_batch([part.column(0), ids], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,16 +225,27 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = text_encoder(path, pattern)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                raw = [own.encode(t.as_py() or "") for t in part.column(1)]
-                offsets = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.record_batch([part.column(0), ids], names=["doc_id", "ids"])
+            yield from _ids_of(own, batch)
 
     return pick(docs, **{id_col: "bigint", text_col: "string"}).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded binary): ``encode``, and the bytes of those ids, in one worker process."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = text_encoder(path, pattern)
+        for batch in batches:
+            for part in _ids_of(own, batch):
+                yield part.append_column("decoded", _bytes_of(own.ranks.token, part.column(1)))
+
+    return pick(docs, **{id_col: "bigint", text_col: "string"}).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+
+
+def _bytes_of(token: dict[int, bytes], lists: pa.Array) -> pa.Array:
+    return pa.array([b"".join(map(token.__getitem__, one.values.to_pylist())) if one.is_valid else None for one in lists], pa.binary())
+
+
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an id array; null for null."""
 
@@ -224,9 +254,6 @@ def decode(ids: Column, path: str) -> Column:
         with open(path, "rb") as lines:
             token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
         for lists in batches:
-            out = []
-            for one in lists:
-                out.append(b"".join(map(token.__getitem__, one.values.to_pylist())) if one.is_valid else None)
-            yield pa.array(out, pa.binary())
+            yield _bytes_of(token, lists)
 
     return run(ids)

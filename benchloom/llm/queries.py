@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from benchloom.llm import dac, jump, langid, mixing, postings, prefix_bpe, pstable, simhash, toxicity, warc
 from benchloom.llm.common import table
+from benchloom.llm.oracles import ORACLE  # noqa: F401
 from benchloom.session import scratch_path
 
 SHARDS = 16
@@ -70,8 +71,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by prefix dynamic programming and decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = prefix_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = ids.withColumn("decoded", prefix_bpe.decode(F.col("ids"), path))
+    decoded = prefix_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -80,4 +80,3 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op5_pstable_dedup, op6_posting_lists, op7_toxicity, op8_jump_shards, op9_warc, op10_prefix_bpe]
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {}

@@ -172,6 +172,8 @@ def test_prefix_bpe_rows(frame, reference_bpe):
     got = [(r.doc_id, list(r.ids), bytes(r.d)) for r in got.withColumn("d", prefix_bpe.decode(got.ids, MULTI)).collect()]
     want = [(i, reference_bpe.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in ROWS]
     assert sorted(got, key=str) == sorted(want, key=str)
+    again = prefix_bpe.round_trip(docs, MULTI, public_tokenizers.PATTERN).collect()
+    assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in again), key=str) == sorted(want, key=str)
 
 
 def test_prefix_bpe_random_texts(ranks, reference_bpe):
