@@ -42,6 +42,7 @@ RECALL = 0.98
 PROBES = 256
 CHUNK = 2048
 BATCH = 512
+HELD_ROWS = 1_000_000
 SEED = 42
 
 
@@ -218,7 +219,39 @@ def _reader(top: int):
             q, v, s = best(ids[at], x[at], ids[data], x[data], top)
             yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    return streamed_groups(2, work)
+    lists = streamed_groups(2, work)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's lists are merged query by query before anything is handed on."""
+        held, size = [], 0
+        for batch in lists(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size > HELD_ROWS:
+                held = [_merged(held, top)]
+                size = held[0].num_rows
+                if size > HELD_ROWS // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield _merged(held, top)
+
+    return run
+
+
+def _merged(found: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
+    """The ``top`` of each query among rows of several lists, a vector once."""
+    q, v, s = (np.concatenate([b.column(k).to_numpy() for b in found]) for k in range(3))
+    order = np.lexsort((-s, v, q))
+    q, v, s = q[order], v[order], s[order]
+    once = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])) if len(q) else np.zeros(0, bool)
+    q, v, s = q[once], v[once], s[once]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    keep = place < top
+    return pa.record_batch([pa.array(q[keep], pa.int64()), pa.array(v[keep], pa.int64()), pa.array(s[keep], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, seed: int = SEED) -> DataFrame:
