@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from benchloom.llm.common import held_out, pick
+from benchloom.llm.common import held, held_out, pick
 
 ORDER = 3
 SLOTS = 1 << 16
 ROWS_PER_LANG = 600
 LANDMARKS = 128
+PARTS = 64  # in which a language's rows are ranked before its best are ranked together
 RIDGE = 1e-2
-BATCH = 64
+BATCH = 32
 LETTERS = 1 << 16  # letters handled at a time
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -75,12 +76,12 @@ class Scorer:
         x = rows.astype(np.float32)
         return (x @ self.rows.T) / (np.sqrt(x.sum(1))[:, None] * self.sizes)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not len(self.langs):
             return langs, scores
         for begin in range(0, len(texts), BATCH):
-            rows = [(k, r) for k in range(begin, min(begin + BATCH, len(texts))) if (r := presence(texts[k])) is not None]
+            rows = [(k, r) for k in range(begin, min(begin + BATCH, len(texts))) if (r := presence(texts[k].as_py())) is not None]
             if not rows:
                 continue
             share = np.clip((self.kernels(np.stack([r for _, r in rows])) @ self.weights + 1) / 2, 1e-6, None)
@@ -94,8 +95,11 @@ class Scorer:
 def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, landmarks: int = LANDMARKS) -> Model:
     """The model from (doc_id, text, lang) outside the held-out fifth; null ids, langs and letterless texts teach nothing."""
     rows = pick(docs, doc_id="bigint", lang="string").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.withColumn("n", place).filter(F.col("n") <= rows_per_lang).select(F.col("doc_id").alias("i")).distinct()
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):  # the first of each part hold the first of all
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("n", place).filter(F.col("n") <= rows_per_lang).drop("n")
+    chosen = rows.select(F.col("doc_id").alias("i")).distinct()
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,20 +131,14 @@ def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, landmarks: int =
     return Model(langs, packed[picked], (nystrom @ beta).astype(np.float32))
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def predict(text: Column, model: Model) -> Column:
     """struct<lang, score> of a whole text: ``und`` and 0 if it is null or has no letter."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key = model.weights.tobytes()
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(model)
+        own = held(("langid", model.weights.tobytes()), lambda: Scorer(model))
         for texts in batches:
-            langs, scores = _SCORERS[key].predict(texts.to_pylist())
+            langs, scores = own.predict(texts)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return run(text.cast("string"))

@@ -38,22 +38,37 @@ BLOCK = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit k is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
+def _stirred(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles (the splitmix64 finaliser); k = 0 leaves them as they are."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(text: str | None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> list[int]:
+    """Bit p is 1 if it is set in over half the shingle hashes; 0 for a text without words.  One for each hash function."""
     words = (text or "").encode("utf-8").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * prints
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    ones, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    ones, digest = np.zeros((prints, BITS), np.int64), xxhash.xxh64_intdigest
     for begin in range(0, n, BLOCK):
         spans = zip(starts[begin : begin + BLOCK], stops[begin : begin + BLOCK], strict=True)
         hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int((1 << np.flatnonzero(2 * ones > n).astype(object)).sum()) if (2 * ones > n).any() else 0
+        for k in range(prints):
+            ones[k] += np.unpackbits(_stirred(hashes, k).view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return fingerprints(text, shingle, seed)[0]
 
 
 @cache
@@ -70,12 +85,13 @@ def flips(upto: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in words]
 
 
-def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
-    """The fingerprint of a text as a bigint; whole texts, null and wordless ones give 0."""
+def fingerprint_column(text: Column, shingle: int = SHINGLE, prints: int = 1) -> Column:
+    """The fingerprints of a whole text as array<bigint>; null and wordless texts give 0."""
 
-    @F.arrow_udf("bigint")
+    @F.arrow_udf("array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
+        flat = np.array([fingerprints(t.as_py(), shingle, prints=prints) for t in texts], np.uint64).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * prints), pa.array(flat))
 
     return run(text.cast("string"))
 
@@ -104,51 +120,61 @@ def _walk(radius: int):
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect exactly what links within the radius connect, from distinct ``fp``."""
-    wide = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))) for t, m in enumerate(masks(radius))])).alias("key"))
-    counts = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    """Edges (k, a, b) that connect exactly what links within the radius connect, from distinct (k, fp); fingerprints of different k never link."""
+    if radius % 2:
+        raise ValueError("the radius must be even: an odd distance leaves one flip more on one side")
+    wide = prints.select("k", "fp", F.explode(F.array(*[F.xxhash64("k", F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))) for t, m in enumerate(masks(radius))])).alias("key"))
+    counts = wide.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     counts = cut(counts, "buckets")
-    two = counts.filter("n = 2").select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    more = wide.join(counts.filter("n > 2").select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k"))
-    lists = more.filter(F.col("n") <= CELL).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    walked = lists.select(F.explode(_walk(radius)(F.col("fps"))).alias("e")).select("e.a", "e.b")
-    crowded = more.filter(F.col("n") > CELL).select("fp").distinct()
+    two = counts.filter("n = 2").select("k", "a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    more = wide.join(counts.filter("n > 2").select("k", "key", "n"), ["k", "key"])
+    lists = more.filter(F.col("n") <= CELL).groupBy("k", "key").agg(F.collect_list("fp").alias("fps"))
+    walked = lists.select("k", F.explode(_walk(radius)(F.col("fps"))).alias("e")).select("k", "e.a", "e.b")
+    crowded = more.filter(F.col("n") > CELL).select("k", "fp").distinct()
     points = F.array(*[F.lit(x).cast("bigint") for x in flips(radius // 2)])
-    balls = crowded.select("fp", F.explode(points).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
-    least = balls.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select(F.col("point").alias("p"), "b")
-    tied = balls.join(least, F.col("point") == F.col("p")).select(F.col("fp").alias("a"), "b").filter("a <> b")
-    if radius % 2:  # an odd distance leaves one flip more on one side
-        raise ValueError("the radius must be even")
+    balls = crowded.select("k", "fp", F.explode(points).alias("x")).select("k", "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
+    least = balls.groupBy("k", "point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("k", "point", "b")
+    tied = balls.join(least, ["k", "point"]).select("k", F.col("fp").alias("a"), "b").filter("a <> b")
     return two.unionByName(walked).unionByName(tied).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id reachable by links.
 
-    Fingerprints within ``radius`` bits link.  Null, empty and wordless texts share fingerprint 0
-    and link with each other; rows with a null id take part, but never give the component its
-    id unless no row of it has one (then it is null).  Repeated rows come out as often as they
-    went in; other columns are ignored; an empty table gives no rows.
+    Fingerprints within ``radius`` bits link.  With several ``prints``, each by another hash
+    function, texts link if one pair of theirs does; ``fingerprint`` shows the first.  Null,
+    empty and wordless texts share fingerprint 0 and link with each other; rows with a null id
+    take part, but never give the component its id unless no row of it has one (then it is
+    null).  Repeated rows come out as often as they went in; other columns are ignored; an empty
+    table gives no rows.
     """
     rows = pick(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
-    marked = cut(rows.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "prints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = components(links(classes.select("fp"), radius))
-    members = classes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    marked = rows.select("doc_id", fingerprint_column(F.col("text"), shingle, prints).alias("fps"))
+    marked = cut(marked.withColumn("class", F.col("fps")[0] if prints == 1 else F.xxhash64("fps")), "prints")
+    classes = marked.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps"))
+    each = classes.select("class", F.posexplode("fps").alias("k", "fp"))
+    found = links(each.select("k", "fp").distinct(), radius)
+    if prints == 1:  # a class is its fingerprint
+        edges = found.select("a", "b")
+    else:
+        node = lambda c: F.xxhash64("k", F.col(c))
+        edges = found.select(node("a").alias("a"), node("b").alias("b")).unionByName(each.select(F.col("class").alias("a"), node("fp").alias("b")))
+    groups = components(edges)
+    members = classes.join(groups, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("group"))
     members = cut(members, "members")
     ids = members.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = members.join(ids, "group").select(F.col("fp").alias("f"), "component_id")
-    out = marked.join(named, F.col("fp") == F.col("f"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = members.join(ids, "group").select(F.col("class").alias("c"), "component_id")
+    out = marked.join(named, F.col("class") == F.col("c"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns as they were.
 
     The row with the smallest id stays; of rows with that id, the one whose text has the smallest
     hash.  A group without ids keeps such a row too.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    found = near_duplicates(docs, id_col, text_col, shingle, radius, prints)
     first = found.groupBy(F.coalesce("component_id", F.lit(NO_ID)).alias("__keep_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__keep_fp")).count()
     own = F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID))
     kept = docs.withColumn("__own_id", own).join(first.select("__keep_id").distinct(), F.col("__own_id") == F.col("__keep_id"), "left_semi")

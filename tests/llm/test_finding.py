@@ -74,7 +74,7 @@ def test_links_within_radius(frame, monkeypatch, cell):
             prints.add(int(base) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)))
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     want = components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] ^ prints[j]) % (1 << 64)).bit_count() <= 4])
-    found = common.components(simhash.links(frame([(p,) for p in prints], "fp bigint")))
+    found = common.components(simhash.links(frame([(0, p) for p in prints], "k int, fp bigint")))
     got = {p: p for p in prints} | {r.node: r.root for r in found.collect()}
     assert [got[p] for p in prints] == [prints[r] for r in want]
 
@@ -92,6 +92,21 @@ def test_near_duplicates_odd_rows(frame):
     assert simhash.near_duplicates(frame([], ODD)).count() == 0 and simhash.keep_one(frame([], ODD)).count() == 0
 
 
+def test_several_prints_link_more(frame):
+    """Each pair within the radius in any print is in one component, by brute force."""
+    rng = np.random.default_rng(8)
+    base = [list(rng.choice(["ka", "lo", "mi", "ra", "tu", "ne", "so", "pi"], 120)) for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.02 else "zz" for w in b) for b in base for _ in range(5)]
+    prints = [simhash.fingerprints(t, 3, prints=4) for t in texts]
+    near = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(a, b, strict=True))
+    want = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if near(prints[i], prints[j])])
+    docs = frame([(k, t, None, None, None, None) for k, t in enumerate(texts)], ODD)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=3, prints=4).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert {r.doc_id for r in simhash.keep_one(docs, shingle=3, prints=4).collect()} == set(want)
+    assert simhash.near_duplicates(frame([], ODD), prints=4).count() == 0
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, id string, v int, links int"
 
 
@@ -280,7 +295,7 @@ def test_pipeline_stages(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         after = common.cut(stage(spark, at, small), "test-stage")
         if name == "simhash_near_dedup":
-            groups = {r.component_id for r in simhash.near_duplicates(at).collect()}
+            groups = {r.component_id for r in simhash.near_duplicates(at, shingle=corpus_pipeline.DEDUP_SHINGLE, prints=corpus_pipeline.DEDUP_PRINTS).collect()}
             assert {r.doc_id for r in after.collect()} == groups
         if name != "byte_bpe":
             assert after.columns == docs.columns and after.count() > 0
