@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from benchloom.llm.common import components, pick
 from benchloom.session import cut
@@ -33,8 +32,9 @@ SHINGLE = 4
 RADIUS = 4
 CELL = 4096
 SEED = 42
-NO_ID = (1 << 63) - 1
 BLOCK = 1 << 16
+SET_SHINGLE = 5
+BANDS, BAND_ROWS = 32, 5  # sets alike to 0.8 share no band with a chance of 3e-6
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -48,16 +48,19 @@ def _stirred(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _shingled(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by single spaces, and where each shingle starts and stops; a shorter text is one shingle, a wordless one none."""
+    words = (text or "").encode("utf-8").translate(_LOWER).split()
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    n = max(1, len(words) - shingle + 1)
+    return b" ".join(words), [0, *(ends[: n - 1] + 1).tolist()] if words else [], ends[min(shingle, len(words)) - 1 :].tolist()
+
+
 def fingerprints(text: str | None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> list[int]:
     """Bit p is 1 if it is set in over half the shingle hashes; 0 for a text without words.  One for each hash function."""
-    words = (text or "").encode("utf-8").translate(_LOWER).split()
-    if not words:
+    joined, starts, stops = _shingled(text, shingle)
+    if not (n := len(starts)):
         return [0] * prints
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
     ones, digest = np.zeros((prints, BITS), np.int64), xxhash.xxh64_intdigest
     for begin in range(0, n, BLOCK):
         spans = zip(starts[begin : begin + BLOCK], stops[begin : begin + BLOCK], strict=True)
@@ -138,6 +141,151 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return two.unionByName(walked).unionByName(tied).distinct()
 
 
+def shingle_set(text: str | None, shingle: int = SET_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text in ascending order; empty for a text without words."""
+    joined, starts, stops = _shingled(text, shingle)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+@cache
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return tuple(rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[1], [0]], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One key a band, equal if the least of ``BAND_ROWS`` permutations are the same shingles; none for an empty set."""
+    if not len(hashes):
+        return []
+    times, plus = _multipliers()
+    least = np.full(len(times), np.iinfo(np.uint64).max)
+    for begin in range(0, len(hashes), 4096):
+        mixed = hashes[begin : begin + 4096, None] * times + plus
+        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).min(0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _sketched(text: Column, shingle: int, prints: int) -> Column:
+    """struct<set, fps, bands> of a whole text: a hash of its shingle set, its fingerprints, its band keys."""
+
+    @F.arrow_udf("struct<set:bigint,fps:array<bigint>,bands:array<bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        sets, fps, keys = [], [], []
+        for t in texts:
+            t = t.as_py()
+            own = shingle_set(t)
+            sets.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+            fps.append(np.array(fingerprints(t, shingle, prints=prints), np.uint64).view(np.int64).tolist())
+            keys.append(bands(own))
+        many = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(sets, pa.int64()), pa.array(fps, many), pa.array(keys, many)], names=["set", "fps", "bands"])
+
+    return run(text.cast("string"))
+
+
+def _shingles(text: Column) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    return run(text.cast("string"))
+
+
+def _walk_sets(similarity: float):
+    """As ``_walk``, over sets: edges that connect what the pairs of a bucket alike to ``similarity`` connect."""
+
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    def run(lists: pa.Array) -> pa.Array:
+        out = []
+        for one in lists:
+            members = one.values
+            names, sets = members.field("c").to_pylist(), members.field("s")
+            sizes = np.array([len(x) for x in sets])
+            _, flat = np.unique(np.array(sets.flatten()), return_inverse=True)
+            at, owner = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(names)), sizes)
+            mark, left, edges = np.zeros(len(flat), bool), np.ones(len(names), bool), []
+            left_flat, left_owner = flat, owner
+            while left.any():
+                root = int(np.flatnonzero(left)[0])
+                left[root], queue = False, [root]
+                while queue and left.any():
+                    k = queue.pop()
+                    mark[own := flat[at[k] : at[k + 1]]] = True
+                    common = np.bincount(left_owner[mark[left_flat]], minlength=len(names))
+                    mark[own] = False
+                    found = np.flatnonzero(left & (common / (sizes[k] + sizes - common) >= similarity))
+                    if len(found):
+                        edges += [{"a": names[x], "b": names[root]} for x in found]
+                        left[found] = False
+                        queue += found.tolist()
+                        stay = left[left_owner]
+                        left_flat, left_owner = left_flat[stay], left_owner[stay]
+            out.append(edges)
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    return run
+
+
+def _fingerprint_links(classes: DataFrame, radius: int) -> DataFrame:
+    """Pairs of classes (a, b) to look at: each class and the smallest with its fingerprint, and the smallest of fingerprints that link."""
+    each = cut(classes.select("class", F.posexplode("fps").alias("k", "fp")), "prints")
+    lead = cut(each.groupBy("k", "fp").agg(F.min("class").alias("lead")), "leads")
+    found = links(lead.select("k", "fp"), radius)
+    of = lambda c: lead.select("k", F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    between = found.join(of("a"), ["k", "a"]).join(of("b"), ["k", "b"]).select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    return between.unionByName(each.join(lead, ["k", "fp"]).select(F.col("class").alias("a"), F.col("lead").alias("b")))
+
+
+def similar_links(marked: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between classes whose shingle sets are alike to ``similarity``, from (seq, class, fps, bands, text).
+
+    Pairs come from fingerprints within the radius and from shared bands; each edge is checked
+    by the exact Jaccard of the two sets.  A bucket's members are first held against its
+    smallest; where one of them fails, the whole bucket is searched.  So the edges connect all
+    that pairs alike and sharing a band connect, without listing the pairs of a family.
+    """
+    classes = cut(marked.groupBy("class").agg(F.min("seq").alias("seq"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "classes")
+    wide = classes.select("class", F.explode("bands").alias("key"))
+    buckets = cut(wide.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("n > 1"), "buckets")
+    members = cut(wide.join(buckets.filter("n > 2").select("key", F.col("a").alias("least")), "key"), "members")
+    stars = members.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    pairs = stars.unionByName(buckets.filter("n = 2").select("a", "b")).unionByName(_fingerprint_links(classes, radius))
+    pairs = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    texts = marked.select("seq", "text").join(classes.join(wanted, "class", "left_semi").select("seq", "class"), "seq")
+    sets = cut(texts.select("class", _shingles(F.col("text")).alias("s")), "sets")
+    of = lambda c: sets.select(F.col("class").alias(c), F.col("s").alias(f"s{c}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    checked = pairs.join(of("a"), "a").join(of("b"), "b")
+    checked = cut(checked.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("alike")), "checked")
+    failed = checked.filter(F.col("alike") < similarity).select(F.col("a").alias("class"), F.col("b").alias("least"))
+    unsure = members.join(failed, ["class", "least"], "left_semi").select("key").distinct()
+    rest = cut(members.join(unsure, "key", "left_semi").select("key", "class"), "unsure")
+    same = rest.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
+    once = same.groupBy("x", "n").agg(F.min("key").alias("key")).select("key")  # equal buckets are searched once
+    lists = rest.join(once, "key").join(sets, "class").groupBy("key").agg(F.collect_list(F.struct(F.col("class").alias("c"), "s")).alias("m"))
+    walked = lists.select(F.explode(_walk_sets(similarity)(F.col("m"))).alias("e")).select("e.a", "e.b")
+    return checked.filter(F.col("alike") >= similarity).select("a", "b").unionByName(walked)
+
+
+def _groups(marked: DataFrame, radius: int, prints: int) -> DataFrame:
+    """(class, group) of the classes that links within the radius connect, from (class, fps)."""
+    classes = marked.groupBy("class").agg(F.min("fps").alias("fps"))
+    each = classes.select("class", F.posexplode("fps").alias("k", "fp"))
+    found = links(each.select("k", "fp").distinct(), radius)
+    if prints == 1:  # a class is its fingerprint
+        edges = found.select("a", "b")
+    else:
+        node = lambda c: F.xxhash64("k", F.col(c))
+        edges = found.select(node("a").alias("a"), node("b").alias("b")).unionByName(each.select(F.col("class").alias("a"), node("fp").alias("b")))
+    return _rooted(classes, edges)
+
+
+def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    return classes.join(components(edges), F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id reachable by links.
 
@@ -150,33 +298,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = pick(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
     marked = rows.select("doc_id", fingerprint_column(F.col("text"), shingle, prints).alias("fps"))
-    marked = cut(marked.withColumn("class", F.col("fps")[0] if prints == 1 else F.xxhash64("fps")), "prints")
-    classes = marked.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps"))
-    each = classes.select("class", F.posexplode("fps").alias("k", "fp"))
-    found = links(each.select("k", "fp").distinct(), radius)
-    if prints == 1:  # a class is its fingerprint
-        edges = found.select("a", "b")
-    else:
-        node = lambda c: F.xxhash64("k", F.col(c))
-        edges = found.select(node("a").alias("a"), node("b").alias("b")).unionByName(each.select(F.col("class").alias("a"), node("fp").alias("b")))
-    groups = components(edges)
-    members = classes.join(groups, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("group"))
-    members = cut(members, "members")
+    marked = cut(marked.withColumn("class", _class(F.col("fps"), prints)), "prints")
+    least = marked.groupBy("class").agg(F.min("doc_id").alias("least"))
+    members = cut(_groups(marked, radius, prints).join(least, "class"), "members")
     ids = members.groupBy("group").agg(F.min("least").alias("component_id"))
     named = members.join(ids, "group").select(F.col("class").alias("c"), "component_id")
     out = marked.join(named, F.col("class") == F.col("c"))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1) -> DataFrame:
+def _class(fps: Column, prints: int) -> Column:
+    return fps[0] if prints == 1 else F.xxhash64(fps)
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1, similarity: float | None = None
+) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns as they were.
 
-    The row with the smallest id stays; of rows with that id, the one whose text has the smallest
-    hash.  A group without ids keeps such a row too.
+    Groups are those of ``near_duplicates``, or with ``similarity`` those that pairs connect
+    whose sets of ``SET_SHINGLE``-word shingles are alike to it (``similar_links``).  Of each
+    group the row with the smallest id stays, null ids last; of rows with that id, the one whose
+    text has the smallest hash.  Rows are numbered as they are written, so equal and null ids
+    need not tell them apart.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius, prints)
-    first = found.groupBy(F.coalesce("component_id", F.lit(NO_ID)).alias("__keep_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__keep_fp")).count()
-    own = F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID))
-    kept = docs.withColumn("__own_id", own).join(first.select("__keep_id").distinct(), F.col("__own_id") == F.col("__keep_id"), "left_semi")
-    order = W.partitionBy("__own_id").orderBy(F.xxhash64(F.col(text_col)), *[F.col(c) for c in docs.columns if c != text_col])
-    return kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*docs.columns)
+    rows = docs.withColumn("__seq", F.monotonically_increasing_id())
+    if similarity is None:
+        rows = rows.withColumn("__s", F.struct(fingerprint_column(F.col(text_col), shingle, prints).alias("fps")))
+        rows = cut(rows.withColumn("__class", _class(F.col("__s.fps"), prints)), "numbered")
+        groups = _groups(rows.select(F.col("__class").alias("class"), "__s.fps"), radius, prints)
+    else:
+        rows = rows.withColumn("__s", _sketched(F.col(text_col), shingle, prints))
+        rows = cut(rows.withColumn("__class", F.col("__s.set")), "numbered")
+        marked = rows.select(F.col("__seq").alias("seq"), F.col("__class").alias("class"), "__s.fps", "__s.bands", F.col(text_col).alias("text"))
+        groups = _rooted(marked.select("class").distinct(), similar_links(marked, similarity, radius))
+    own = F.col(id_col).cast("bigint")
+    place = F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(text_col).alias("text"), F.col("__seq").alias("seq"))
+    first = rows.groupBy(F.col("__class").alias("class")).agg(F.min(place).alias("first"))
+    kept = first.join(groups, "class").groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.seq").alias("__seq"))
+    return rows.join(kept, "__seq", "left_semi").select(*docs.columns)

@@ -308,3 +308,14 @@ def test_pipeline_stages(spark, small):
 def test_registered_queries_give_a_row_each(spark, small, name):
     source = "embeddings" if "op5" in name else "documents"
     assert queries.QUERIES[name](spark, small).count() == spark.read.parquet(f"{small}/{source}.parquet").count()
+
+
+def test_keep_one_null_and_repeated_ids(frame):
+    """Every group keeps one row, whatever the ids."""
+    own = [" ".join(f"{name}{k}" for k in range(40)) for name in ("p", "q", "r", "s", "t", "u")]
+    rows = [(None, own[0]), (None, own[0]), (None, own[1]), (None, own[2]), (4, own[2]), (7, own[3]), (7, own[4]), (7, own[4]), (7, own[5]), (2, own[5])]
+    docs = frame([(i, t, None, None, None, None) for i, t in rows], ODD)
+    want = Counter([(None, own[0]), (None, own[1]), (4, own[2]), (7, own[3]), (7, own[4]), (2, own[5])])
+    for similarity in (None, 0.8):
+        kept = simhash.keep_one(docs, similarity=similarity)
+        assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == want
