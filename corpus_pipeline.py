@@ -18,6 +18,7 @@ TOXIC_FROM = 0.5
 ENTROPY = 0.97
 DEDUP_SHINGLE = 3
 DEDUP_PRINTS = 4
+DEDUP_SIMILARITY = 0.8  # of the sets of five-word shingles
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +35,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id.
 
-    Meant are texts whose sets of five-word shingles are alike to 0.8 or more.  Those change up
-    to a seventh of a fingerprint's bits, so one fingerprint within 4 bits misses many; four
-    fingerprints of three-word shingles bring 94 % of such pairs into one group.
+    Texts link if their sets of five-word shingles are alike to ``DEDUP_SIMILARITY`` or more, by
+    exact count.  Candidates are texts with fingerprints within 4 bits, which alone miss some of
+    these pairs and hold others below it, and texts that share a band of least hashes.
     """
-    return simhash.keep_one(docs, shingle=DEDUP_SHINGLE, prints=DEDUP_PRINTS)
+    return simhash.keep_one(docs, shingle=DEDUP_SHINGLE, prints=DEDUP_PRINTS, similarity=DEDUP_SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

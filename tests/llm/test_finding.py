@@ -319,3 +319,40 @@ def test_keep_one_null_and_repeated_ids(frame):
     for similarity in (None, 0.8):
         kept = simhash.keep_one(docs, similarity=similarity)
         assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def alike(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def families(rng, n=24, words=150):
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [list(rng.choice(vocabulary, words)) for _ in range(n)]
+    change = lambda b, share: " ".join(w if rng.random() > share else f"x{rng.integers(10**6)}" for w in b)
+    return [change(b, share) for b in base for share in (0, 0.005, 0.01, 0.02, 0.02, 0.025, 0.03, 0.05)]
+
+
+def test_dedup_stage_links_by_shingle_similarity(spark, frame):
+    """The groups of the stage are those of all pairs at 0.8, near the bound too; a chain through a shared bucket holds."""
+    texts = families(np.random.default_rng(9))
+    texts += [texts[0].upper(), "a b", "A  b", "a c", "one two three four five", "one two three four six"]
+    want = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8])
+    docs = frame([(k, t, None, None, None, None) for k, t in enumerate(texts)], ODD)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(want))
+    assert corpus_pipeline.drop_near_duplicates(spark, frame([], ODD), "").count() == 0
+
+
+def test_unsure_buckets_are_searched(frame):
+    """All pairs of a bucket count, not only those with its smallest member."""
+    sets = [(1, range(0, 100)), (2, range(30, 130)), (3, range(35, 135)), (4, range(40, 140)), (5, range(500, 600))]
+    lists = frame([([(c, list(s)) for c, s in sets],)], "m array<struct<c:bigint,s:array<bigint>>>")
+    (row,) = lists.select(simhash._walk_sets(0.8)("m").alias("e")).collect()
+    assert {tuple(sorted(e)) for e in row.e} == {(2, 3), (2, 4)}
+
+
+def test_dedup_stage_on_a_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(rows[i][1], rows[j][1]) >= 0.8])
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()} == {rows[k][0] for k in want}
