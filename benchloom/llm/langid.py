@@ -59,11 +59,22 @@ def presence(text: str | None) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """Languages, landmark rows (bits packed), and weights from landmark kernels to languages."""
+    """Languages, landmark rows (bits packed), weights from landmark kernels to languages, and the score from which a text is in one of them."""
 
     langs: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    floor: float = 0.0
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(_OTHER.sub("", text or ""))
+
+
+def _shares(values: np.ndarray) -> np.ndarray:
+    """Regression values as shares of the languages, one row a text."""
+    share = np.clip((values + 1) / 2, 1e-6, None)
+    return share / share.sum(1, keepdims=True)
 
 
 class Scorer:
@@ -84,8 +95,7 @@ class Scorer:
             rows = [(k, r) for k in range(begin, min(begin + BATCH, len(texts))) if (r := presence(texts[k].as_py())) is not None]
             if not rows:
                 continue
-            share = np.clip((self.kernels(np.stack([r for _, r in rows])) @ self.weights + 1) / 2, 1e-6, None)
-            share /= share.sum(1, keepdims=True)
+            share = _shares(self.kernels(np.stack([r for _, r in rows])) @ self.weights)
             best = share.argmax(1)
             for (k, _), b, s in zip(rows, best, share, strict=True):
                 langs[k], scores[k] = self.langs[b], float(s[b])
@@ -93,7 +103,11 @@ class Scorer:
 
 
 def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, landmarks: int = LANDMARKS) -> Model:
-    """The model from (doc_id, text, lang) outside the held-out fifth; null ids, langs and letterless texts teach nothing."""
+    """The model from (doc_id, text, lang) outside the held-out fifth; null ids, langs and letterless texts teach nothing.
+
+    Its ``floor`` lies halfway between the score of a text that is like no language more than
+    another and the least score of the rows learned from; with fewer than two languages it is 0.
+    """
     rows = pick(docs, doc_id="bigint", lang="string").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
     for keys in (("lang", "part"), ("lang",)):  # the first of each part hold the first of all
@@ -128,7 +142,9 @@ def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, landmarks: int =
     target = np.where(lang_no[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weigh = (1.0 / np.bincount(lang_no))[lang_no][:, None]  # each language counts alike
     beta = np.linalg.solve(z.T @ (weigh * z) + RIDGE * np.eye(z.shape[1]), z.T @ (weigh * target))
-    return Model(langs, packed[picked], (nystrom @ beta).astype(np.float32))
+    weights, even = (nystrom @ beta).astype(np.float32), 1 / len(langs)
+    least = float(_shares(kernel.astype(np.float32) @ weights).max(1).min())
+    return Model(langs, packed[picked], weights, (even + least) / 2 if len(langs) > 1 else 0.0)
 
 
 def predict(text: Column, model: Model) -> Column:
@@ -144,6 +160,19 @@ def predict(text: Column, model: Model) -> Column:
     return run(text.cast("string"))
 
 
+def accepted(text: Column, model: Model) -> Column:
+    """True for a text scored ``model.floor`` or more; of a model without languages, for every text with a letter.  Never null."""
+    if model.langs:
+        found = predict(text, model)
+        return (found["lang"] != UNKNOWN) & (found["score"] >= model.floor)
+
+    @F.arrow_udf("boolean")
+    def lettered(texts: pa.Array) -> pa.Array:
+        return pa.array([has_letter(t.as_py()) for t in texts], pa.bool_())
+
+    return lettered(text.cast("string"))
+
+
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; repeated rows and null ids come out as they went in."""
     found = pick(docs, doc_id="bigint", text="string").select("doc_id", predict(F.col("text"), model).alias("p"))

@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told at all stay: null texts and those without letters go."""
-    return docs.filter(langid.predict(F.col("text"), langid.learn(docs))["lang"] != langid.UNKNOWN)
+    """Documents whose language score reaches the model's floor stay; where no language could be learned, all with letters.  Null texts go."""
+    return docs.filter(langid.accepted(F.col("text"), langid.learn(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

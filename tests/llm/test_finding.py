@@ -356,3 +356,14 @@ def test_dedup_stage_on_a_table(spark, small):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(rows[i][1], rows[j][1]) >= 0.8])
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()} == {rows[k][0] for k in want}
+
+
+def test_language_stage_rests_on_the_score(spark, frame, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = np.random.default_rng(10)
+    noise = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz  "), 400)) for _ in range(20)] + ["жшщ цчъ ыьэ " * 20, None, "12 34"]
+    both = docs.unionByName(frame([(10_000 + k, t, None, "x", 1) for k, t in enumerate(noise)], docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, both, small).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+    odd = frame([(1, "some words", None, None, "x", 1), (2, None, None, None, "x", 1), (None, "é", "en", None, None, None), (3, "12 _", None, None, None, None)], ODD)
+    assert {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, odd, small).collect()} == {1, None}
