@@ -50,12 +50,12 @@ class WordCache:
     """Whole texts to bytes of ids; a word met before is looked up.
 
     ``encode_words`` gets sorted texts that begin with white space and end in a visible
-    character; ``encode_text`` gets anything.  A full cache becomes the older one, from
+    character; ``encode_text`` gets anything, and every text of which ``whole`` is true.  A full cache becomes the older one, from
     which words still in use come back.  The caches save time and change no result.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], Iterable[bytes]], encode_text: Callable[[str], bytes]):
-        self.encode_words, self.encode_text = encode_words, encode_text
+    def __init__(self, encode_words: Callable[[list[str]], Iterable[bytes]], encode_text: Callable[[str], bytes], whole: Callable[[str], bool] = lambda text: False):
+        self.encode_words, self.encode_text, self.whole = encode_words, encode_text, whole
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -85,7 +85,7 @@ class WordCache:
             known[word] = known[stem] + self.marks[marks]
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [words_of(t) if cuttable(t) else None for t in texts]
+        parts = [words_of(t) if cuttable(t) and not self.whole(t) else None for t in texts]
         found = [list(map(self.known.get, p[1])) if p else [] for p in parts]
         new = {w for p, f in zip(parts, found, strict=True) if None in f for w, ids in zip(p[1], f, strict=True) if ids is None}
         self._learn(new)

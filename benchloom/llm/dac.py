@@ -168,16 +168,24 @@ def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
 
 
 class Encoder:
-    """Texts to bytes of uint32 ids with the tokenizers library."""
+    """Texts to bytes of uint32 ids with the tokenizers library.
 
-    def __init__(self, path: str):
+    With ``special_as_text`` the text of a special token is ordinary text; else it gives the
+    token's id, as the library does by default.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
 
     def text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -189,17 +197,17 @@ class Encoder:
                 yield struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encoder(path: str) -> WordCache:
+def encoder(path: str, special_as_text: bool = True) -> WordCache:
     def make() -> WordCache:
-        own = Encoder(path)
-        return WordCache(own.words, own.text)
+        own = Encoder(path, special_as_text)
+        return WordCache(own.words, own.text, own.holds_added)
 
-    return held(("dac", path), make)
+    return held(("dac", path, special_as_text), make)
 
 
-def _packer(path: str, end_id: int, segment_tokens: int) -> Callable:
+def _packer(path: str, end_id: int, segment_tokens: int, special_as_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number, before = encoder(path), 0, 0
+        own, number, before = encoder(path, special_as_text), 0, 0
         file_no = TaskContext.get().partitionId()
         docs: list[int | None] = []
         lengths: list[int] = []
@@ -233,17 +241,27 @@ def _packer(path: str, end_id: int, segment_tokens: int) -> Callable:
     return run
 
 
-def write_segments(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
+def write_segments(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = END_ID,
+    segment_tokens: int = SEGMENT_TOKENS,
+    special_as_text: bool = True,
+) -> None:
     """Encodes every whole text, appends ``end_id`` and writes segments in ascending id order.
 
     Rows are range-partitioned by id (null ids first, equal ids by text); a file holds one range
     and file numbers follow the ranges.  A null text counts as empty and yields the end id
     alone; repeated rows are written as often as they occur; an empty table writes no segment.
+    ``special_as_text`` is as in ``Encoder``.
     Other columns of ``docs`` are ignored.
     """
     rows = pick(docs, **{id_col: "bigint", text_col: "string"})
     ranged = rows.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    ranged.mapInArrow(_packer(tokenizer, end_id, segment_tokens), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(_packer(tokenizer, end_id, segment_tokens, special_as_text), SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:

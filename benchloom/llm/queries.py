@@ -19,7 +19,7 @@ ENTROPY = 0.97  # of the greatest entropy
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written as directly addressable codes and read back."""
     path = scratch_path(spark, "codes")
-    dac.write_segments(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    dac.write_segments(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     return dac.document_digests(dac.read_segments(spark, path))
 
 

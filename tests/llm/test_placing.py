@@ -215,3 +215,19 @@ def test_registered_queries_read_all_rows(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     for name in ("op1_token_codes", "op8_jump_shards", "op10_prefix_bpe"):
         assert queries.QUERIES[name](spark, small).count() == n
+
+
+def test_op1_gives_added_tokens_their_id(spark, frame):
+    """The query's ids are those of the library's plain call, texts with the literal of an added token too."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BYTE)
+    texts = ["a plain text", "ends here <|endoftext|> and on", "<|endoftext|>", "word<|endoftext|>word word", "last words"]
+    folder = scratch_path(spark, "test-op1")
+    frame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    want, start = [], 0
+    for k, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, dac.END_ID]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op1_token_codes(spark, folder).collect())) == want
