@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from benchloom.llm import dac, jump, langid, mixing, postings, prefix_bpe, pstable, simhash, toxicity, warc
+from benchloom.functions.variants import let
+from benchloom.llm import anchors, dac, jump, langid, mixing, periods, postings, prefix_bpe, pstable, resampling, simhash, toxicity, warc
 from benchloom.llm.common import table
 from benchloom.llm.oracles import ORACLE  # noqa: F401
 from benchloom.session import scratch_path
@@ -78,5 +79,52 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op5_pstable_dedup, op6_posting_lists, op7_toxicity, op8_jump_shards, op9_warc, op10_prefix_bpe]
+def op11_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stand in a document with a smaller id."""
+    stripped = anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _with_period(doc_id, text):
+    """A tenth of the texts, chosen by the CRC of the id: from a word on, the words up to there repeated to the end."""
+
+    def repeated(v):
+        n, g = F.size(v["words"]).cast("bigint"), v["g"]
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+        at = lambda s: F.transform(s["words"], lambda w, i: F.get(s["words"], F.when(i >= s["a"], s["a"] + F.pmod(i - s["a"], s["p"])).otherwise(i).cast("int")))
+        return F.when(n > 0, let(F.struct(v["words"].alias("words"), a.alias("a"), p.alias("p")), lambda s: F.array_join(at(s), " "))).otherwise(F.lit(""))
+
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = let(F.struct(words.alias("words"), F.floor(h / 10).cast("bigint").alias("g")), repeated)
+    return F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(text)
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, with those planted in a tenth of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = periods.find_runs(docs.select("doc_id", _with_period(F.col("doc_id"), F.col("text")).alias("text")))
+    # of all runs the longest, then the first, then that of the smallest period
+    best = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"], r["length"].alias("size"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.size").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.size") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_prefix_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance for the benchmark's texts, and its place in the draw."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = [op1_token_codes, op2_covering_simhash, op3_mixing, op4_language_id, op5_pstable_dedup, op6_posting_lists, op7_toxicity, op8_jump_shards, op9_warc, op10_prefix_bpe, op11_difference_cover, op12_word_runs, op13_prefix_crc]
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
