@@ -95,13 +95,14 @@ def _stretches(ids: np.ndarray, starts: np.ndarray, least: int, powers: int) ->
     back = np.full(n, n, np.int64)
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
     begins, ends = starts[:-1], starts[1:]
-    left = n + 1
+    left = cuts = 0
     while True:
         keep = ends - begins >= least
         begins, ends = begins[keep], ends[keep]
         sizes = ends - begins
         total = int(sizes.sum())
-        if not total or total > 0.95 * left:  # nearly all of them stay: what is left is grouped
+        print(total, end=" ")
+        if not total or total == left:
             return begins, ends
         left = total
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
