@@ -101,10 +101,9 @@ def _stretches(ids: np.ndarray, starts: np.ndarray, least: int, powers: int) ->
         begins, ends = begins[keep], ends[keep]
         sizes = ends - begins
         total = int(sizes.sum())
-        print(total, end=" ")
-        if not total or total == left:
+        if not total or cuts and total > 0.98 * left:  # nearly all of them stay: what is left is grouped
             return begins, ends
-        left = total
+        left, cuts = total, cuts + 1
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         at = np.arange(total) + np.repeat(begins - first, sizes)
         most, lo, hi = np.repeat(sizes // powers, sizes), np.repeat(begins, sizes), np.repeat(ends, sizes)
