@@ -12,9 +12,12 @@ from benchloom import fixed
 from benchloom.functions.groups import group_value
 from benchloom.functions.seeded import draw_key
 from benchloom.functions.text import blank_to_null
+from benchloom.operators.numbering import rank_in_order
+from benchloom.session import cut
 from benchloom.sizing import broadcast_if_small
 
 INLINE_IDS = 500
+CAP_DIGITS = 4  # hexadecimal digits of the draw key that a cap counts by
 
 
 class SelectionError(ValueError):
@@ -181,10 +184,26 @@ def sample_per_group(
 
 
 def cap_cases(df: DataFrame, max_cases: int | None, seed: int = 42) -> DataFrame:
-    """At most ``max_cases`` rows, drawn by hash order: a top-k, not a full sort."""
+    """At most ``max_cases`` rows, drawn by hash order, in no order.
+
+    ``df`` is written once.  Counts of the draw keys' leading digits, at most 65,536 of them,
+    tell which digits are all in and which are at the edge; only the rows at the edge are put in
+    order, in ranges, so no task sees the whole draw.
+    """
     if max_cases is None:
         return df
-    return df.orderBy(draw_key(seed, F.lit("cap"), F.col("case_id")), "case_id").limit(max_cases)
+    drawn = df.withColumn("__draw", draw_key(seed, F.lit("cap"), F.col("case_id")))
+    drawn = cut(drawn.withColumns({"__lead": F.substring("__draw", 1, CAP_DIGITS), "__seq": F.monotonically_increasing_id()}), "drawn")
+    taken, edge, rest = 0, None, 0
+    for row in sorted(drawn.groupBy("__lead").count().collect()):
+        if taken + row["count"] > max_cases:
+            edge, rest = row["__lead"], max_cases - taken
+            break
+        taken += row["count"]
+    else:
+        return drawn.select(*df.columns)
+    placed = rank_in_order(drawn.where(F.col("__lead") == edge), [F.col("__draw"), F.col("case_id"), F.col("__seq")], "__place")
+    return drawn.where(F.col("__lead") < edge).select(*df.columns).unionByName(placed.where(F.col("__place") <= rest).select(*df.columns))
 
 
 # --- U4, W11 --------------------------------------------------------------------------
@@ -213,11 +232,12 @@ class Sampled:
 
 
 def sample_bundle(cases: DataFrame, spec: Selection, new_benchmark_id: str | None = None) -> Sampled:
-    """Filters, per-group sample and cap in one go, with the complement and the counts."""
+    """Filters, per-group sample and cap in one go, with the complement and the counts; the selection is computed once and written."""
     group = group_value(spec.group_selector)
     filtered = filter_cases(cases, spec)
     sampled, short = sample_per_group(filtered, group, spec.sample_size_per_group, spec.seed, spec.undersized)
-    selected = cap_cases(sampled, spec.max_cases, spec.seed)
+    # written once: the selection itself, its counts and its complement all read it
+    selected = cut(cap_cases(sampled, spec.max_cases, spec.seed), "selected")
     counts = group_counts(cases, selected, group)
     excluded = excluded_cases(cases, selected)
     if new_benchmark_id:

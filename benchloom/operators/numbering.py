@@ -47,6 +47,21 @@ def blockwise_row_number(df: DataFrame, keys: list[str], order: list, block: Col
     return joined.withColumn(out, (F.col("__off") + F.col("__rn")).cast("bigint")).drop("__block", "__rn", "__off")
 
 
+def rank_in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with each row's place from 1 along ``order`` as ``out``.
+
+    Rows are range-partitioned and written once, a range is numbered in one task, and only its
+    size meets those of the others.  ``order`` should tell rows apart, or many equal ones share
+    a range.
+    """
+    stored = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = stored.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(*order)) + F.col("__off")
+    return stored.join(F.broadcast(offsets), F.col("__range") == F.col("__r")).withColumn(out, place.cast("bigint")).drop("__range", "__r", "__off")
+
+
 def number_records(df: DataFrame, order: list[str], prefix: str = "rec_", width: int = 8, partitions: int | None = None) -> DataFrame:
     """Dense global ids along ``order``; the old ``record_id`` is kept as ``source_record_id``.
 
@@ -78,32 +93,35 @@ def pack_batches(df: DataFrame, key: str, seq: str, signature: str, size: int, b
     """Adds ``batch_first`` (row number of the batch's first row) and ``batch_index``.
 
     A batch is a run of consecutive rows of one key with one signature, at most ``size``
-    long.  Runs may cross block bounds: each block gets the last signature and the last run
-    start of the blocks before it, so the cut points are exact.
+    long.  Rows are shuffled once, to blocks of a key, and numbered there.  A block's summary
+    is its row count, its first and last signature and where its last run starts; summaries
+    of neighbouring blocks join to one of the same form, so a scan over one row a block gives
+    each block the rows, the signature and the open run before it, and the cut points are
+    exact.
     """
-    rows = blockwise_row_number(df, [key], [F.col(seq)], seq_block(seq, block_rows), "__no")
-    rows = rows.withColumn("__block", seq_block(seq, block_rows))
-    parts = [key, "__block"]
-    carry = W.partitionBy(key).orderBy("__block")
-    ends = rows.groupBy(*parts).agg(F.max_by(F.struct(F.col(signature).alias("s")), F.col(seq)).alias("__end"))
-    ends = ends.withColumn("__before", F.lag("__end").over(carry))
+    # a struct is never null, so null keys and signatures compare and join as values
+    rows = df.withColumns({"__k": F.struct(F.col(key).alias("k")), "__block": seq_block(seq, block_rows), "__s": F.struct(F.col(signature).alias("s"))})
+    parts = ["__k", "__block"]
     inside = W.partitionBy(*parts).orderBy(seq)
-    joined = _join_summary(rows, ends, parts, ["__before"])
-    previous = F.coalesce(F.lag(F.struct(F.col(signature).alias("s"))).over(inside), F.col("__before"))
-    marked = joined.withColumn("__start", ~previous.eqNullSafe(F.struct(F.col(signature).alias("s"))))
-    starts = marked.groupBy(*parts).agg(F.max(F.when(F.col("__start"), F.col("__no"))).alias("__last"))
-    prior = carry.rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.withColumn("__open", F.max("__last").over(prior)).drop("__last")
-    full = _join_summary(marked, starts, parts, ["__open"])
-    run = F.coalesce(
-        F.max(F.when(F.col("__start"), F.col("__no"))).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("__open")
+    here = rows.withColumns({"__rn": F.row_number().over(inside), "__prev": F.lag("__s").over(inside)})
+    # a block's first row starts a run or not, as the block before tells
+    here = here.withColumn("__from", F.max(F.when(F.col("__prev") != F.col("__s"), F.col("__rn"))).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    blocks = here.groupBy(*parts).agg(
+        F.count("*").alias("__n"), F.min_by("__s", "__rn").alias("__head"), F.max_by("__s", "__rn").alias("__tail"), F.max("__from").alias("__last")
     )
-    position = F.col("__no") - F.col("__run")
+    carry = W.partitionBy("__k").orderBy("__block")
+    prior = carry.rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"__off": F.coalesce(F.sum("__n").over(prior), F.lit(0)), "__before": F.lag("__tail").over(carry)})
+    opens = F.col("__before").isNull() | (F.col("__before") != F.col("__head"))
+    last = F.when(F.col("__last").isNotNull(), F.col("__off") + F.col("__last")).when(opens, F.col("__off") + 1)
+    blocks = blocks.withColumn("__open", F.when(opens, F.col("__off") + 1).otherwise(F.max(last).over(prior))).select(*parts, "__off", "__open")
+    joined = here.join(blocks, parts)
+    run = F.coalesce(F.col("__off") + F.col("__from"), F.col("__open"))
+    position = F.col("__off") + F.col("__rn") - run
     return (
-        full.withColumn("__run", run)
-        .withColumn("batch_index", (position % size).cast("bigint"))
-        .withColumn("batch_first", (F.col("__no") - position % size).cast("bigint"))
-        .drop("__no", "__block", "__before", "__start", "__open", "__run")
+        joined.withColumn("batch_index", (position % size).cast("bigint"))
+        .withColumn("batch_first", (F.col("__off") + F.col("__rn") - position % size).cast("bigint"))
+        .select(*df.columns, "batch_index", "batch_first")
     )
 
 
