@@ -91,6 +91,76 @@ def _(t):
     return TH.theme_quota_plan(nodes(t), COUNTS, DEFAULTS).select("node", "quota", "residual")
 
 
+# --- a tree of eight levels ---
+DEEP = 8
+DEEP_COUNTS, DEEP_DEFAULTS = {"n0/n0": 40, "n1/n1/n1": 0}, {"per_category": 30, "Subtopics": 5}
+
+
+def deep_nodes(t: Tables) -> DataFrame:
+    """Parts as leaves of a tree of eight levels, named by the digits of their keys; some nodes carry counts, all but leaves constraints."""
+    leaf = t("part").select(F.array(*[(F.floor(F.col("p_partkey") / 3**k) % 3).cast("int") for k in range(DEEP)]).alias("digits")).distinct()
+    name = lambda d: F.concat(F.lit("n"), d.cast("string"))
+    every = leaf.select(F.explode(F.sequence(F.lit(1), F.lit(DEEP))).alias("d"), "digits").select(F.slice("digits", 1, F.col("d")).alias("ord")).distinct()
+    size, total = F.size("ord"), F.aggregate("ord", F.lit(0), lambda x, y: x * 3 + y)
+    node = every.select(F.transform("ord", name).alias("path"), "ord", F.when((size + total) % 4 == 0, (total % 7).cast("bigint")).alias("count"), F.array(F.concat(F.lit("d"), size.cast("string"))).alias("tags"))
+    empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    limits = F.create_map(F.lit("depth"), size.cast("string"), F.concat(F.lit("at"), (size % 2).cast("string")), F.element_at("path", -1))
+    return node.withColumns({"metadata": empty, "constraints": F.when(size < DEEP, limits).otherwise(empty)})
+
+
+def _deep_sql() -> str:
+    """Level by level from the leaves up, as the plan states it."""
+    digits = ", ".join(f"(p_partkey // {3**k}) % 3" for k in range(DEEP))
+    total = "list_reduce(list_prepend(0, ord), lambda x, y: x * 3 + y)"
+    override = " ".join(f"when '{k}' then {v}" for k, v in DEEP_COUNTS.items())
+    sql = f"""
+with recursive leaf as (select distinct [{digits}] as digits from part),
+every as (select distinct digits[1:d] as ord, d from leaf, range(1, {DEEP + 1}) r(d)),
+named as (select ord, d, array_to_string(list_transform(ord, lambda x: concat('n', x)), '/') as node,
+  array_to_string(list_transform(ord[1:d - 1], lambda x: concat('n', x)), '/') as parent, {total} as total from every),
+q as (select *, coalesce(case node {override} end, case when (d + total) % 4 = 0 then total % 7 end, case d when 1 then 30 when 3 then 5 end) as quota from named),
+t{DEEP} as (select *, 0 as taken, coalesce(quota, 0) as own from q where d = {DEEP})"""
+    for d in range(DEEP - 1, 0, -1):
+        sql += f""",
+t{d} as (select q.*, coalesce(s, 0) as taken, greatest(coalesce(quota, 0), coalesce(s, 0)) as own from q
+  left join (select parent as p, sum(own) as s from t{d + 1} group by 1) on p = node where d = {d})"""
+    return sql + ", every_t as (" + " union all ".join(f"select * from t{d}" for d in range(1, DEEP + 1)) + ")"
+
+
+DEEP_SQL = _deep_sql()
+
+
+@query(
+    "G1_deep_quota_plan",
+    f"""{DEEP_SQL} select node, cast(quota as bigint) as quota, cast(case when quota is null then 0 else greatest(quota - taken, 0) end as bigint) as residual,
+  cast(own as bigint) as total from every_t""",
+)
+def _(t):
+    return TH.theme_quota_plan(deep_nodes(t), DEEP_COUNTS, DEEP_DEFAULTS).select("node", "quota", "residual", "total")
+
+
+@query(
+    "G2_inherited_constraints",
+    f"""{DEEP_SQL},
+res as (select node, ord, d, quota, case when quota is null then 0 else greatest(quota - taken, 0) end as residual from every_t),
+l as (select node as leaf, ord as leaf_ord from every_t where d = {DEEP}),
+c as (select l.leaf, l.leaf_ord, r.node, r.d, r.quota, r.residual from l join res r on l.leaf_ord[1:r.d] = r.ord),
+a as (select a.node as alloc, a.d, a.leaf, bool_or(b.d > a.d and (b.residual > 0 or (b.d = a.d + 1 and b.quota is not null))) as excluded
+  from c a join c b on a.leaf = b.leaf where a.residual > 0 group by 1, 2, 3),
+f as (select alloc, d, count(*) filter (where not excluded) as free, count(*) as every from a group by 1, 2),
+drawn as (select f.alloc, f.d, r.residual as n, case when free = 0 then every else free end as n_leaves, free = 0 as forced from f join res r on r.node = f.alloc)
+select alloc as quota_source_path, cast(n as bigint) as n, cast(case when forced then n else greatest(n - n_leaves, 0) end as bigint) as n_resampled,
+  case when d < {DEEP} then '{DEEP - 1}' end as depth, cast(greatest({DEEP + 1} - d, 1) as bigint) as n_tags from drawn""",
+)
+def _(t):
+    tree = cut(deep_nodes(t), "nodes")
+    drawn = TH.draw_themes(tree, TH.theme_quota_plan(tree, DEEP_COUNTS, DEEP_DEFAULTS), 42)
+    limit = F.try_element_at("constraints", F.lit("depth"))
+    return drawn.groupBy("quota_source_path").agg(
+        F.count("*").alias("n"), F.count_if("resampled").alias("n_resampled"), F.max(limit).alias("depth"), F.max(F.size("tags")).cast("bigint").alias("n_tags")
+    )
+
+
 def draws(t: Tables) -> DataFrame:
     tree = cut(nodes(t), "nodes")
     return TH.draw_themes(tree, TH.theme_quota_plan(tree, COUNTS, DEFAULTS), 42)

@@ -107,3 +107,19 @@ DRAFT_DEFAULTS = {
 
 # --- fixed values: theme levels by depth ---
 THEME_LEVELS = ["category", "subcategory", "subtopic", "theme"]
+
+# --- fixed values: spellings of the theme levels in level defaults ---
+THEME_LEVEL_SPELLINGS = {
+    "category": "category",
+    "categories": "category",
+    "per_category": "category",
+    "subcategory": "subcategory",
+    "subcategories": "subcategory",
+    "per_subcategory": "subcategory",
+    "subtopic": "subtopic",
+    "subtopics": "subtopic",
+    "per_subtopic": "subtopic",
+    "theme": "theme",
+    "themes": "theme",
+    "per_theme": "theme",
+}

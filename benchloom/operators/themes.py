@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,6 +14,7 @@ from benchloom import fixed
 from benchloom.functions.seeded import draw_index
 from benchloom.functions.text import digits, normalize_text
 from benchloom.operators.duplicates import near_duplicates
+from benchloom.operators.numbering import blockwise_row_number
 from benchloom.session import cut
 
 DRAW_CHUNK = 10_000
@@ -23,19 +26,29 @@ def path_text(path: Column | str) -> Column:
     return F.concat_ws("/", F.transform(col, lambda x: F.regexp_replace(x, r"([\\/])", r"\\$1")))
 
 
+def level_defaults(defaults: dict[str, int] | None) -> dict[str, int]:
+    """Level defaults under the plain level names; the plural and ``per_`` spellings mean the same level."""
+    out, unknown = {}, []
+    for key, value in (defaults or {}).items():
+        name = fixed.THEME_LEVEL_SPELLINGS.get(str(key).strip().lower())
+        if name is None:
+            unknown.append(key)
+        else:
+            out[name] = int(value)
+    if unknown:
+        raise ValueError(f"unknown theme levels: {sorted(map(str, unknown))}")
+    return out
+
+
 def _counted(nodes: DataFrame, counts: dict[str, int] | DataFrame | None, defaults: dict[str, int] | None) -> DataFrame:
     """Nodes with ``quota``: path override, else inline count, else the default of the level."""
-    unknown = set(defaults or {}) - set(fixed.THEME_LEVELS)
-    if unknown:
-        raise ValueError(f"unknown theme levels: {sorted(unknown)}")
+    named = level_defaults(defaults)
     depth = F.size("path")
     level = F.lit(None).cast("bigint")
     for i, name in enumerate(fixed.THEME_LEVELS, start=1):
-        if name in (defaults or {}):
-            level = F.when(depth == i, F.lit(defaults[name]).cast("bigint")).otherwise(level)
-    base = nodes.select(
-        path_text("path").alias("node"), "path", "ord", F.col("count").cast("bigint").alias("inline"), depth.alias("depth"), "tags", "metadata"
-    )
+        if name in named:
+            level = F.when(depth == i, F.lit(named[name]).cast("bigint")).otherwise(level)
+    base = nodes.select(path_text("path").alias("node"), "path", "ord", F.col("count").cast("bigint").alias("inline"), depth.alias("depth"))
     if counts is None or (isinstance(counts, dict) and not counts):
         override = base.withColumn("override", F.lit(None).cast("bigint"))
     else:
@@ -46,92 +59,146 @@ def _counted(nodes: DataFrame, counts: dict[str, int] | DataFrame | None, defaul
     return override.withColumn("quota", F.coalesce("override", "inline", level)).drop("override", "inline")
 
 
+def _place(ord_: str = "ord", path: str = "path") -> Column:
+    """The order of the tree's nodes, names breaking ties; a node comes right after its last descendant."""
+    steps = F.zip_with(ord_, path, lambda o, n: F.struct(o.cast("bigint").alias("o"), n.alias("n")))
+    return F.concat(steps, F.array(F.struct(F.lit(9223372036854775807).cast("bigint").alias("o"), F.lit("").alias("n"))))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of nodes in tree order, as far as one range of the order tells them.
+
+    A node whose descendants all stand in the range gets ``taken``.  Ancestors of the range's
+    first node may have descendants before it: they come out with ``open``, and what the range
+    adds to them, or to nodes after it, as rows without a node.  Those are few: one a level.
+    """
+    block = TaskContext.get().partitionId()
+    first: tuple[str, ...] | None = None
+    pending: dict[tuple[str, ...], int] = {}
+    at = 0
+    for batch in batches:
+        out: list[tuple] = []
+        for path, quota in zip(batch.column("path").to_pylist(), batch.column("quota").to_pylist(), strict=True):
+            path = tuple(path)
+            first = path if first is None else first
+            taken = pending.pop(path, 0)
+            if first[: len(path)] == path:
+                out.append((block, at, list(path), True, quota, taken))
+            else:
+                out.append((block, at, list(path), False, quota, taken))
+                up = path[:-1]
+                pending[up] = pending.get(up, 0) + max(quota or 0, taken)
+            at += 1
+        yield _settled(out)
+    if pending:
+        yield _settled([(block, at + k, list(up), None, None, total) for k, (up, total) in enumerate(sorted(pending.items())) if up])
+
+
+_SETTLED = "block int, at bigint, path array<string>, open boolean, quota bigint, taken bigint"
+
+
+def _settled(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "at", "path", "open", "quota", "taken"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``taken`` of the open nodes, from what the ranges leave open, in tree order."""
+    pending: dict[tuple[str, ...], int] = {}
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            path = tuple(row["path"])
+            if row["open"]:
+                taken = pending.pop(path, 0) + row["taken"]
+                out.append((row["block"], row["at"], row["path"], True, row["quota"], taken))
+                path, total = path[:-1], max(row["quota"] or 0, taken)
+            else:
+                total = row["taken"]
+            pending[path] = pending.get(path, 0) + total
+        yield _settled(out)
+
+
 def theme_quota_plan(nodes: DataFrame, counts: dict[str, int] | DataFrame | None = None, defaults: dict[str, int] | None = None) -> DataFrame:
     """Allocations: one row per node that keeps a residual quota for itself.
 
-    ``nodes``: path (array), ord (sibling positions, array), count, tags, metadata (map).
-    One pass per level of the tree, from the deepest up.  A parent keeps what its descendants
-    did not take.  Level defaults name the first four levels.
+    ``nodes``: path (array), ord (sibling positions, array), count, tags, metadata (map) and, if
+    there, constraints (map).  A parent keeps what its descendants did not take.  Level defaults
+    name the first four levels.
+
+    In tree order, children before their parent, a subtree is one interval.  Ranges of that
+    order are settled each by itself; only the ancestors of a range's first node, one a level,
+    need what the ranges before it left, and one pass over those rows closes them.  So the plan
+    is the same for every depth of the tree.
     """
-    counted = _counted(nodes, counts, defaults)
+    counted = _counted(nodes, counts, defaults).withColumn("__place", _place())
+    dealt = counted.repartitionByRange("__place").sortWithinPartitions("__place")
+    settled = cut(dealt.select("path", "quota").mapInArrow(_settle, _SETTLED), "settled")
+    left = settled.where(F.col("open").isNull() | F.col("open")).repartition(1).sortWithinPartitions("block", "at")
+    closed = left.mapInArrow(_close, _SETTLED)
+    totals = settled.where(~F.col("open")).unionByName(closed).select("path", "taken")
+    taken = totals.select(path_text("path").alias("node"), "taken")
+    residual = F.when(F.col("quota").isNull(), 0).otherwise(F.greatest(F.col("quota") - F.col("taken"), F.lit(0))).cast("bigint")
     parent = F.when(F.col("depth") > 1, path_text(F.slice("path", 1, F.col("depth") - 1)))
-    # The tree is read once per level, so it is written once; it holds one row per node.
-    tree = cut(counted.withColumn("parent", parent), "tree")
-    below = None
-    levels = []
-    deepest = tree.agg(F.max("depth")).first()[0] or 1
-    for d in range(deepest, 0, -1):
-        here = tree.where(F.col("depth") == d)
-        if below is None:
-            here = here.withColumn("taken", F.lit(0).cast("bigint"))
-        else:
-            sums = below.groupBy(F.col("parent").alias("node")).agg(F.sum("total").alias("taken"))
-            here = here.join(sums, "node", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))
-        residual = F.when(F.col("quota").isNull(), 0).otherwise(F.greatest(F.col("quota") - F.col("taken"), F.lit(0)))
-        here = here.withColumn("residual", residual.cast("bigint")).withColumn("total", F.col("taken") + F.col("residual"))
-        levels.append(here.select("node", "path", "ord", "depth", "quota", "residual", "parent", "total"))
-        below = levels[-1]
-    return reduce(DataFrame.unionByName, levels)
+    out = counted.drop("__place").join(taken, "node").withColumn("residual", residual)
+    return out.select("node", "path", "ord", "depth", "quota", "residual", parent.alias("parent"), (F.col("taken") + F.col("residual")).alias("total"))
 
 
 def allocation_leaves(nodes: DataFrame, plan: DataFrame) -> DataFrame:
-    """(alloc, leaf, leaf_index, n_leaves, forced, tags, metadata): the leaves each allocation draws from.
+    """(alloc, n, leaf, leaf_path, leaf_index, n_leaves, forced, tags, metadata, constraints): the leaves each allocation draws from.
 
     Leaves under a descendant with a quota of its own are left out; when none remain the
-    allocation draws from all its leaves and every draw is a resample (``forced``).
+    allocation draws from all its leaves and every draw is a resample (``forced``).  Tags,
+    metadata and constraints are inherited along the path below the allocation, the deeper key
+    wins.  Leaves are numbered in ranges of the tree order, so an allocation over all leaves
+    is many tasks' work.
     """
-    base = nodes.select(path_text("path").alias("leaf"), "path", "ord", "tags", "metadata", F.size("path").alias("depth"))
+    empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    bound = nodes if "constraints" in nodes.columns else nodes.withColumn("constraints", empty)
+    base = bound.select(path_text("path").alias("leaf"), "path", "ord", F.size("path").alias("depth"))
     parents = nodes.where(F.size("path") > 1).select(path_text(F.slice("path", 1, F.size("path") - 1)).alias("leaf")).distinct()
-    leaves = base.join(parents, "leaf", "left_anti")
+    leaves = base.join(parents, "leaf", "left_anti").withColumn("place", _place())
+    leaves = cut(leaves.repartitionByRange("place").withColumn("range", F.spark_partition_id()), "tree-leaves")
     # The chain of a leaf is itself and its ancestors: one entry per level.
-    chain = leaves.select("leaf", F.col("path").alias("p"), F.col("ord").alias("leaf_ord"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d")).select(
-        "leaf", "p", "leaf_ord", "d", path_text(F.slice("p", 1, F.col("d"))).alias("node")
+    chain = leaves.select("leaf", F.col("path").alias("p"), "place", "range", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d")).select(
+        "leaf", "p", "place", "range", "d", path_text(F.slice("p", 1, F.col("d"))).alias("node")
     )
-    info = plan.select("node", "quota", "residual").join(nodes.select(path_text("path").alias("node"), "tags", "metadata"), "node")
-    steps = chain.join(info, "node").groupBy("leaf", "p", "leaf_ord").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("d", "node", "residual", F.col("quota").isNotNull().alias("explicit"), "tags", F.map_entries("metadata").alias("metadata"))
-            )
-        ).alias("steps")
+    info = plan.select("node", "quota", "residual").join(bound.select(path_text("path").alias("node"), "tags", "metadata", "constraints"), "node")
+    entry = F.struct(
+        "d", "node", "residual", F.col("quota").isNotNull().alias("explicit"), "tags", F.map_entries("metadata").alias("metadata"), F.map_entries("constraints").alias("constraints")
     )
-    picked = steps.select("leaf", "p", "leaf_ord", "steps", F.explode("steps").alias("a")).where("a.residual > 0")
+    steps = chain.join(info, "node").groupBy("leaf", "p", "place", "range").agg(F.array_sort(F.collect_list(entry)).alias("steps"))
+    picked = steps.select("leaf", "p", "place", "range", "steps", F.explode("steps").alias("a")).where("a.residual > 0")
     lower = F.filter("steps", lambda s: s["d"] > F.col("a.d"))
     excluded = F.exists(lower, lambda s: (s["residual"] > 0) | ((s["d"] == F.col("a.d") + 1) & s["explicit"]))
     own = F.filter("steps", lambda s: s["d"] >= F.col("a.d"))
     tags = F.array_distinct(F.flatten(F.transform(own, lambda s: F.coalesce(s["tags"], F.array().cast("array<string>")))))
     rows = picked.select(
-        F.col("a.node").alias("alloc"), F.col("a.residual").alias("n"), "leaf", F.col("p").alias("leaf_path"), "leaf_ord", excluded.alias("excluded"), tags.alias("tags"), _merged(own).alias("metadata")
-    )
-    free = rows.groupBy("alloc").agg(F.count_if(~F.col("excluded")).alias("free"))
-    usable = rows.join(free, "alloc").withColumn("forced", F.col("free") == 0).where(F.col("forced") | ~F.col("excluded"))
-    w = W.partitionBy("alloc")
-    return usable.select(
-        "alloc",
-        "n",
-        "leaf",
-        "leaf_path",
-        (F.row_number().over(w.orderBy("leaf_ord")) - 1).cast("bigint").alias("leaf_index"),
-        F.count("*").over(w).alias("n_leaves"),
-        "forced",
-        "tags",
-        "metadata",
+        F.col("a.node").alias("alloc"), F.col("a.residual").alias("n"), "leaf", F.col("p").alias("leaf_path"), "place", "range", excluded.alias("excluded"), tags.alias("tags"),
+        _merged(own, "metadata").alias("metadata"), _merged(own, "constraints").alias("constraints"),
     )
+    rows = cut(rows, "alloc-leaves")
+    free = rows.groupBy("alloc").agg(F.count_if(~F.col("excluded")).alias("free"), F.count("*").alias("every"))
+    sizes = free.select("alloc", (F.col("free") == 0).alias("forced"), F.when(F.col("free") == 0, F.col("every")).otherwise(F.col("free")).alias("n_leaves"))
+    usable = rows.join(sizes, "alloc").where(F.col("forced") | ~F.col("excluded"))
+    numbered = blockwise_row_number(usable, ["alloc"], [F.col("place")], F.col("range"), "no")
+    return numbered.select("alloc", "n", "leaf", "leaf_path", (F.col("no") - 1).alias("leaf_index"), "n_leaves", "forced", "tags", "metadata", "constraints")
 
 
-def _merged(steps: Column) -> Column:
-    """Metadata maps of the chain, the deeper key wins."""
+def _merged(steps: Column, field: str) -> Column:
+    """A map of each step of the chain as one map; the deeper key wins."""
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
 
     def step(acc: Column, s: Column) -> Column:
-        over = F.coalesce(F.map_from_entries(s["metadata"]), empty)
+        over = F.coalesce(F.map_from_entries(s[field]), empty)
         return F.map_concat(F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
 
     return F.aggregate(steps, empty, step)
 
 
 def draw_themes(nodes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """One row per drawn sample.
+    """One row per drawn sample, with the tags, metadata and constraints of its leaf's path.
 
     The first draws of an allocation take each of its leaves once, in order; further draws
     pick by hash and are ``resampled``.  Large quotas are unrolled in chunks, so one node's
@@ -139,15 +206,14 @@ def draw_themes(nodes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     """
     plan = cut(plan, "plan")
     leaves = cut(allocation_leaves(nodes, plan), "leaves")
-    # Children come before their parent: order by position, the parent after its subtree.
-    post = F.concat("ord", F.array(F.lit(2147483647)))
-    width = plan.where("residual > 0").select("node", F.col("residual").alias("n"), post.alias("post"), F.get("ord", F.lit(0)).alias("top"))
-    within = W.partitionBy("top").orderBy("post").rowsBetween(W.unboundedPreceding, -1)
-    inner = width.withColumn("before_in_top", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    tops = width.groupBy("top").agg(F.sum("n").alias("t"))
-    across = W.orderBy("top").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.withColumn("before_top", F.coalesce(F.sum("t").over(across), F.lit(0))).drop("t")
-    offsets = inner.join(tops, "top").select(F.col("node").alias("alloc"), "n", (F.col("before_in_top") + F.col("before_top")).alias("offset"))
+    # Children come before their parent.  A range of the order sums its own quotas; one row a range meets the others.
+    width = plan.where("residual > 0").select("node", F.col("residual").alias("n"), _place().alias("place"))
+    width = cut(width.repartitionByRange("place").withColumn("range", F.spark_partition_id()), "quotas")
+    ranges = width.groupBy("range").agg(F.sum("n").alias("t"))
+    ranges = ranges.select(F.col("range").alias("r"), F.coalesce(F.sum("t").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = W.partitionBy("range").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    inner = width.withColumn("before_in_range", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    offsets = inner.join(F.broadcast(ranges), F.col("range") == F.col("r")).select(F.col("node").alias("alloc"), "n", (F.col("before_in_range") + F.col("before")).alias("offset"))
     per_alloc = leaves.select("alloc", "n_leaves", "forced").distinct()
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / F.lit(DRAW_CHUNK)).cast("bigint"))).alias("chunk")
     spread = offsets.join(per_alloc, "alloc").select("alloc", "n", "offset", "n_leaves", "forced", chunk)
@@ -175,6 +241,7 @@ def draw_themes(nodes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
         "resampled",
         "tags",
         "metadata",
+        "constraints",
     )
 
 

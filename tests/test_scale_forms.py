@@ -91,3 +91,69 @@ def test_rank_in_order(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
     got = N.rank_in_order(df, [F.desc("k"), F.asc("v")], "place").orderBy("place").collect()
     assert [(r.place, r.k, r.v) for r in got] == [(i, *kv) for i, kv in enumerate(sorted(((v % 7, v) for v in range(1000)), key=lambda x: (-x[0], x[1])), 1)]
+
+
+# --- theme trees ----------------------------------------------------------------------
+NODES = "path array<string>, ord array<int>, count bigint, tags array<string>, metadata map<string,string>, constraints map<string,string>"
+
+
+def grown(seed, n):
+    """A random tree: (path, ord, count, tags, metadata, constraints)."""
+    rnd = random.Random(seed)
+    nodes = [((), ())]
+    rows = []
+    for i in range(n):
+        path, order = rnd.choice(nodes)
+        k = sum(1 for p, _ in nodes if p[:-1] == path and p)
+        path, order = (*path, rnd.choice([f"x{i}", f"a/b{i}"])), (*order, rnd.choice([k, k, 5]))  # sibling positions may tie
+        nodes.append((path, order))
+        rows.append((list(path), list(order), rnd.choice([None, None, rnd.randint(0, 9)]), [f"t{i % 3}"], {f"m{i % 4}": str(i)}, {f"c{i % 4}": str(i)}))
+    return rows
+
+
+def planned(rows):
+    quota = {tuple(r[0]): r[2] for r in rows}
+    total: dict[tuple, int] = {}
+    out = {}
+    for path in sorted(quota, key=len, reverse=True):
+        taken = sum(v for p, v in total.items() if p[:-1] == path)
+        own = max((quota[path] or 0) - taken, 0) if quota[path] is not None else 0
+        total[path] = taken + own
+        out[path] = (own, taken + own)
+    return out
+
+
+@pytest.mark.parametrize("seed,n", [(1, 60), (2, 200), (3, 3)])
+def test_quotas_of_any_tree(spark, seed, n):
+    rows = grown(seed, n)
+    got = TH.theme_quota_plan(spark.createDataFrame(rows, NODES).repartition(6))
+    assert {tuple(r.path): (r.residual, r.total) for r in got.collect()} == planned(rows)
+
+
+def test_quota_plan_does_not_grow_with_depth(spark):
+    def exchanges(depth):
+        rows = [([f"n{i}" for i in range(k)], [0] * k, 2 * depth - k, [], {}, {}) for k in range(1, depth + 1)]
+        plan = TH.theme_quota_plan(spark.createDataFrame(rows, NODES))
+        assert {r.depth: r.total for r in plan.collect()} == {k: 2 * depth - k for k in range(1, depth + 1)}
+        return operators(executed(plan).split("== Initial Plan ==")[0], "Exchange")
+
+    assert exchanges(3) == exchanges(14) <= 6
+
+
+def test_constraints_and_level_spellings(spark):
+    rows = [
+        (["R"], [0], None, ["r"], {"a": "1"}, {"size": "big", "hue": "red"}), (["R", "S"], [0, 0], None, [], {}, {"size": "small"}),
+        (["R", "S", "T"], [0, 0, 0], None, ["t"], {}, None), (["R", "S", "T", "U"], [0, 0, 0, 0], None, None, None, {"hue": "blue"}),
+    ]
+    nodes = spark.createDataFrame(rows, NODES)
+    for key in ("theme", "themes", "per_theme", " Per_Theme "):
+        plan = TH.theme_quota_plan(nodes, None, {key: 2})
+        assert {r.node: r.residual for r in plan.collect() if r.residual} == {"R/S/T/U": 2}
+    plan = TH.theme_quota_plan(nodes, None, {"categories": 1})
+    drawn = TH.draw_themes(nodes, plan).collect()
+    assert [(r.constraints, list(r.tags), r.metadata) for r in drawn] == [({"size": "small", "hue": "blue"}, ["r", "t"], {"a": "1"})]
+    without = TH.draw_themes(nodes.drop("constraints"), plan).collect()
+    assert [r.constraints for r in without] == [{}]
+    with pytest.raises(ValueError, match="galaxy"):
+        TH.level_defaults({"galaxy": 1})
+    assert TH.theme_quota_plan(nodes.limit(0)).collect() == []
