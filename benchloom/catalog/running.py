@@ -13,6 +13,7 @@ from benchloom.operators import runs as RN
 from benchloom.operators import summaries as SM
 from benchloom.session import scratch_path
 from benchloom.streaming import ledger as L
+from benchloom.streaming.store import Store
 from benchloom.streaming.deltas import read_deltas
 
 OUTCOME_SQL = """
@@ -336,11 +337,11 @@ def _stream(t: Tables, view_columns: dict) -> DataFrame:
 
 
 def _late_files(t: Tables) -> str:
-    """``events`` in four files, one micro-batch each; later files hold earlier rows, so most come late."""
+    """``events`` in several files, one micro-batch each; half of them hold the first hours of the day, so rows come late."""
     path = scratch_path(t.spark, "late-events")
-    part = F.pmod(F.xxhash64("event_id"), F.lit(2)) + F.when(F.hour(F.col("ts").cast("timestamp")) < 12, 2).otherwise(0)
-    for k in range(4):
-        t("events").where(part == k).coalesce(1).write.mode("append").parquet(path)
+    half = F.when(F.hour(F.col("ts").cast("timestamp")) < 12, "b").otherwise("a")
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    t("events").withColumns({"half": half, "salt": salt}).repartition("half", "salt").write.partitionBy("half", "salt").parquet(path)
     return path
 
 
@@ -349,6 +350,15 @@ def _late_stream(t: Tables, view_columns: dict) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*[c.alias(n) for n, c in view_columns.items()])
 
 
+def _stored(t: Tables, columns: dict, fold, merge, files=None) -> DataFrame:
+    """A stream of several files through ``fold`` into a store that is merged every third batch."""
+    base = scratch_path(t.spark, "store")
+    rows = (files or _late_stream)(t, columns)
+    store = Store(t.spark, f"{base}/out", fold(rows).schema)
+    _run(L.stream_to_store(rows, fold, merge, store, f"{base}/cp", 3, available_now=True))
+    return store.read()
+
+
 def _id(prefix: str, n):
     return F.concat(F.lit(prefix), n.cast("string"))
 
@@ -384,6 +394,20 @@ def _(t):
     return L.ledger_rows(read_deltas(t.spark, f"{base}/out"), ["run_id", "event_id"]).select("event_id", "run_id", "model_name", "prompt_id", "status")
 
 
+@query("R1_ledger_store", "select event_id, run_id, model_name, prompt_id, status from v_ledger")
+def _(t):
+    """Late rows, delivered twice, in a store that is merged between batches."""
+    keys = ["run_id", "event_id"]
+    twice = lambda t, columns: _late_stream(t, columns).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    rows = _stored(t, _ledger_columns(), lambda batch: batch, L.ledger_merge(keys), twice)
+    return L.ledger_rows(rows, keys).select("event_id", "run_id", "model_name", "prompt_id", "status")
+
+
+@query("R2_state_store", f"{OUTCOME_SQL} select model_name, prompt_id, case rank when 2 then 'success' else 'failed' end as state from o")
+def _(t):
+    return L.ledger_state(_stored(t, _ledger_columns(), RN.key_outcomes, L.state_merge))
+
+
 @query("R2_ledger_state", f"{OUTCOME_SQL} select model_name, prompt_id, case rank when 2 then 'success' else 'failed' end as state from o")
 def _(t):
     base = scratch_path(t.spark, "r2")
@@ -402,6 +426,13 @@ def _(t):
     return _rates(t, _stream)
 
 
+@query("R3_throughput_store", RATES_SQL)
+def _(t):
+    by = ["run_id", "model_name"]
+    rows = L.merge_throughput(_stored(t, _ledger_columns(), lambda batch: L.throughput_fold(batch, by), L.throughput_merge(by)), by)
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *by, "processed", "succeeded", "failed", "rate_per_min")
+
+
 @query("R3_throughput_late_files", RATES_SQL)
 def _(t):
     return _rates(t, _late_stream)
@@ -454,16 +485,26 @@ def _(t):
     return read_deltas(t.spark, f"{base}/out/alerts").select("run_id", "event_id", "failed_outputs", F.round("failure_rate", 6).alias("failure_rate"))
 
 
-@query(
-    "R5_incremental_annotation",
-    "select distinct run_id as source_run_id, prompt_id as source_record_id from v_ledger where prompt_id not in (select prompt_id from v_ledger where status = 'success' and model_name = 'model_1')",
-)
+ANNOTATE_SQL = "select distinct run_id as source_run_id, prompt_id as source_record_id from v_ledger where prompt_id not in (select prompt_id from v_ledger where status = 'success' and model_name = 'model_1')"
+
+
+@query("R5_incremental_annotation", ANNOTATE_SQL)
+def _(t):
+    return _handed_out(t, _stream)
+
+
+@query("R5_annotation_late_files", ANNOTATE_SQL)
 def _(t):
+    """Keys come again in later batches; the store of those handed out is merged in between."""
+    return _handed_out(t, _late_stream)
+
+
+def _handed_out(t: Tables, source) -> DataFrame:
     base = scratch_path(t.spark, "r5")
     cols = _ledger_columns()
-    records = _stream(t, {"source_run_id": cols["run_id"], "source_record_id": cols["prompt_id"], "event_id": F.col("event_id")})
+    records = source(t, {"source_run_id": cols["run_id"], "source_record_id": cols["prompt_id"], "event_id": F.col("event_id")})
     done = t("v_ledger").where("status = 'success' and model_name = 'model_1'").select(F.col("run_id").alias("source_run_id"), F.col("prompt_id").alias("source_record_id"))
-    _run(L.incremental_annotation(records, done, f"{base}/out", f"{base}/cp", available_now=True))
+    _run(L.incremental_annotation(records, done, f"{base}/out", f"{base}/cp", compact_every=3, available_now=True))
     return read_deltas(t.spark, f"{base}/out").select("source_run_id", "source_record_id")
 
 
@@ -490,6 +531,28 @@ def _(t):
     return rows.select("experiment_id", "stage", "status", F.round("duration_sec", 6).alias("duration_sec"), "n_failed")
 
 
+@query(
+    "R6_stage_runs",
+    """
+with e as (select *, sum(case when status = 'started' then 1 else 0 end) over (partition by experiment_id, stage order by ts, event_id) as run_no from v_log where status in ('started', 'completed', 'failed')),
+a as (select experiment_id, stage, run_no, min(case when status = 'started' then {'ts': ts, 'id': event_id} end) as s,
+  max(case when status <> 'started' then {'ts': ts, 'id': event_id, 'status': status} end) as e, count(*) filter (where status = 'failed') as n_failed from e group by 1, 2, 3)
+select experiment_id, stage, cast(run_no as bigint) as run_no, coalesce(e.status, 'open') as status, round((epoch_us(e.ts) - epoch_us(s.ts)) / 1000000.0e0, 6) as duration_sec, n_failed,
+  cast(coalesce(e.id, s.id) % 100 as bigint) as item_count, case when s.id is not null then cast(s.id % 7 as bigint) end as worker_count from a""",
+)
+def _(t):
+    """Every time a stage ran, with the counts of its payloads, from late files through a store."""
+    cols = _log_columns()
+    counts = lambda *names: F.to_json(F.struct(*[v.alias(n) for n, v in names]))
+    item = ("item_count", F.col("event_id") % 100)
+    cols["payload"] = F.when(cols["status"] == "started", counts(item, ("worker_count", F.col("event_id") % 7), ("note", F.lit("begins")))).otherwise(counts(item))
+    rows = L.stage_runs(_stored(t, cols, L.stage_events, lambda events: events.distinct()))
+    return rows.select(
+        "experiment_id", "stage", "run_no", "status", F.round("duration_sec", 6).alias("duration_sec"), "n_failed",
+        F.col("counts")["item_count"].alias("item_count"), F.col("counts")["worker_count"].alias("worker_count"),
+    )
+
+
 @query(
     "R7_stage_progress",
     """

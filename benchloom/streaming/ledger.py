@@ -10,10 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
 
+from benchloom.functions.variants import numeric_map, parse_object
 from benchloom.operators.keyed import first_wins
 from benchloom.operators.runs import KEY, breach_rank, key_outcomes, unannotated
-from benchloom.streaming.deltas import read_folder, start, stream_deltas, write_batch
+from benchloom.streaming.deltas import Fold, start, stream_deltas
+from benchloom.streaming.store import Store
+
+COMPACT_EVERY = 8  # micro-batches
+BUCKETS = 64
+
+
+def stream_to_store(stream: DataFrame, fold: Fold, merge: Fold, store: Store, checkpoint: str, compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
+    """Writes ``fold(batch)`` per micro-batch and compacts the store with ``merge`` from time to time."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        store.write_batch(fold(batch), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            store.compact(merge, least=compact_every - 1)
+
+    return start(stream.writeStream.foreachBatch(sink), checkpoint, **trigger)
 
 
 # --- R1 -------------------------------------------------------------------------------
@@ -27,12 +44,22 @@ def ledger_rows(written: DataFrame, keys: list[str]) -> DataFrame:
     return first_wins(written, keys, ["batch"]).select(*[c for c in written.columns if c != "batch"])
 
 
+def ledger_merge(keys: list[str]) -> Fold:
+    """Of a redelivered row the one that came first, with its batch; for a store of ``ledger_sink`` rows."""
+    return lambda rows: first_wins(rows, keys, ["batch"])
+
+
 # --- R2 -------------------------------------------------------------------------------
 def stream_ledger_state(ledger: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Best rank per (model, prompt) and batch; success absorbs failure in any order."""
     return stream_deltas(ledger, key_outcomes, path, checkpoint, **trigger)
 
 
+def state_merge(deltas: DataFrame) -> DataFrame:
+    """Ranks of several batches as one, for a store of ``key_outcomes``."""
+    return deltas.groupBy(*KEY).agg(F.max("rank").alias("rank"))
+
+
 def ledger_state(deltas: DataFrame) -> DataFrame:
     best = deltas.groupBy(*KEY).agg(F.max("rank").alias("rank"))
     return best.select(*KEY, F.when(F.col("rank") == 2, "success").otherwise("failed").alias("state"))
@@ -59,6 +86,11 @@ def merge_throughput(folds: DataFrame, by: list[str]) -> DataFrame:
     return agg.select("window_start", "window_end", *by, done.alias("processed"), "succeeded", "failed", F.bround(done / minutes, 3).alias("rate_per_min"))
 
 
+def throughput_merge(by: list[str]) -> Fold:
+    """Counts of several batches as one, for a store of ``throughput_fold`` rows."""
+    return lambda folds: folds.groupBy("window_start", "window_end", *by).agg(F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"))
+
+
 def throughput(ledger: DataFrame, by: list[str], window: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Batch form of the same measure."""
     return merge_throughput(throughput_fold(ledger, by, window, slide), by)
@@ -109,24 +141,52 @@ def throughput_snapshot(progress: DataFrame, totals: DataFrame, by: list[str], s
 
 
 # --- R4 -------------------------------------------------------------------------------
-_BUDGET = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("failed", T.LongType())])
+_BUDGET = "run_id string, failed bigint, last_ts timestamp, bucket int"
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    """The buckets that occur, at most ``BUCKETS`` of them."""
+    return [r.bucket for r in rows.select("bucket").distinct().collect()]
+
+
+def budget_merge(ttl: str | None = None) -> Fold:
+    """Failure counts of several batches as one; with ``ttl`` runs without a failure for that long before the newest are let go."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("run_id", "bucket").agg(F.sum("failed").alias("failed"), F.max("last_ts").alias("last_ts"))
+        if ttl is None:
+            return sums
+        newest = rows.agg((F.max("last_ts") - F.expr(f"interval {ttl}")).alias("from"))
+        return sums.join(F.broadcast(newest), F.col("last_ts") >= F.col("from")).drop("from")
+
+    return merge
 
 
 def budget_monitor(
-    ledger: DataFrame, planned: DataFrame, path: str, checkpoint: str, max_failures: int | None = None, max_rate: float | None = None, **trigger
+    ledger: DataFrame, planned: DataFrame, path: str, checkpoint: str, max_failures: int | None = None, max_rate: float | None = None,
+    ttl: str | None = None, compact_every: int = COMPACT_EVERY, **trigger,
 ) -> StreamingQuery:
     """One alert per run, at the row that first breaches the budget.
 
-    The state is one running failure count per run, written with each batch and read from
-    the batch before; a batch is folded to counts before anything is shuffled.  Only a run that crosses its limit in this batch has its
-    rows numbered, in time blocks.  Alerts land in ``path/alerts``, counts in ``path/counts``.
+    A batch is folded to counts before anything is shuffled.  The state is a store of failure
+    counts per run and batch, partitioned by a hash of the run: a batch adds its own counts and
+    reads those buckets that its runs fall in, and merging keeps their files few.  Only a run
+    that crosses its limit in this batch has its rows numbered, in time blocks.  With ``ttl``
+    (``"30 days"``) a run without a failure for that long counts from zero again.  Alerts land
+    in ``path/alerts``, counts in ``path/counts``.
     """
+    counts = Store(ledger.sparkSession, f"{path}/counts", _BUDGET, "bucket")
+    alerts = Store(ledger.sparkSession, f"{path}/alerts", "run_id string, ts timestamp, event_id bigint, failed_outputs bigint, failure_rate double")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
-        failed = batch.where(F.col("status") == "failed").groupBy("run_id").agg(F.count("*").alias("failed"))
-        before = read_folder(spark, f"{path}/counts/batch={batch_id - 1}", _BUDGET).select("run_id", F.col("failed").alias("so_far"))
+        failed = batch.where(F.col("status") == "failed").groupBy("run_id").agg(F.count("*").alias("failed"), F.max(F.col("ts").cast("timestamp")).alias("last_ts"))
+        failed = failed.withColumn("bucket", _bucket("run_id")).persist()
+        before = counts.read(before=batch_id).where(F.col("bucket").isin(_touched(failed))).groupBy("run_id").agg(F.sum("failed").alias("so_far"))
         limits = planned.select("run_id", "planned_total", breach_rank(F.col("planned_total"), max_failures, max_rate).alias("at"))
         state = failed.join(before, "run_id", "left").join(limits, "run_id", "left").withColumns(
             {"so_far": F.coalesce("so_far", F.lit(0)), "at": F.coalesce("at", breach_rank(F.lit(0), max_failures, max_rate)), "planned_total": F.coalesce("planned_total", F.lit(0))}
@@ -135,10 +195,11 @@ def budget_monitor(
             "run_id", "planned_total", "so_far", F.col("at").alias("full_at")
         )
         rows = batch.join(crossing.select("run_id"), "run_id", "left_semi")
-        hits = _nth_failure(rows, crossing)
-        write_batch(hits, f"{path}/alerts", batch_id)
-        running = before.withColumnRenamed("so_far", "failed").unionByName(failed).groupBy("run_id").agg(F.sum("failed").alias("failed"))
-        write_batch(running, f"{path}/counts", batch_id)
+        alerts.write_batch(_nth_failure(rows, crossing), batch_id)
+        counts.write_batch(failed, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            counts.compact(budget_merge(ttl), least=compact_every - 1)
+        failed.unpersist()
         batch.unpersist()
 
     return start(ledger.writeStream.foreachBatch(sink), checkpoint, **trigger)
@@ -156,20 +217,35 @@ def _nth_failure(rows: DataFrame, crossing: DataFrame) -> DataFrame:
 
 
 # --- R5 -------------------------------------------------------------------------------
-def incremental_annotation(records: DataFrame, annotations: DataFrame, path: str, checkpoint: str, keys: list[str] = ("source_run_id", "source_record_id"), **trigger) -> StreamingQuery:
-    """Arriving records that are not annotated, each key once over the life of the stream.
+def incremental_annotation(
+    records: DataFrame, annotations: DataFrame, path: str, checkpoint: str, keys: list[str] = ("source_run_id", "source_record_id"),
+    compact_every: int = COMPACT_EVERY, **trigger,
+) -> StreamingQuery:
+    """Arriving records that are not annotated, each key once over the life of the stream; they land in ``path``.
 
-    What was handed out in earlier batches stands in ``path``; it and the finished annotations
-    are joined per batch, so no state store holds the keys.
+    The keys handed out stand in a store below ``path``, partitioned by a hash of the first key
+    column (the run): a batch reads the buckets of its own runs and adds its own keys, so what it
+    reads follows the runs that are live, not the history.  Finished annotations are reduced to
+    the batch's keys first; if their files are partitioned by the first key column, Spark reads
+    only the batch's partitions.
     """
     keys = list(keys)
+    schema = T.StructType([records.schema[k] for k in keys]).add("bucket", T.IntegerType())
+    handed = Store(records.sparkSession, f"{path}/_handed", schema, "bucket")
+    out = Store(records.sparkSession, path, records.schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = unannotated(batch.dropDuplicates(keys), annotations, keys)
-        schema = T.StructType([*[batch.schema[k] for k in keys], T.StructField("batch", T.LongType())])
-        handed = read_folder(spark, path, schema).where(F.col("batch") < batch_id).select(*keys)
-        write_batch(new.join(handed, keys, "left_anti"), path, batch_id)
+        once = batch.dropDuplicates(keys).withColumn("bucket", _bucket(keys[0])).persist()
+        own = once.select(*keys)
+        new = unannotated(once, annotations.join(own, keys, "left_semi"), keys)
+        before = handed.read(before=batch_id).where(F.col("bucket").isin(_touched(once))).select(*keys)
+        new = new.join(before, keys, "left_anti").persist()
+        out.write_batch(new, batch_id)
+        handed.write_batch(new.select(*keys, "bucket"), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            handed.compact(lambda rows: rows.select(*keys, "bucket").distinct(), least=compact_every - 1)
+        new.unpersist()
+        once.unpersist()
 
     return start(records.writeStream.foreachBatch(sink), checkpoint, **trigger)
 
@@ -201,6 +277,52 @@ def stage_durations(log: DataFrame) -> DataFrame:
     return merge_stages(stage_fold(log))
 
 
+def stage_events(log: DataFrame) -> DataFrame:
+    """The events that open or close a stage: experiment_id, stage, ts, event_id, status, payload (JSON text, null if the log has none)."""
+    payload = F.col("payload").cast("string") if "payload" in log.columns else F.lit(None).cast("string")
+    kept = log.where(F.col("status").isin("started", "completed", "failed"))
+    return kept.select("experiment_id", "stage", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status", payload.alias("payload"))
+
+
+STAGE_EVENTS = "experiment_id string, stage string, ts timestamp, event_id bigint, status string, payload string"
+
+
+def stage_runs(events: DataFrame) -> DataFrame:
+    """One row for every time a stage ran, from ``stage_events`` in any order.
+
+    A start opens a run of its stage and the ends up to the next start belong to it; the last
+    of them closes it.  A run without an end is ``open``; ends before any start form a run
+    without a start, number 0.  ``counts`` holds the whole numbers of the payloads of its start
+    and its last end, the end's over the start's.  Runs are counted in blocks of an hour, of
+    which one row each meets the others, so a stage with very many events is many tasks' work.
+    """
+    key = ["experiment_id", "stage"]
+    rows = events.withColumns({"__k": F.struct(*key), "__block": F.floor(F.unix_micros("ts") / F.lit(3_600_000_000)).cast("bigint")})
+    begins = F.col("status") == "started"
+    sizes = rows.groupBy("__k", "__block").agg(F.count_if(begins).alias("__n"))
+    before = W.partitionBy("__k").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = W.partitionBy("__k", "__block").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    numbered = rows.withColumn("__in", F.sum(F.when(begins, 1).otherwise(0)).over(inside)).join(sizes, ["__k", "__block"])
+    numbered = numbered.withColumn("run_no", (F.col("__in") + F.col("__before")).cast("bigint"))
+    event = F.struct("ts", "event_id", "status", "payload")
+    merged = numbered.groupBy("__k", "run_no").agg(
+        F.min(F.when(begins, event)).alias("s"), F.max(F.when(~begins, event)).alias("e"), F.count_if(F.col("status") == "failed").alias("n_failed")
+    )
+    whole = lambda p: F.coalesce(F.transform_values(numeric_map(parse_object(p)), lambda _, v: v.cast("bigint")), _no_counts())
+    merged = merged.withColumns({"__s": whole(F.col("s.payload")), "__e": whole(F.col("e.payload"))})
+    counts = F.map_concat(F.map_filter("__s", lambda k, _: ~F.map_contains_key("__e", k)), F.col("__e"))
+    seconds = (F.unix_micros("e.ts") - F.unix_micros("s.ts")) / F.lit(1_000_000)
+    return merged.select(
+        "__k.experiment_id", "__k.stage", "run_no", F.col("s.ts").alias("started_at"), F.col("e.ts").alias("ended_at"),
+        F.coalesce("e.status", F.lit("open")).alias("status"), seconds.alias("duration_sec"), "n_failed", counts.alias("counts"),
+    )
+
+
+def _no_counts() -> Column:
+    return F.map_from_entries(F.array().cast("array<struct<key:string,value:bigint>>"))
+
+
 # --- R7 -------------------------------------------------------------------------------
 def expected_units(requests: Column | int, normalizers: int, scorers: int, plugins: int) -> Column:
     """requests x (1 + normalizers + scorers) + plugins, at least one."""
