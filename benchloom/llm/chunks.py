@@ -10,6 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 
@@ -21,12 +25,17 @@ def cuttable(text: str) -> bool:
     return not _OTHER_SPACE.search(text)
 
 
+def single_spaced(text: str) -> bool:
+    """True for a text of words with one space or one line feed between them and nothing around."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") or text[-1] in " \n")
+
+
 def words_of(text: str) -> tuple[str, list[str], str]:
     """A cuttable text as its start, words and trailing white space.
 
     A word that follows one space stands without it; any other begins with its white space.
     """
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") or text[-1] in " \n":
+    if not single_spaced(text):
         parts = _CHUNK.findall(text)
         first = parts.pop(0) if parts and parts[0][0] not in " \n" else ""
         last = parts.pop() if parts and parts[-1][-1] in " \n" else ""
@@ -43,7 +52,7 @@ def word_and_marks(chunk: str) -> tuple[str, str]:
 
 CACHED_WORDS = 400_000  # twice that many stand in the two caches of a worker
 CACHED_MARKS = 10_000
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 4 << 20
 
 
 class WordCache:
@@ -61,8 +70,6 @@ class WordCache:
         self.marks: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, self.older = {}, self.known
         if len(self.marks) > CACHED_MARKS:
             self.marks.clear()
         known, older, cut, plain = self.known, self.older, [], set()
@@ -85,19 +92,39 @@ class WordCache:
             known[word] = known[stem] + self.marks[marks]
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [words_of(t) if cuttable(t) and not self.whole(t) else None for t in texts]
-        found = [list(map(self.known.get, p[1])) if p else [] for p in parts]
-        new = {w for p, f in zip(parts, found, strict=True) if None in f for w, ids in zip(p[1], f, strict=True) if ids is None}
-        self._learn(new)
-        for text, part, ids in zip(texts, parts, found, strict=True):
-            if part is None:
+        """Arrow parts the plain texts at their spaces and finds the distinct words; only those are looked up one by one."""
+        kinds = [0 if not cuttable(t) or self.whole(t) else 1 if single_spaced(t) else 2 for t in texts]
+        plain = pc.split_pattern(pc.replace_substring(pa.array([t for t, k in zip(texts, kinds, strict=True) if k == 1], pa.string()), "\n", " \n"), " ")
+        flat, bounds = plain.flatten(), plain.offsets.to_numpy()
+        rest = np.ones(len(flat), bool)
+        rest[bounds[:-1]] = False
+        firsts, counts = iter(flat.take(pa.array(bounds[:-1])).to_pylist()), iter((np.diff(bounds) - 1).tolist())
+        others = [words_of(t) for t, k in zip(texts, kinds, strict=True) if k == 2]
+        words = pa.concat_arrays([flat.filter(pa.array(rest)), *[pa.array(o[1], pa.string()) for o in others]]).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        self._learn({distinct[k] for k in new})
+        for k in new:
+            found[k] = self.known[distinct[k]]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1).tolist() if len(ids) else [0]
+        data = memoryview(ids.buffers()[2] or b"")
+        end, other_end, rows = 0, int(rest.sum()), iter(others)
+        for text, kind in zip(texts, kinds, strict=True):
+            if not kind:
                 yield self.encode_text(text)
                 continue
-            if None in ids:
-                known = self.known
-                ids = [known[w] if i is None else i for w, i in zip(part[1], ids, strict=True)]
-            first, last = (self.encode_text(x) if x else b"" for x in (part[0], part[2]))
-            yield first + b"".join(ids) + last
+            if kind == 1:
+                first, last, begin = next(firsts), "", end
+                stop = end = begin + next(counts)
+            else:
+                first, own, last = next(rows)
+                begin = other_end
+                stop = other_end = begin + len(own)
+            yield (self.encode_text(first) if first else b"") + data[at[begin] : at[stop]] + (self.encode_text(last) if last else b"")
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order; about ``BATCH_CHARS`` characters, or one text, are in work at a time."""

@@ -13,11 +13,12 @@ sorted order, so that each keeps the entries of the prefix it shares with the on
 from __future__ import annotations
 
 import base64
-import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,7 +171,7 @@ class TextEncoder:
     def words(self, words: list[str]) -> Iterator[bytes]:
         for word in words:
             if word[0] == " " and word[1:].isalpha():  # one match of the pattern
-                yield struct.pack(f"<{len(ids := self.piece(word))}i", *ids)
+                yield array("i", self.piece(word)).tobytes()
             else:
                 yield self.text(word)
 
@@ -235,15 +236,28 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = text_encoder(path, pattern)
+        tokens = _token_array(own.ranks.token)
         for batch in batches:
             for part in _ids_of(own, batch):
-                yield part.append_column("decoded", _bytes_of(own.ranks.token, part.column(1)))
+                yield part.append_column("decoded", _bytes_of(tokens, part.column(1)))
 
     return pick(docs, **{id_col: "bigint", text_col: "string"}).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def _bytes_of(token: dict[int, bytes], lists: pa.Array) -> pa.Array:
-    return pa.array([b"".join(map(token.__getitem__, one.values.to_pylist())) if one.is_valid else None for one in lists], pa.binary())
+def _bytes_of(tokens: pa.Array, lists: pa.Array) -> pa.Array:
+    """The bytes of each id list: the tokens are taken in one go, so those of a list lie in a row."""
+    flat = tokens.take(lists.flatten())
+    at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = at[np.concatenate([[0], np.cumsum(sizes)])]
+    data = flat.buffers()[2] or pa.py_buffer(b"")
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), data]).cast(pa.binary())
+    return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary())) if lists.null_count else whole
+
+
+def _token_array(token: dict[int, bytes]) -> pa.Array:
+    """The bytes of every id, by id."""
+    return pa.array([token.get(k) for k in range(max(token, default=-1) + 1)], pa.large_binary())
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -252,7 +266,7 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with open(path, "rb") as lines:
-            token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+            token = _token_array({int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)})
         for lists in batches:
             yield _bytes_of(token, lists)
 
