@@ -520,6 +520,18 @@ def _(t):
     return RQ.expand_requests(t("v_cases"), ["model_0", "model_1", "model_2"], "task").select("request_id", "target_model", "case_id", "split")
 
 
+@query(
+    "J1_target_table",
+    """
+select concat('task:customer_', x.c_custkey, ':', c.case_id) as request_id, concat('customer_', x.c_custkey) as target_model, c.case_id
+from (select * from v_cases where split = 'test') c, customer x""",
+)
+def _(t):
+    """Over a thousand targets, given as a table."""
+    targets = t("customer").select(F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("target_model"))
+    return RQ.expand_requests(t("v_cases").where("split = 'test'"), targets, "task").select("request_id", "target_model", "case_id")
+
+
 # --- selection ------------------------------------------------------------------------
 SAMPLE_SQL = """
 with r as (select *, row_number() over (partition by family_id order by md5(concat('42:', case_id)), case_id) as rn from v_cases)

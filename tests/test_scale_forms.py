@@ -157,3 +157,20 @@ def test_constraints_and_level_spellings(spark):
     with pytest.raises(ValueError, match="galaxy"):
         TH.level_defaults({"galaxy": 1})
     assert TH.theme_quota_plan(nodes.limit(0)).collect() == []
+
+
+# --- requests -------------------------------------------------------------------------
+@pytest.mark.parametrize("block", [3, 1000])
+def test_more_targets_than_a_row_unrolls(spark, monkeypatch, block):
+    from benchloom.operators import requests as RQ
+
+    monkeypatch.setattr(RQ, "BLOCK_TARGETS", block)
+    cases = spark.createDataFrame([(f"c{i}", i) for i in range(7)] + [(None, 9)], "case_id string, n int").repartition(3)
+    names = [f"m{i}" for i in range(1001 if block > 3 else 10)] + ["m0"]
+    table = spark.createDataFrame([(m, 1) for m in names], "target_model string, __block int")
+    for targets in (table, names):
+        got = RQ.expand_requests(cases, targets, "t")
+        assert "NestedLoop" not in executed(got) and "Cartesian" not in executed(got)
+        assert got.columns == ["request_id", "task_id", "case_id", "n", "target_model"]
+        assert Counter((r.target_model, r.case_id) for r in got.collect()) == Counter((m, f"c{i}" if i < 7 else None) for m in names for i in range(8))
+    assert RQ.expand_requests(cases, table.limit(0), "t").count() == 0 and RQ.expand_requests(cases.limit(0), table, "t").count() == 0
