@@ -18,6 +18,7 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 
 
+_MARKS = frozenset(".,%&$*#!?;:|")
 _TAIL = re.compile(r"(.*[A-Za-zÀ-ɏ])([.,%&$*#!?;:|]+)", re.DOTALL)
 
 
@@ -77,7 +78,7 @@ class WordCache:
             if word in older:
                 known[word] = older[word]
                 continue
-            stem, marks = word_and_marks(word)
+            stem, marks = word_and_marks(word) if word[-1] in _MARKS else (word, "")
             if marks:
                 cut.append((word, stem, marks))
                 if marks not in self.marks:
