@@ -8,7 +8,7 @@ from benchloom.catalog import QUERIES
 
 # One summary row per block, file split, region or allocation: bounded, never the data.
 SUMMARY_WINDOWS = {
-    "S1_read_prompts_text", "S2_read_prompts_csv", "S6_import_legacy_prompts", "W5_number_records", "U1_merge_runs",
+    "S1_read_prompts_text", "S2_read_prompts_csv", "S6_import_legacy_prompts", "W5_number_records", "U1_merge_runs", "W2_cap_cases",
 }
 
 
