@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from benchloom.llm.common import pick
 from benchloom.llm.words import slices, starts_of
+from benchloom.operators.numbering import rank_in_order
 from benchloom.session import cut
 
 BUCKETS = 10_000
@@ -183,17 +183,6 @@ def weigh(scanned: DataFrame, gained: DataFrame, buckets: int = BUCKETS) -> Data
     return scanned.mapInArrow(_weigher(table), "doc_id bigint, n_words bigint, n_features bigint, weight bigint")
 
 
-def ranked(rows: DataFrame, order: list, out: str) -> DataFrame:
-    """``rows`` with their place from 1 in ``order`` as ``out``; a range of the order is one task's, only its size meets the others'."""
-    ranges = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranges = cut(ranges, "ranges")
-    sizes = ranges.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(W.partitionBy("__part").orderBy(*order)) + F.col("__before")
-    return ranges.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(out, place.cast("bigint")).drop("__part", "__p", "__before")
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,
@@ -223,7 +212,7 @@ def resample(
     rows = weighed.select("doc_id", "n_features", "weight", (F.col("weight") + noise).alias("score"), enough.alias("__fit"), F.monotonically_increasing_id().alias("__seq"))
     order = [F.desc("__fit"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("__seq")]
     # a fit row stands before all others, so its place among the fit ones is its place here
-    placed = ranked(rows, order, "rank")
+    placed = rank_in_order(rows, order, "rank")
     fit = scanned.agg(F.count(F.when(enough, 1)).alias("n")).select(F.floor(F.col("n") * percent / 100).cast("bigint").alias("__drawn"))
     placed = placed.join(F.broadcast(fit))
     return placed.select("doc_id", "n_features", "weight", "score", F.when(F.col("__fit") & (F.col("rank") <= F.col("__drawn")), F.col("rank")).alias("rank"))

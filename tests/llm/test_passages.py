@@ -11,7 +11,6 @@ from zlib import crc32
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from benchloom.llm import anchors, periods, queries, resampling
 from benchloom.llm.words import starts_of
@@ -257,10 +256,3 @@ def test_draw_query(spark, small):
     target = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     got = queries.op13_prefix_crc(spark, small).select("doc_id", "n_features", "weight", "score", "rank").collect()
     assert Counter(map(tuple, got)) == drawn(docs, target)
-
-
-def test_ranks_are_dense(spark):
-    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
-    got = resampling.ranked(rows, [F.desc("k"), F.asc("v")], "place").orderBy("place").collect()
-    assert [r.place for r in got] == list(range(1, 1001))
-    assert [(r.k, r.v) for r in got] == sorted(((v % 7, v) for v in range(1000)), key=lambda x: (-x[0], x[1]))
