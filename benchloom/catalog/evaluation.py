@@ -433,6 +433,20 @@ def _(t):
     ).withColumn("mean_score", F.round("mean_score", 6))
 
 
+@query(
+    "A1_group_labels",
+    """
+select r.target_model, r.split, r.group_key, s.scorer_id, concat(s.label, '_', s.turn) as label, count(*) as n
+from v_results r join (select s.*, r.turn from v_scores s join v_results r on r.source_record_id = s.source_record_id) s on r.target_model = s.target_model and r.case_id = s.case_id
+group by 1, 2, 3, 4, 5""",
+)
+def _(t):
+    """Every label of every group, in long form."""
+    turns = t("v_results").select("source_record_id", "turn")
+    scores = scores_frame(t).join(turns, "source_record_id").withColumn("labels", F.transform("labels", lambda x: F.concat_ws("_", x, F.col("turn").cast("string"))))
+    return SM.group_labels(t("v_results"), scores)
+
+
 @query(
     "A2_experiment_summary",
     f"""

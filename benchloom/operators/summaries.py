@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from benchloom.functions import variants as V
 from benchloom.functions.failures import categorize_failure
@@ -27,6 +28,9 @@ def _or(c: Column | str, default: str) -> Column:
 
 
 # --- A1 -------------------------------------------------------------------------------
+MOST_NAMES = 1000  # labels, and score names, in the maps of a group
+
+
 def group_facts(results: DataFrame, scores: DataFrame, on: str = "case_id") -> DataFrame:
     """Long-form facts per (target, split, group, scorer): kind is ``row``, ``label`` or ``score``.
 
@@ -60,25 +64,48 @@ def group_facts(results: DataFrame, scores: DataFrame, on: str = "case_id") -> D
     )
 
 
-def group_summary(results: DataFrame, scores: DataFrame, on: str = "case_id") -> DataFrame:
+def group_labels(results: DataFrame, scores: DataFrame, on: str = "case_id") -> DataFrame:
+    """One row per target, split, group, scorer and label: how many score rows of the group carry it.  Exact, whatever the number of labels."""
+    facts = group_facts(results, scores, on).where(F.col("kind") == "label")
+    return facts.select("target_model", "split", "group_key", "scorer_id", F.col("name").alias("label"), F.col("n").cast("bigint").alias("n"))
+
+
+def _most_frequent(facts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of the facts per ``keys`` the ``most`` with the highest count, ties by name, with ``names``, how many there are in all.
+
+    They are cut per salt first, so a group of very many names is many tasks' work.
+    """
+    order = [F.desc("n"), F.asc("name")]
+    salt, whole = W.partitionBy(*keys, "__salt"), W.partitionBy(*keys)
+    cut_once = facts.withColumn("__salt", F.pmod(F.xxhash64("name"), F.lit(64)))
+    cut_once = cut_once.withColumns({"__r": F.row_number().over(salt.orderBy(*order)), "__m": F.count("*").over(salt)}).where(F.col("__r") <= most)
+    ranked = cut_once.withColumns({"names": F.sum(F.when(F.col("__r") == 1, F.col("__m"))).over(whole), "__place": F.row_number().over(whole.orderBy(*order))})
+    return ranked.where(F.col("__place") <= most).drop("__r", "__m", "__salt", "__place")
+
+
+def group_summary(results: DataFrame, scores: DataFrame, on: str = "case_id", most_names: int = MOST_NAMES) -> DataFrame:
     """By target, split, group and scorer: case count, score rows, labels, label counts, mean scores.
 
-    A group without scores is one row with a null scorer and zero score rows.
+    A group without scores is one row with a null scorer and zero score rows.  The maps hold the
+    ``most_names`` most frequent labels and score names, so no row grows with their number;
+    ``n_labels`` counts all labels, and ``group_labels`` gives the count of every one.
     """
     group = ["target_model", "split", "group_key"]
+    keys = [*group, "scorer_id", "kind"]
     sizes = results.groupBy(*group).agg(F.count("*").alias("case_count"))
     facts = group_facts(results, scores, on)
     pick = lambda kind, value: F.map_from_entries(
         F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("name").alias("k"), value.alias("v")))))
     )
-    rows = facts.groupBy(*group, "scorer_id").agg(
+    rows = _most_frequent(facts, keys, most_names).groupBy(*group, "scorer_id").agg(
         F.sum(F.when(F.col("kind") == "row", F.col("n"))).alias("score_record_count"),
         pick("label", F.col("n")).alias("label_counts"),
         pick("score", F.col("total") / F.col("n")).alias("scores"),
+        F.max(F.when(F.col("kind") == "label", F.col("names"))).alias("n_labels"),
     )
     return (
         sizes.join(rows, group, "left")
-        .withColumn("score_record_count", F.coalesce("score_record_count", F.lit(0)).cast("bigint"))
+        .withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("score_record_count", "n_labels")})
         .withColumn("labels", F.coalesce(F.map_keys("label_counts"), F.array().cast("array<string>")))
     )
 

@@ -174,3 +174,16 @@ def test_more_targets_than_a_row_unrolls(spark, monkeypatch, block):
         assert got.columns == ["request_id", "task_id", "case_id", "n", "target_model"]
         assert Counter((r.target_model, r.case_id) for r in got.collect()) == Counter((m, f"c{i}" if i < 7 else None) for m in names for i in range(8))
     assert RQ.expand_requests(cases, table.limit(0), "t").count() == 0 and RQ.expand_requests(cases.limit(0), table, "t").count() == 0
+
+
+# --- label summaries ------------------------------------------------------------------
+def test_rows_do_not_grow_with_labels(spark):
+    from benchloom.operators import summaries as SM
+
+    results = spark.createDataFrame([("m", "s", "g", f"c{i}") for i in range(30)] * 2, "target_model string, split string, group_key string, case_id string")
+    scores = spark.createDataFrame([("m", f"c{i}", "sc", [f"l{i}", f"l{i % 3}"], {"v": float(i)}) for i in range(30)], "target_model string, case_id string, scorer_id string, labels array<string>, scores map<string,double>")
+    want = Counter(x for i in range(30) for x in (f"l{i}", f"l{i % 3}"))
+    (row,) = SM.group_summary(results, scores, most_names=4).collect()
+    top = sorted(want, key=lambda x: (-want[x], x))[:4]
+    assert (row.n_labels, row.score_record_count, row.label_counts) == (30, 60, {x: 2 * want[x] for x in top}) and row.scores == {"v": 14.5}
+    assert {r.label: r.n for r in SM.group_labels(results, scores).collect()} == {x: 2 * n for x, n in want.items()}
