@@ -35,8 +35,8 @@ ODDS = 4.0  # least odds ratio of an entry
 STEM_LETTERS = (3, 8)
 STEM_WORDS = 4
 WINDOW = 8
-CACHED_WORDS = 100_000
-STATES = 10_000
+CACHED_WORDS = 300_000
+STATES = 20_000
 SPLIT = r"[\s.,;:!?\"()\[\]{}<>|/\\%&$#*“”„«»]+"
 
 # Words of reporting, in the languages of Western Europe, and quotation marks.
