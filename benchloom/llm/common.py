@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -34,12 +33,9 @@ _HELD: list[tuple[Any, Any]] = []
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:
-    """A worker process's model with its caches, kept from task to task; another key lets the one before go, memory and all."""
+    """A worker process's model with its caches, kept from task to task; another key lets the one before go."""
     if not _HELD or _HELD[0][0] != key:
-        if _HELD:
-            _HELD.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+        _HELD.clear()
         _HELD.append((key, make()))
     return _HELD[0][1]
 
