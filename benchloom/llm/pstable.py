@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.llm.common import _forest, components
-from benchloom.llm.vectors import matrix, one_size, streamed_groups, usable
+from benchloom.llm.vectors import by_length, matrix, streamed_groups, usable
 from benchloom.session import cut
 
 COSINE = 0.95
@@ -48,17 +48,19 @@ def plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
 
 
 def _signer(hashes: int, tables: int, seed: int):
+    def hashers(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(seed)
+        lines, offsets = rng.standard_normal((length, hashes * tables)), rng.uniform(0, WIDTH, hashes * tables)
+        return lines, offsets, rng.integers(1, 1 << 62, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = offsets = mix = None
+        have, made = None, None
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for length, part in by_length(batch, 1, 1024):
+                if length != have:
+                    have, made = length, hashers(length)
+                lines, offsets, mix = made
                 x = matrix(part.column(1))
-                if lines is None:
-                    rng = np.random.default_rng(seed)
-                    lines = rng.standard_normal((x.shape[1], hashes * tables))
-                    offsets = rng.uniform(0, WIDTH, hashes * tables)
-                    mix = rng.integers(1, 1 << 62, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 cells = np.floor((x @ lines + offsets) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, hashes)
                 keys = ((cells * mix).sum(2, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -71,13 +73,13 @@ def _signer(hashes: int, tables: int, seed: int):
 def _linker(cosine: float):
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         """Counts (a, null, links) and forest edges (a, b, 0) of one cell: pairs inside its chunk, or across its two."""
-        table = group.column(0)[0].as_py()
-        same_chunk = group.column(2)[0].as_py() == group.column(3)[0].as_py()
-        ids, many = group.column(5).to_numpy(), group.column(7).to_numpy()
-        first = group.column(4).to_numpy()
-        x = matrix(group.column(6).chunk(0))
+        table = group.column(1)[0].as_py()
+        same_chunk = group.column(3)[0].as_py() == group.column(4)[0].as_py()
+        ids, many = group.column(6).to_numpy(), group.column(8).to_numpy()
+        first = group.column(5).to_numpy()
+        x = matrix(group.column(7).chunk(0))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        keys = group.column(8).chunk(0).flatten().to_numpy().reshape(len(ids), -1)[:, :table]
+        keys = group.column(9).chunk(0).flatten().to_numpy().reshape(len(ids), -1)[:, :table]
         links, left, right = np.zeros(len(ids), np.int64), [], []
         for begin in range(0, len(ids), 512):
             a, b = np.nonzero(x[begin : begin + 512] @ x.T >= cosine)
@@ -104,32 +106,33 @@ def _linker(cosine: float):
             names=["a", "b", "links"],
         )
 
-    return streamed_groups(4, work)
+    return streamed_groups(5, work)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
-    nor do rows with a null id or vectors of another length than most; each is its own component.  Rows
-    with equal vectors link, repeated ids too.  Other columns are ignored; an empty table gives
+    nor do rows with a null id; each is its own component.  Vectors of different lengths never
+    link, each length is searched among its own.  Rows with equal vectors link, repeated ids too.  Other columns are ignored; an empty table gives
     no rows.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = one_size(rows.filter(F.col("id").isNotNull() & usable(F.col("v"))))
+    good = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
     classes = cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "n"), "classes")
     hashes, tables = plan(classes.count(), cosine, miss)
     signed = cut(classes.mapInArrow(_signer(hashes, tables, seed), "id bigint, v array<double>, n bigint, keys array<int>"), "signed")
-    places = signed.select("id", F.posexplode("keys").alias("t", "key"))
-    company = places.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = places.join(company, ["t", "key"])
+    places = signed.select("id", F.size("v").alias("d"), F.posexplode("keys").alias("t", "key"))
+    company = places.groupBy("d", "t", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = places.join(company, ["d", "t", "key"])
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # every chunk of a bucket meets itself and every other; nearly all buckets have one chunk
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.withColumns({"c1": F.least("own", "other"), "c2": F.greatest("own", "other"), "first": (F.col("own") > F.col("other")).cast("int")})
-    full = met.select("t", "key", "c1", "c2", "first", F.col("id").alias("i")).join(signed, F.col("i") == F.col("id"))
-    cells = full.select("t", "key", "c1", "c2", "first", "id", "v", "n", "keys").repartition("t", "key", "c1", "c2").sortWithinPartitions("t", "key", "c1", "c2")
+    full = met.select("d", "t", "key", "c1", "c2", "first", F.col("id").alias("i")).join(signed, F.col("i") == F.col("id"))
+    cell = ("d", "t", "key", "c1", "c2")
+    cells = full.select(*cell, "first", "id", "v", "n", "keys").repartition(*cell).sortWithinPartitions(*cell)
     found = cut(cells.mapInArrow(_linker(cosine), "a bigint, b bigint, links bigint"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("ca")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("b is not null").select("a", "b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def one_size(rows: DataFrame, vector: str = "v") -> DataFrame:
-    """Rows of the most frequent vector length (of equal ones the longest); others cannot be compared with them."""
-    lengths = rows.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.filter(F.size(vector) == (lengths.d if lengths else 0))
+def by_length(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(length, part) of a batch: parts of at most ``rows`` rows whose vectors have one length, so that they are rows of a matrix."""
+    sizes = np.diff(batch.column(column).offsets.to_numpy())
+    for length in np.unique(sizes):
+        at = np.flatnonzero(sizes == length)
+        part = batch if len(at) == batch.num_rows else batch.take(pa.array(at))
+        for begin in range(0, part.num_rows, rows):
+            yield int(length), part.slice(begin, rows)
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -368,3 +368,39 @@ def test_language_stage_rests_on_the_score(spark, frame, small):
     assert kept == {r.doc_id for r in docs.collect()}
     odd = frame([(1, "some words", None, None, "x", 1), (2, None, None, None, "x", 1), (None, "é", "en", None, None, None), (3, "12 _", None, None, None, None)], ODD)
     assert {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, odd, small).collect()} == {1, None}
+
+
+def test_vectors_of_two_lengths(frame, monkeypatch):
+    monkeypatch.setattr(postings, "CHUNK", 100)
+    rng = np.random.default_rng(8)
+    long, short = rng.standard_normal((300, 12)), rng.standard_normal((40, 5))
+    short[20:] = short[:20] * 2  # parallel: cosine 1
+    x = {k: v for k, v in enumerate([*long, *short])}
+    table = frame([(k, [float(np.float32(y)) for y in v], 0, "a", 1, 2) for k, v in x.items()], VECTORS)
+    x = {k: np.array(v, np.float32).astype(float) for k, v in x.items()}
+    links = {r.vec_id: (r.n_links, r.component_id) for r in pstable.near_duplicates(table).collect()}
+    assert all(links[300 + k] == (1, 300 + k % 20) for k in range(40))
+    assert set(links) == set(x) and all(links[k][0] == 0 for k in range(300))
+    got: dict = {}
+    for r in postings.search(table, every=20, top=6).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 340, 20))
+    for q in (300, 320):  # a length of few rows is searched whole
+        others = sorted((k for k in x if k >= 300 and k != q), key=lambda k: (-float((x[k] * x[q]).sum()), k))
+        assert sorted(got[q]) == sorted(others[:6])
+    assert all(v < 300 for q in range(0, 300, 20) for v in got[q])
+
+
+def test_postings_copies_and_share_read(spark, small):
+    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows = table.selectExpr("vec_id id", "cast(embedding as array<double>) v").filter("v is not null")
+    x = np.array([r.v for r in rows.collect()])
+    norm2 = float((x * x).sum(1).max())
+    index = postings.build(rows, len(x), x.shape[1], norm2)
+    placed = postings.lists_of(index, postings.lift(x, norm2).astype(np.float32))
+    assert (placed >= 0).sum(1).mean() > 1  # boundary vectors stand in several lists
+    assert all(len(set(p[p >= 0])) == (p >= 0).sum() for p in placed)
+    queries = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
+    for k, read in enumerate(postings.lists_read(index, queries)):  # the walk misses hardly a centroid in reach
+        d = postings.distances(queries[k : k + 1], index.centroids)[0]
+        assert len(set(np.flatnonzero(d <= index.limit(d.min()))) - set(read)) <= max(1, 0.05 * len(d))
