@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -32,10 +34,21 @@ def held_out(doc_id: Column) -> Column:
 _HELD: list[tuple[Any, Any]] = []
 
 
+def give_back() -> None:
+    """Memory that the process has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held(key: Any, make: Callable[[], Any]) -> Any:
-    """A worker process's model with its caches, kept from task to task; another key lets the one before go."""
+    """A worker process's model with its caches, kept from task to task; another key lets the one before go, memory and all."""
     if not _HELD or _HELD[0][0] != key:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD.append((key, make()))
     return _HELD[0][1]
 

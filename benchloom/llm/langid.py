@@ -34,6 +34,10 @@ PARTS = 64  # in which a language's rows are ranked before its best are ranked t
 RIDGE = 1e-2
 BATCH = 32
 LETTERS = 1 << 16  # letters handled at a time
+CHANCE_PAIRS = 5.0
+POOR = 16
+POOR_FROM = 400
+RECUR = 2.5  # times chance, from which a text is one of a language
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +71,32 @@ class Model:
     floor: float = 0.0
 
 
+def babble(text: str | None) -> bool:
+    """True for a text whose n-grams of ``ORDER`` letters recur no more than those of letters drawn one by one, each as often as it is there.
+
+    In a language, known or not, they recur far more.  A text in which chance alone gives fewer
+    than ``CHANCE_PAIRS`` recurring pairs (a short one, or one of very many letters) can't be told
+    from a language and is no babble.  A few syllables over and over are: ``POOR`` times their
+    distinct n-grams are fewer than the text's, of which ``POOR_FROM`` count at most.
+    """
+    letters = _OTHER.sub(" ", (text or "").lower()).strip()
+    codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - ORDER + 1
+    if not letters or n < 2:
+        return False
+    gram = codes[:n].copy()
+    for k in range(1, ORDER):
+        gram = gram * np.uint64(0x110000) + codes[k : k + n]
+    count = np.unique(gram, return_counts=True)[1].astype(np.float64)
+    if POOR * len(count) < min(n, POOR_FROM):
+        return True
+    often = np.unique(codes, return_counts=True)[1] / len(codes)
+    chance = n * (n - 1) / 2 * float((often**2).sum()) ** ORDER
+    if chance < CHANCE_PAIRS:
+        return False
+    return float((count * (count - 1) / 2).sum()) < RECUR * chance
+
+
 def has_letter(text: str | None) -> bool:
     return bool(_OTHER.sub("", text or ""))
 
@@ -109,11 +139,11 @@ def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, landmarks: int =
     another and the least score of the rows learned from; with fewer than two languages it is 0.
     """
     rows = pick(docs, doc_id="bigint", lang="string").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    rows = rows.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
     for keys in (("lang", "part"), ("lang",)):  # the first of each part hold the first of all
         place = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
         rows = rows.withColumn("n", place).filter(F.col("n") <= rows_per_lang).drop("n")
-    chosen = rows.select(F.col("doc_id").alias("i")).distinct()
+    chosen = rows.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))  # rows_per_lang a language
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +152,9 @@ def learn(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, landmarks: int =
             yield pa.record_batch([batch.column(0), batch.column(1), packed], names=["doc_id", "lang", "bits"])
 
     texts = pick(docs, doc_id="bigint", lang="string", text="string").filter("lang is not null")
-    texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select("doc_id", "lang", "text")  # rows_per_lang ids a language
-    found = texts.mapInArrow(bits, "doc_id bigint, lang string, bits binary").filter("bits is not null").collect()
+    texts = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text")
+    found = texts.mapInArrow(bits, "doc_id bigint, lang string, bits binary").filter("bits is not null")
+    found = found.groupBy("doc_id", "lang").agg(F.min("bits").alias("bits")).collect()  # an id that repeats in a language teaches once
     found.sort(key=lambda r: (r.lang, r.doc_id, r.bits))
     langs = sorted({r.lang for r in found})
     if not langs:
@@ -161,16 +192,24 @@ def predict(text: Column, model: Model) -> Column:
 
 
 def accepted(text: Column, model: Model) -> Column:
-    """True for a text scored ``model.floor`` or more; of a model without languages, for every text with a letter.  Never null."""
-    if model.langs:
-        found = predict(text, model)
-        return (found["lang"] != UNKNOWN) & (found["score"] >= model.floor)
+    """True for a text scored ``model.floor`` or more, and for one of letters that is no ``babble``.  Never null.
+
+    The score tells the languages learned from each other, but not a language without labels from
+    noise; such a text stays.  Null, empty and letterless texts go, and so does babble below the floor.
+    A model without languages keeps every text with a letter.
+    """
 
     @F.arrow_udf("boolean")
-    def lettered(texts: pa.Array) -> pa.Array:
-        return pa.array([has_letter(t.as_py()) for t in texts], pa.bool_())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = held(("langid", model.weights.tobytes()), lambda: Scorer(model)) if model.langs else None
+        for texts in batches:
+            if own is None:
+                yield pa.array([has_letter(t.as_py()) for t in texts], pa.bool_())
+                continue
+            langs, scores = own.predict(texts)
+            yield pa.array([lang != UNKNOWN and (score >= model.floor or not babble(t.as_py())) for t, lang, score in zip(texts, langs, scores, strict=True)], pa.bool_())
 
-    return lettered(text.cast("string"))
+    return run(text.cast("string"))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

@@ -10,7 +10,7 @@ nearest centroid and to others at most ``BOUNDARY`` times as far, ``COPIES`` in
 one that hardly differs from a centroid chosen before.
 
 Searching: a query walks the graph, in memory, and reads the lists of the centroids at most
-``ratio`` times as far as its nearest.  The ratio is measured on the last quarter of the sample,
+``ratio`` times as far as its nearest, of ``BEAM`` at least.  The ratio is measured on the last quarter of the sample,
 which shaped no centroid: the least at which ``RECALL`` of true neighbours stand in a list read.
 Neighbouring lists form blocks of ``BLOCK_LISTS``; a vector or query comes to a block once, with
 its lists there.  A block's rows are spread over chunks of about ``CHUNK``, so a list that a third
@@ -62,7 +62,7 @@ class Index:
     graph: np.ndarray
     norm2: float  # the largest squared norm of the table
     ratio: float = np.inf
-    base: float = 0.0  # a nearest centroid counts as so far at least
+    base: float = 0.0  # a nearest centroid counts as so far at least: the median of vectors that shaped no centroid
 
     def __post_init__(self):
         self.square = (self.centroids**2).sum(1)
@@ -178,11 +178,11 @@ def lists_read(index: Index, x: np.ndarray) -> Iterator[np.ndarray]:
     for begin in range(0, len(x), WALKERS):
         part = x[begin : begin + WALKERS]
         ids, far = nearest(index, part)
-        least = far.min(1)
+        least, always = far.min(1), np.where(ids >= 0, far, 0.0).max(1)
         known = np.full((len(part), n), np.inf, np.float32)
         r, k = np.nonzero(ids >= 0)
         known[r, ids[r, k]] = far[r, k]
-        front = np.flatnonzero(known.ravel() <= np.repeat(index.limit(least), n))
+        front = np.flatnonzero(known.ravel() <= np.repeat(np.maximum(index.limit(least), always), n))
         while len(front):
             r, c = front // n, front % n
             met = np.zeros(known.size, bool)
@@ -193,7 +193,7 @@ def lists_read(index: Index, x: np.ndarray) -> Iterator[np.ndarray]:
                 known.ravel()[at] = index.far(part, at // n, at % n)
             np.minimum.at(least, new // n, known.ravel()[new])
             front = new[known.ravel()[new] <= index.limit(least)[new // n]]
-        for row, most in zip(known, index.limit(least), strict=True):
+        for row, most in zip(known, np.maximum(index.limit(least), always), strict=True):
             yield np.flatnonzero(row <= most)
 
 
@@ -208,17 +208,16 @@ def build(vectors: DataFrame, n: int, length: int, norm2: float, recall: float =
     centroids = halves(fit, lists, rng).astype(np.float32)
     index = Index(centroids, join_graph(centroids, rng), norm2)
     placed = np.concatenate([lists_of(index, lift(probes[b : b + BATCH], norm2).astype(np.float32)) for b in range(0, len(probes), BATCH)])
-    share = max(1, -(-top * len(probes) // n))  # of a query's nearest in the table, so many stand among the probes
     least, base = [], []
     for k in range(min(PROBES, len(probes))):
         score = probes @ probes[k]
         score[k] = -np.inf
-        near = np.argsort(-score, kind="stable")[: min(share, len(probes) - 1)]
+        near = np.argsort(-score, kind="stable")[: min(top, len(probes) - 1)]  # farther than those in the table, so the ratio is on the safe side
         d = distances(np.append(probes[k], 0.0).astype(np.float32)[None], centroids)[0]
         base.append(d.min())
         least += [(base[-1], f) for f in np.where(placed[near] >= 0, d[placed[near]], np.inf).min(1)]
     if least:
-        index.base = float(np.median(base)) / 2
+        index.base = float(np.median(base))  # vectors of the sample are nearer to the centroids that they shaped
         ratios = [f / max(b, index.base, 1e-12) for b, f in least]
         index.ratio = max(1.0, float(np.quantile(ratios, recall))) * (1 + 1e-5)
     return index

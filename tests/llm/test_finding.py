@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from benchloom.llm import common, langid, postings, pstable, queries, simhash, toxicity, warc
@@ -404,3 +405,26 @@ def test_postings_copies_and_share_read(spark, small):
     for k, read in enumerate(postings.lists_read(index, queries)):  # the walk misses hardly a centroid in reach
         d = postings.distances(queries[k : k + 1], index.centroids)[0]
         assert len(set(np.flatnonzero(d <= index.limit(d.min()))) - set(read)) <= max(1, 0.05 * len(d))
+
+
+def test_language_stage_keeps_a_language_without_labels(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for lang in ("en", "de"):
+        hidden = docs.withColumn("lang", F.when(F.col("lang") != lang, F.col("lang")))
+        kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, hidden, small).collect()}
+        assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_language_bound_holds_for_a_repeated_id(frame):
+    texts = [f"{a} {b} words of a text" for a in ("one", "two", "ten") for b in ("red", "blue", "green")]
+    rows = [(1, t, "en", None, None, None) for t in texts * 20] + [(2 + k, f"ein satz mit wort {k}", "de", None, None, None) for k in range(40)]
+    model = langid.learn(frame(rows, ODD), rows_per_lang=10, landmarks=64)
+    assert model.langs == ["de", "en"] or model.langs == ["de"]  # id 1 may be held out
+    assert len(model.landmarks) <= 10 + 1  # ten of one language, the repeated id once
+
+
+def test_babble():
+    rng = np.random.default_rng(12)
+    random = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 800))
+    assert langid.babble(random) and langid.babble(random + " 123") and langid.babble("la lo " * 50)
+    assert not any(langid.babble(t) for t in (None, "", "12", "ab", "a short text", random + " " + random, "the cat and the dog and the bird sat on the mat " * 5))
