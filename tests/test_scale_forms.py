@@ -176,6 +176,18 @@ def test_more_targets_than_a_row_unrolls(spark, monkeypatch, block):
     assert RQ.expand_requests(cases, table.limit(0), "t").count() == 0 and RQ.expand_requests(cases.limit(0), table, "t").count() == 0
 
 
+def test_copied_targets_are_not_broadcast(spark, monkeypatch):
+    from benchloom.operators import requests as RQ
+
+    monkeypatch.setattr(RQ, "BLOCK_TARGETS", 10)
+    cases = spark.range(50).select(F.concat(F.lit("c"), "id").alias("case_id"))
+    targets = spark.range(200).select(F.concat(F.lit("m"), "id").alias("target_model"))
+    got = RQ.expand_requests(cases, targets, "t")
+    # Spark takes the blocks for small and would hold every copy of them in the driver
+    assert "Broadcast" not in executed(got) and operators(executed(got), "ShuffledHashJoin") == 1
+    assert got.select("request_id").distinct().count() == got.count() == 50 * 200
+
+
 # --- label summaries ------------------------------------------------------------------
 def test_rows_do_not_grow_with_labels(spark):
     from benchloom.operators import summaries as SM
