@@ -5,17 +5,20 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from benchloom import fixed
 
 # White space as Unicode text handling counts it, control separators included.
 WS = r"\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# Bytes of text that a Python worker turns into objects at a time.
+SLICE_BYTES = 1 << 20
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
@@ -38,15 +41,34 @@ def first_truthy(*cols: Column | str) -> Column:
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cols])
 
 
+def by_slices(convert):
+    """``convert`` (list of texts to an Arrow array) over a batch of texts, some ``SLICE_BYTES`` of them at a time.
+
+    A batch holds as many rows as the session says, whatever their length, and Python objects
+    take a multiple of its bytes: a worker's memory is that of the batch and its result.
+    """
+    limit = SLICE_BYTES
+
+    def run(texts: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        starts = np.unique(ends // limit, return_index=True)[1].tolist()
+        spans = zip(starts, [*starts[1:], len(texts)], strict=True)
+        parts = [convert(texts.slice(a, b - a).to_pylist()) for a, b in spans]
+        return pa.concat_arrays(parts) if parts else convert([])
+
+    return run
+
+
 def _normalizer():
     # Defined inside a function so that it is shipped by value and the executors
     # need no copy of this package.
-    def normalize(text: pd.Series) -> pd.Series:
-        return text.map(
-            lambda s: s if s is None else " ".join((s if s.isascii() else unicodedata.normalize("NFKC", s)).split())
-        )
+    def normalize(texts: list) -> pa.Array:
+        plain = (s if s is None or s.isascii() else unicodedata.normalize("NFKC", s) for s in texts)
+        return pa.array([s if s is None else " ".join(s.split()) for s in plain], pa.string())
 
-    return pandas_udf(normalize, T.StringType())
+    # Said not to be deterministic, or a filter on the result would be pushed below it and get
+    # a second run of it, with a Python worker of its own.
+    return F.arrow_udf(by_slices(normalize), T.StringType()).asNondeterministic()
 
 
 def normalize_text(c: Column | str) -> Column:

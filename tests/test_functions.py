@@ -226,3 +226,29 @@ def test_normalized_options(spark):
     raw = ['["go", "stay"]', '[{"id": "b", "text": "x"}, {"id": "A", "text": "y"}, 3]', '[{"id": "A", "text": "x"}, {"id": "A", "text": "y"}]', '["only"]', '["", "x"]']
     got = col_of(spark, raw, lambda c: guards.normalized_options(F.try_variant_get(F.parse_json(c), "$", "array<variant>")))
     assert [[(o.id, o.text) for o in g] for g in got] == [[("A", "go"), ("B", "stay")], [("A", "y"), ("B", "x")], [], [], []]
+
+
+def test_batches_become_objects_slice_by_slice(monkeypatch):
+    import pyarrow as pa
+
+    from benchloom.functions import text as TX
+
+    monkeypatch.setattr(TX, "SLICE_BYTES", 8)
+    seen = []
+
+    def convert(texts):
+        seen.append(texts)
+        return pa.array([t and t.upper() for t in texts], pa.string())
+
+    rows = ["abc", None, "", "d" * 40, "e", "f", None, "雨雨雨"]
+    run = TX.by_slices(convert)
+    assert run(pa.array(rows)).to_pylist() == [t and t.upper() for t in rows] and [x for part in seen for x in part] == rows
+    assert len(seen) == 3 and all(sum(len((t or "").encode()) for t in part[1:]) <= 8 for part in seen)
+    assert run(pa.array([], pa.string())).to_pylist() == [] and run(pa.array(rows).slice(3, 2)).to_pylist() == ["D" * 40, "E"]
+
+
+def test_a_filter_does_not_normalize_again(spark, small):
+    from benchloom.catalog import QUERIES
+
+    plan = QUERIES["S3_read_prompts_jsonl"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one for each branch
