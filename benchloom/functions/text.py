@@ -50,11 +50,12 @@ def by_slices(convert):
     limit = SLICE_BYTES
 
     def run(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return convert([])
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         starts = np.unique(ends // limit, return_index=True)[1].tolist()
         spans = zip(starts, [*starts[1:], len(texts)], strict=True)
-        parts = [convert(texts.slice(a, b - a).to_pylist()) for a, b in spans]
-        return pa.concat_arrays(parts) if parts else convert([])
+        return pa.concat_arrays([convert(texts.slice(a, b - a).to_pylist()) for a, b in spans])
 
     return run
 
