@@ -6,12 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from benchloom.functions import signals, variants as V
 from benchloom.functions.replies import ReplySpec, json_payload, reasoning_tail, structured_reply
 from benchloom.functions.text import blank_to_null, java_pattern, pattern_error, strip_ws
 from benchloom.operators.keyed import last_wins, preference
 
+# Results of one record id from which on the pairs with its judge replies are made in several tasks.
+CELL_ROWS = 250
+
 _CARRY = [
     "task_id", "benchmark_id", "request_id", "case_id", "target_model", "source_run_id", "source_record_id", "split", "group_key",
 ]
@@ -256,10 +260,29 @@ def judge_to_scores(annotations: DataFrame, results: DataFrame, scorer_id: str)
         F.col("annotation").alias("raw_judgment"),
     )
     keep = [c for c in _carry(results) if c not in ("source_run_id", "source_record_id")]
-    joined = slim.join(results.select("source_run_id", "source_record_id", *keep), ["source_run_id", "source_record_id"])
+    joined = _spread_join(slim, results.select("source_run_id", "source_record_id", *keep), ["source_run_id", "source_record_id"])
     return joined.withColumn("scorer_id", F.lit(scorer_id))
 
 
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` whose pairs of one key are made in several tasks.
+
+    The right rows of a key that has more than ``CELL_ROWS`` are dealt to cells of about that
+    many by a hash of their texts, and the left ones copied to each; other keys stay as they
+    are.  The number of tasks is given, since rows are few beside their pairs and would be put
+    together; a broadcast is ruled out, as Spark would judge it by the rows before the copying.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cells = F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int")
+    large = right.groupBy(*keys).agg(cells.alias("__cells")).where("__cells > 1")
+    many = F.coalesce("__cells", F.lit(1))
+    texts = [f.name for f in right.schema.fields if f.dataType == T.StringType()]
+    dealt = right.join(large, keys, "left").withColumn("__cell", F.pmod(F.xxhash64(*(texts or keys)), many).cast("int")).drop("__cells")
+    copied = left.join(large, keys, "left").withColumn("__cell", F.explode(F.sequence(F.lit(0), many - 1))).drop("__cells")
+    on = [*keys, "__cell"]
+    return copied.repartition(tasks, *on).join(dealt.repartition(tasks, *on).hint("merge"), on).drop("__cell")
+
+
 def judge_scores(replies: DataFrame, results: DataFrame, scorer_id: str, required: list[str] = (), reply: str = "raw_reply", spec: ReplySpec | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, parse failures) straight from raw judge replies, in the format of ``spec``."""
     good, bad = parse_annotations(replies, required, reply, spec)

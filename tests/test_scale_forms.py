@@ -188,6 +188,21 @@ def test_copied_targets_are_not_broadcast(spark, monkeypatch):
     assert got.select("request_id").distinct().count() == got.count() == 50 * 200
 
 
+# --- judge replies --------------------------------------------------------------------
+def test_pairs_of_one_record_id_are_made_in_several_tasks(spark, monkeypatch):
+    from benchloom.operators import results as RS
+
+    monkeypatch.setattr(RS, "CELL_ROWS", 20)
+    ids = "select concat('r', id % 1) source_run_id, case when id < 300 then 'hot' when id < 310 then concat('k', id) end source_record_id"
+    results = spark.sql(f"{ids}, concat('q', id) request_id, case when id % 2 = 0 then 's' end split from range(311)")
+    replies = spark.sql(f"{ids}, parse_json('{{\"score\": 1}}') annotation from range(305)")
+    got = RS.judge_to_scores(replies, results, "j").select("source_record_id", "request_id", F.spark_partition_id().alias("task"))
+    rows = got.collect()
+    want = {("hot", f"q{i}"): 300 for i in range(300)} | {(f"k{i}", f"q{i}"): 1 for i in range(300, 305)}
+    assert Counter((r.source_record_id, r.request_id) for r in rows) == want
+    assert len({r.task for r in rows if r.source_record_id == "hot"}) > 3
+
+
 # --- label summaries ------------------------------------------------------------------
 def test_rows_do_not_grow_with_labels(spark):
     from benchloom.operators import summaries as SM
