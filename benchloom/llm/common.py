@@ -53,6 +53,11 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[0][1]
 
 
+def let_go() -> None:
+    """The model that an earlier step held in this worker process goes; for steps without one of their own."""
+    held(None, lambda: None)
+
+
 def _forest(left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
     """The edges that a spanning forest of the given ones needs, each node tied to the smallest of its tree."""
     parent: dict[int, int] = {}

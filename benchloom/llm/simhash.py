@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchloom.llm.common import components, pick
+from benchloom.llm.common import components, give_back, let_go, pick
 from benchloom.session import cut
 
 BITS = 64
@@ -102,6 +102,7 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE, prints: int = 1) ->
 def _walk(radius: int):
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def run(lists: pa.Array) -> pa.Array:
+        let_go()
         out = []
         for one in lists:
             left = np.unique(np.array(one.values).view(np.uint64))
@@ -171,6 +172,7 @@ def _sketched(text: Column, shingle: int, prints: int) -> Column:
 
     @F.arrow_udf("struct<set:bigint,fps:array<bigint>,bands:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
+        let_go()
         sets, fps, keys = [], [], []
         for t in texts:
             t = t.as_py()
@@ -179,7 +181,10 @@ def _sketched(text: Column, shingle: int, prints: int) -> Column:
             fps.append(np.array(fingerprints(t, shingle, prints=prints), np.uint64).view(np.int64).tolist())
             keys.append(bands(own))
         many = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(sets, pa.int64()), pa.array(fps, many), pa.array(keys, many)], names=["set", "fps", "bands"])
+        out = pa.StructArray.from_arrays([pa.array(sets, pa.int64()), pa.array(fps, many), pa.array(keys, many)], names=["set", "fps", "bands"])
+        del sets, fps, keys
+        give_back()  # the worker idles through the shuffles that follow
+        return out
 
     return run(text.cast("string"))
 
@@ -187,6 +192,7 @@ def _sketched(text: Column, shingle: int, prints: int) -> Column:
 def _shingles(text: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
+        let_go()
         return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     return run(text.cast("string"))
@@ -197,6 +203,7 @@ def _walk_sets(similarity: float):
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def run(lists: pa.Array) -> pa.Array:
+        let_go()
         out = []
         for one in lists:
             members = one.values
