@@ -3,21 +3,23 @@
 Two texts are duplicates when their normalized texts are equal or their token sets reach
 the threshold.  The work is done on *distinct token sets*: rows that share a normalized
 text or a token set are folded first, so a group of copies costs one row however large it
-is.  Candidates come from a prefix filter: with tokens in one global order, two sets with
-Jaccard >= t share at least ``SHARED`` tokens within the first ``n - ceil(t n) + SHARED``
-tokens of both, whenever their overlap is that large.  It always is here: two *different*
-sets reach 9/10 only with nine common tokens or more.
+is.  Candidates come from the pigeonhole principle: two sets of at most ``r`` tokens with
+Jaccard >= 9/10 differ in at most ``2 r / 19`` tokens.  With the tokens dealt by hash into
+one part more than that, some part of both is the same, and its tokens, eight or nine, are
+the key to meet by.  Sets of about one size are dealt alike; each takes part in its own size
+class and in the next.  Two *different* sets reach 9/10 only with nine common tokens or more.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,11 @@ from benchloom.session import cut
 
 # The threshold as an integer fraction: |a n b| * DEN >= NUM * |a u b|.
 NUM, DEN = 9, 10
-FREQ_BUCKETS = 1 << 16
-# Tokens two prefixes must share; more makes candidates fewer and prefixes longer.
-SHARED = 4
-# Rows a single (token, salt) cell of the candidate join should hold.
+# Sizes of sets that can be near a different one; the upper bound is beyond any array.
+LEAST, MOST = NUM, 1 << 33
+# Words of 64 bits in the sketch of a set.
+WORDS = 8
+# Rows a single (key, salt) cell of the candidate join should hold.
 CELL_ROWS = 2_000
 MAX_SALTS = 256
 # Sets with one anchor from which on they are a group of their own.
@@ -92,75 +95,103 @@ def duplicate_index(df: DataFrame, text: str = "prompt", seq: str = "seq") -> Du
     return DuplicateIndex(members, cut(sets, "sets"))
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(FREQ_BUCKETS)).cast("int")
-
-
-def _bucket_classes(sets: DataFrame) -> bytes:
-    """One byte per hash bucket: the class of its token count on a log scale.
-
-    The driver sees ``FREQ_BUCKETS`` small numbers at most, whatever the vocabulary, and the
-    tasks get a constant of that many bytes.  It only *orders* tokens, rare ones first; any
-    order gives the same pairs.
+def _bounds() -> list[int]:
+    """First sizes of the size classes: no size of a class is over 10/9 of its first one."""
+    firsts = [LEAST]
+    while firsts[-1] < MOST:
+        firsts.append(firsts[-1] * DEN // NUM + 1)
+    return firsts
+
+
+def _parts():
+    firsts = np.array(_bounds(), np.int64)
+
+    def stirred(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def run(hashes: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(hashes).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        own = np.searchsorted(firsts, sizes, "right") - 1
+        keys, widths = [], []
+        for step in (0, 1):
+            group = own + step
+            parts = 2 * (firsts[group + 1] - 1) * (DEN - NUM) // (DEN + NUM) + 1
+            at = np.cumsum(parts) - parts
+            place = at[owner] + (flat % parts[owner].astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(int(parts.sum()), np.uint64)
+            np.add.at(sums, place, stirred(flat))
+            which = np.arange(len(sums)) - np.repeat(at, parts)
+            label = (np.repeat(group, parts) << 32 | which).astype(np.uint64)
+            keys.append(stirred(sums + stirred(label + np.uint64(1))).view(np.int64))
+            widths.append(parts)
+        offsets = np.concatenate([[0], np.cumsum(widths[0] + widths[1])])
+        out = np.empty(int(offsets[-1]), np.int64)
+        for step, (key, width) in enumerate(zip(keys, widths, strict=True)):
+            begin = offsets[:-1] + (widths[0] if step else 0)
+            out[np.arange(len(key)) + np.repeat(begin - (np.cumsum(width) - width), width)] = key
+        bits = np.zeros(len(sizes) * WORDS, np.uint64)
+        spot = (stirred(flat) % np.uint64(64 * WORDS)).astype(np.int64)
+        np.bitwise_xor.at(bits, owner * WORDS + spot // 64, np.uint64(1) << (spot % 64).astype(np.uint64))
+        ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * WORDS)
+        columns = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out)), pa.ListArray.from_arrays(ends, pa.array(bits.view(np.int64)))]
+        return pa.StructArray.from_arrays(columns, names=["keys", "bits"])
+
+    return F.arrow_udf(run, "struct<keys:array<bigint>,bits:array<bigint>>")
+
+
+def _keys(sets: DataFrame) -> DataFrame:
+    """(id, n, bits, key): one key for each part of a set, in its own size class and in the next.
+
+    ``bits`` is a sketch of the set: every token flips one bit, so two sketches differ in no
+    more bits than the sets do in tokens.  Sets below ``LEAST`` tokens have no keys, since no
+    different set is near them.
     """
-    counts = sets.select(F.explode("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
-    classes = bytearray(FREQ_BUCKETS)
-    for row in counts.collect():
-        classes[row.b] = min(255, int(8 * math.log2(row.n)) + 1)
-    return bytes(classes)
-
-
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(id, n, prefix): the prefix tokens of every non-empty set, rare ones first."""
     n = F.size("tokens")
-    length = n - F.floor((n * NUM + DEN - 1) / F.lit(DEN)).cast("int") + SHARED
-    classes = F.lit(_bucket_classes(sets))
-    rank = lambda t: F.substring(classes, _bucket(t) + 1, F.lit(1))
-    ordered = F.sort_array(F.transform("tokens", lambda t: F.struct(rank(t).alias("f"), t.alias("t"))))
-    prefix = F.transform(F.slice(ordered, 1, length), lambda s: s["t"])
-    return sets.where(n > 0).select(F.col("set_first").alias("id"), n.alias("n"), prefix.alias("prefix"))
+    parts = sets.where(n >= LEAST).select(F.col("set_first").alias("id"), n.alias("n"), _parts()(F.transform("tokens", lambda t: F.xxhash64(t))).alias("p"))
+    return parts.select("id", "n", F.col("p.bits").alias("bits"), F.explode("p.keys").alias("key"))
 
 
-def _tokens(prefixes: DataFrame) -> DataFrame:
-    return prefixes.select("id", "n", F.explode("prefix").alias("token"))
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """(id, n, bits, key, head): the keys that several sets have, with the first of these sets.
 
-
-def _links(prefixes: DataFrame) -> DataFrame:
-    """(id, link): neighbouring prefix tokens, which near copies share and strangers hardly do."""
-    before, after = F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0))), F.slice("prefix", 2, F.size("prefix"))
-    pairs = F.zip_with(before, after, lambda a, b: F.xxhash64(a, b))
-    return prefixes.select("id", F.explode(pairs).alias("link"))
+    Strangers hardly ever share a key, so this is little beside the keys themselves.
+    """
+    keys = _keys(sets)
+    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return cut(keys.join(heads, "key"), "shared-keys")
 
 
-def _length_ok(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * DEN) >= (F.greatest(a, b) * NUM)
+def _may_be_near(a: str, b: str) -> Column:
+    """False only for sets that cannot reach the threshold, by their sizes and sketches."""
+    x, y = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(WORDS)), F.lit(0))
+    return (F.least(x, y) * DEN >= F.greatest(x, y) * NUM) & (apart * (DEN + NUM) <= (x + y) * (DEN - NUM))
 
 
 def _candidates(later: DataFrame, every: DataFrame) -> DataFrame:
-    """(left, right) ids with left below the bound of right that share enough prefix tokens.
+    """(left, right) ids with left below the bound of right that share a key and may be near.
 
-    ``later``: id, n, token, bound, group; ``every``: id, n, token.  An earlier row is only
-    taken into a group it can be below a bound of.  The later rows of a hot (token, group)
+    ``later``: id, n, bits, key, head, bound, group; ``every``: id, n, bits, key.  An earlier row is only
+    taken into a group it can be below a bound of.  The later rows of a hot (key, group)
     are spread over salts and the earlier ones copied to each, so no task holds them all.
     """
-    # Rows whose bound is at most the first id of the token have nothing to try there.
-    heads = every.groupBy("token").agg(F.min("id").alias("head"))
-    live = later.join(heads, "token").where(F.col("head") < F.col("bound"))
-    sizes = live.groupBy("token", "group").agg(F.max("bound").alias("limit"), F.count("*").alias("c"))
+    # Rows whose bound is at most the first id of the key have nothing to try there.
+    live = later.where(F.col("head") < F.col("bound"))
+    sizes = live.groupBy("key", "group").agg(F.max("bound").alias("limit"), F.count("*").alias("c"))
     salts = F.least(F.ceil(F.col("c") / F.lit(CELL_ROWS)), F.lit(MAX_SALTS)).cast("int")
-    groups = sizes.select("token", "group", "limit", salts.alias("salts"))
-    r = live.join(groups.drop("limit"), ["token", "group"]).select(
-        F.col("id").alias("right"), F.col("n").alias("rn"), "token", "group", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "bound"
+    groups = sizes.select("key", "group", "limit", salts.alias("salts"))
+    r = live.join(groups.drop("limit"), ["key", "group"]).select(
+        F.col("id").alias("right"), F.col("n").alias("rn"), F.col("bits").alias("rbits"), "key", "group", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "bound"
     )
-    l = every.join(groups, "token").where(F.col("id") < F.col("limit")).select(
-        F.col("id").alias("left"), F.col("n").alias("ln"), "token", "group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    l = every.join(groups, "key").where(F.col("id") < F.col("limit")).select(
+        F.col("id").alias("left"), F.col("n").alias("ln"), F.col("bits").alias("lbits"), "key", "group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
-    joined = l.join(r, ["token", "group", "salt"]).where((F.col("left") < F.col("bound")) & _length_ok(F.col("ln"), F.col("rn")))
-    return _sharing(joined, SHARED)
-
-
-def _sharing(joined: DataFrame, least: int) -> DataFrame:
-    return joined.groupBy("left", "right").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("left", "right")
+    joined = l.join(r, ["key", "group", "salt"]).where((F.col("left") < F.col("bound")) & _may_be_near("l", "r"))
+    return joined.select("left", "right").distinct()
 
 
 def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,31 +214,28 @@ def near_set_pairs(index: DuplicateIndex) -> DataFrame:
     Together with ``members`` this states every near-duplicate pair of rows: two rows are
     near duplicates when their sets are equal or paired.  Rows are never multiplied out.
     """
-    tokens = _tokens(cut(_prefixes(index.sets), "prefixes"))
-    later = tokens.withColumns({"bound": F.col("id"), "group": F.lit(0).cast("bigint")})
-    pairs = _verified(_candidates(later, tokens), index.sets)
+    keys = _shared_keys(index.sets)
+    later = keys.withColumns({"bound": F.col("id"), "group": F.lit(0).cast("bigint")})
+    pairs = _verified(_candidates(later, keys), index.sets)
     return pairs.select("left", "right", "common", "union_size", (F.col("common") / F.col("union_size")).alias("jaccard"))
 
 
 def _set_anchors(index: DuplicateIndex) -> DataFrame:
     """Smallest earlier near set per set, in two exact rounds.
 
-    Round one compares each set with the first sets that hold its links: linear, and it
+    Round one compares each set with the first sets that hold its keys: linear, and it
     settles nearly all members of a family of near copies.  Round two looks at the other
     earlier sets, but only at those before what round one found.  Sets that share a popular
     anchor form a group of their own there, so a family never meets its own later members.
     """
-    prefixes = cut(_prefixes(index.sets), "prefixes")
-    links = _links(prefixes)
-    heads = links.groupBy("link").agg(F.min("id").alias("head"))
-    tried = links.join(heads, "link").where(F.col("head") < F.col("id")).select(F.col("head").alias("left"), F.col("id").alias("right"))
-    found = cut(_verified(_sharing(tried, 2), index.sets).groupBy("right").agg(F.min("left").alias("best")), "anchors")
+    keys = _shared_keys(index.sets)
+    tried = keys.where(F.col("head") < F.col("id")).select(F.col("head").alias("left"), F.col("id").alias("right")).distinct()
+    found = cut(_verified(tried, index.sets).groupBy("right").agg(F.min("left").alias("best")), "anchors")
     popular = found.groupBy("best").agg(F.count("*").alias("members")).where(F.col("members") >= POPULAR).select("best", F.lit(True).alias("popular"))
     settled = found.join(popular, "best", "left").select(F.col("right").alias("id"), "best", F.coalesce("popular", F.lit(False)).alias("popular"))
-    tokens = _tokens(prefixes)
     group = F.when(F.col("popular"), F.col("best")).when(F.col("best").isNotNull(), F.lit(-1)).otherwise(F.lit(-2)).cast("bigint")
-    bounds = prefixes.select("id").join(settled, "id", "left").select("id", F.coalesce("best", "id").alias("bound"), group.alias("group"))
-    more = _verified(_candidates(tokens.join(bounds, "id"), tokens), index.sets).groupBy("right").agg(F.min("left").alias("best"))
+    later = keys.join(settled, "id", "left").select("id", "n", "bits", "key", "head", F.coalesce("best", "id").alias("bound"), group.alias("group"))
+    more = _verified(_candidates(later, keys), index.sets).groupBy("right").agg(F.min("left").alias("best"))
     return found.unionByName(more).groupBy("right").agg(F.min("best").alias("anchor"))
 
 

@@ -104,6 +104,39 @@ def test_hot_tokens_are_salted(spark, monkeypatch):
     assert got == brute_anchors(texts)
 
 
+def test_pairs_at_the_threshold_of_every_size(spark):
+    """Sets just at 9/10 are found, those just below are not, in and across size classes."""
+    texts = []
+    for n in (9, 10, 11, 12, 18, 19, 20, 21, 37, 38, 39, 99, 100, 190, 400, 2000):
+        own = [f"s{n}t{k}" for k in range(n)]
+        drop, swap = n // 10, n // 19
+        other = [f"o{n}t{k}" for k in range(n)]
+        texts += [own, own[drop:], own[: n - drop - 1], own[swap:] + other[:swap], own[swap + 1 :] + other[: swap + 1], own + other[: n // 9], own + other[: n // 9 + 1]]
+    sets = [set(t) for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "seq bigint, prompt string")
+    got = {(r.left, r.right) for r in D.near_set_pairs(D.duplicate_index(df)).collect()}
+    first = [sets.index(s) for s in sets]
+    every = sorted(set(first))
+    assert got == {(i, j) for i in every for j in every if i < j and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])}
+
+
+def test_strangers_over_few_words_are_no_candidates(spark, monkeypatch):
+    """Texts that only share a small vocabulary hardly meet; the comparisons follow the rows."""
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rnd.sample(vocab, 60)) for _ in range(600)]
+    tried, verified = [], D._verified
+
+    def counted(candidates, sets):
+        tried.append(candidates.count())
+        return verified(candidates, sets)
+
+    monkeypatch.setattr(D, "_verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "seq bigint, prompt string")
+    assert D.near_duplicates(df).count() == 0
+    assert sum(tried) <= 60
+
+
 def test_dedupe_regenerate_follows_the_anchors(spark):
     pools = {"scene": ["one", "two", "three"], "lighting": ["dawn", "dusk"]}
     words = " ".join(f"t{i}" for i in range(40))
