@@ -34,6 +34,7 @@ CELL = 4096
 SEED = 42
 BLOCK = 1 << 16
 SET_SHINGLE = 5
+SKETCH_BITS = 1024  # of a shingle set
 BANDS, BAND_ROWS = 32, 5  # sets alike to 0.8 share no band with a chance of 3e-6
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -128,10 +129,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even: an odd distance leaves one flip more on one side")
     wide = prints.select("k", "fp", F.explode(F.array(*[F.xxhash64("k", F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))) for t, m in enumerate(masks(radius))])).alias("key"))
+    wide = wide.repartition("k", "key")  # counted and joined where it lies: the keys, 31 a fingerprint, move once
     counts = wide.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    counts = cut(counts, "buckets")
-    two = counts.filter("n = 2").select("k", "a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    more = wide.join(counts.filter("n > 2").select("k", "key", "n"), ["k", "key"])
+    met = cut(wide.join(counts, ["k", "key"]), "buckets")
+    two = met.filter("n = 2 and fp = a").select("k", "a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    more = met.filter("n > 2").select("k", "key", "n", "fp")
     lists = more.filter(F.col("n") <= CELL).groupBy("k", "key").agg(F.collect_list("fp").alias("fps"))
     walked = lists.select("k", F.explode(_walk(radius)(F.col("fps"))).alias("e")).select("k", "e.a", "e.b")
     crowded = more.filter(F.col("n") > CELL).select("k", "fp").distinct()
@@ -167,22 +169,31 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Every shingle of a set flips one bit, so two sketches differ in no more bits than the sets do in shingles."""
+    flipped = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sketched(text: Column, shingle: int, prints: int) -> Column:
-    """struct<set, fps, bands> of a whole text: a hash of its shingle set, its fingerprints, its band keys."""
+    """struct<set, n, bits, fps, bands> of a whole text: a hash of its shingle set, its size and sketch, its fingerprints, its band keys."""
 
-    @F.arrow_udf("struct<set:bigint,fps:array<bigint>,bands:array<bigint>>")
+    @F.arrow_udf("struct<set:bigint,n:int,bits:array<bigint>,fps:array<bigint>,bands:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         let_go()
-        sets, fps, keys = [], [], []
+        sets, sizes, bits, fps, keys = [], [], [], [], []
         for t in texts:
             t = t.as_py()
             own = shingle_set(t)
+            sizes.append(len(own))
+            bits.append(sketch(own))
             sets.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
             fps.append(np.array(fingerprints(t, shingle, prints=prints), np.uint64).view(np.int64).tolist())
             keys.append(bands(own))
         many = pa.list_(pa.int64())
-        out = pa.StructArray.from_arrays([pa.array(sets, pa.int64()), pa.array(fps, many), pa.array(keys, many)], names=["set", "fps", "bands"])
-        del sets, fps, keys
+        columns = [pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, many), pa.array(fps, many), pa.array(keys, many)]
+        out = pa.StructArray.from_arrays(columns, names=["set", "n", "bits", "fps", "bands"])
+        del sets, sizes, bits, fps, keys, columns
         give_back()  # the worker idles through the shuffles that follow
         return out
 
@@ -198,6 +209,39 @@ def _shingles(text: Column) -> Column:
     return run(text.cast("string"))
 
 
+def _may_be_alike(similarity: float) -> Column:
+    """False only for pairs (na, bitsa), (nb, bitsb) that cannot reach ``similarity``, by sizes and sketches."""
+    apart = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    apart = F.greatest(apart, F.abs(F.col("na") - F.col("nb")))
+    # A thousandth more is let through, so that rounding cannot cost a pair.
+    return apart * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) * 1.001
+
+
+def _partnered(similarity: float):
+    """The members of a bucket that may be alike to another one of it, by sizes and sketches."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(lists: pa.Array) -> pa.Array:
+        let_go()
+        out = []
+        for one in lists:
+            members = one.values
+            names, sizes = np.array(members.field("c")), np.array(members.field("n"))
+            bits = np.array(members.field("bits").flatten()).view(np.uint64).reshape(len(names), -1)
+            found = np.zeros(len(names), bool)
+            for k in range(len(names)):
+                if not found[k]:
+                    apart = np.maximum(np.bitwise_count(bits ^ bits[k]).sum(1, dtype=np.int64), np.abs(sizes - sizes[k]))
+                    near = apart * (1 + similarity) <= (sizes + sizes[k]) * (1 - similarity) * 1.001
+                    near[k] = False
+                    found |= near
+                    found[k] = near.any()
+            out.append(names[found].tolist())
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run
+
+
 def _walk_sets(similarity: float):
     """As ``_walk``, over sets: edges that connect what the pairs of a bucket alike to ``similarity`` connect."""
 
@@ -245,30 +289,38 @@ def _fingerprint_links(classes: DataFrame, radius: int) -> DataFrame:
 
 
 def similar_links(marked: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between classes whose shingle sets are alike to ``similarity``, from (seq, class, fps, bands, text).
+    """Edges (a, b) between classes whose shingle sets are alike to ``similarity``, from (seq, class, n, bits, fps, bands, text).
 
     Pairs come from fingerprints within the radius and from shared bands; each edge is checked
-    by the exact Jaccard of the two sets.  A bucket's members are first held against its
+    by the exact Jaccard of the two sets.  Sizes and sketches first rule out the pairs, and the
+    members of buckets, that cannot reach it, so whole sets are made and moved for the others
+    only.  A bucket's members are first held against its
     smallest; where one of them fails, the whole bucket is searched.  So the edges connect all
     that pairs alike and sharing a band connect, without listing the pairs of a family.
     """
-    classes = cut(marked.groupBy("class").agg(F.min("seq").alias("seq"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "classes")
+    classes = cut(marked.groupBy("class").agg(F.min("seq").alias("seq"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "classes")
     wide = classes.select("class", F.explode("bands").alias("key"))
     buckets = cut(wide.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("n > 1"), "buckets")
     members = cut(wide.join(buckets.filter("n > 2").select("key", F.col("a").alias("least")), "key"), "members")
     stars = members.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
     pairs = stars.unionByName(buckets.filter("n = 2").select("a", "b")).unionByName(_fingerprint_links(classes, radius))
-    pairs = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    pairs = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    small = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    pairs = cut(pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", _may_be_alike(similarity).alias("open")), "pairs")
+    own = members.join(classes.select("class", "n", "bits"), "class").select("key", F.struct(F.col("class").alias("c"), "n", "bits").alias("m"))
+    own = own.groupBy("key").agg(F.collect_list("m").alias("m"))
+    partnered = cut(own.select("key", F.explode(_partnered(similarity)(F.col("m"))).alias("class")), "partnered")
+    near = pairs.filter("open").select("a", "b")
+    wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(partnered.select("class")).distinct()
     texts = marked.select("seq", "text").join(classes.join(wanted, "class", "left_semi").select("seq", "class"), "seq")
     sets = cut(texts.select("class", _shingles(F.col("text")).alias("s")), "sets")
     of = lambda c: sets.select(F.col("class").alias(c), F.col("s").alias(f"s{c}"))
     common = F.size(F.array_intersect("sa", "sb"))
-    checked = pairs.join(of("a"), "a").join(of("b"), "b")
+    checked = near.join(of("a"), "a").join(of("b"), "b")
     checked = cut(checked.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("alike")), "checked")
-    failed = checked.filter(F.col("alike") < similarity).select(F.col("a").alias("class"), F.col("b").alias("least"))
+    failed = checked.filter(F.col("alike") < similarity).select("a", "b").unionByName(pairs.filter("not open").select("a", "b")).toDF("class", "least")
     unsure = members.join(failed, ["class", "least"], "left_semi").select("key").distinct()
-    rest = cut(members.join(unsure, "key", "left_semi").select("key", "class"), "unsure")
+    rest = cut(partnered.join(unsure, "key", "left_semi"), "unsure")
     same = rest.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
     once = same.groupBy("x", "n").agg(F.min("key").alias("key")).select("key")  # equal buckets are searched once
     lists = rest.join(once, "key").join(sets, "class").groupBy("key").agg(F.collect_list(F.struct(F.col("class").alias("c"), "s")).alias("m"))
@@ -337,7 +389,7 @@ def keep_one(
     else:
         rows = rows.withColumn("__s", _sketched(F.col(text_col), shingle, prints))
         rows = cut(rows.withColumn("__class", F.col("__s.set")), "numbered")
-        marked = rows.select(F.col("__seq").alias("seq"), F.col("__class").alias("class"), "__s.fps", "__s.bands", F.col(text_col).alias("text"))
+        marked = rows.select(F.col("__seq").alias("seq"), F.col("__class").alias("class"), "__s.n", "__s.bits", "__s.fps", "__s.bands", F.col(text_col).alias("text"))
         groups = _rooted(marked.select("class").distinct(), similar_links(marked, similarity, radius))
     own = F.col(id_col).cast("bigint")
     place = F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(text_col).alias("text"), F.col("__seq").alias("seq"))
