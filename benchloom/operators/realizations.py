@@ -150,11 +150,13 @@ def accept_realizations(attempts: DataFrame, max_attempts: int) -> dict[str, Dat
 
 
 # --- T21 ------------------------------------------------------------------------------
-def prompts_from_replies(replies: DataFrame, samples: DataFrame, reply: str = "raw_reply") -> DataFrame:
-    """Generation replies as prompts joined to their sample's provenance.
+def prompts_from_replies(replies: DataFrame, samples: DataFrame | None = None, reply: str = "raw_reply") -> DataFrame:
+    """Generation replies as prompts with their sample's provenance.
 
     JSON ``prompt``, else the whole text, else a default sentence; reply tags count only
-    when they are a list, otherwise the sample's tags are used.
+    when they are a list, otherwise the sample's tags are used.  The provenance is that of the
+    sample with the reply's ``sample_id``, which ``samples`` must hold once.  Without ``samples``
+    the replies carry it, and all their other columns stay: one row a reply, whatever its id.
     """
     text = normalize_text(F.coalesce(F.col(reply), F.lit("")))
     staged = replies.withColumns({"__payload": json_payload(reply), "__text": text})
@@ -165,11 +167,15 @@ def prompts_from_replies(replies: DataFrame, samples: DataFrame, reply: str = "r
         .otherwise(F.col("__text"))
     )
     negative = F.nullif(normalize_text(F.coalesce(V.get_text("__payload", "negative_prompt"), F.lit(""))), F.lit(""))
+    carried = [] if samples is not None else [c for c in replies.columns if c not in ("sample_id", reply)]
     parsed = staged.select(
-        "sample_id", prompt.alias("prompt"), negative.alias("negative_prompt"), V.text_list(V.get("__payload", "tags")).alias("__tags")
+        "sample_id", prompt.alias("prompt"), negative.alias("negative_prompt"), V.text_list(V.get("__payload", "tags")).alias("__tags"), *carried
     )
-    keep = [c for c in ("seq", "category", "subcategory", "subtopic", "theme", "theme_path", "resampled", "tags", "metadata") if c in samples.columns]
-    joined = parsed.join(samples.select("sample_id", *keep), "sample_id", "left")
+    if samples is None:
+        keep, joined = carried, parsed
+    else:
+        keep = [c for c in ("seq", "category", "subcategory", "subtopic", "theme", "theme_path", "resampled", "tags", "metadata") if c in samples.columns]
+        joined = parsed.join(samples.select("sample_id", *keep), "sample_id", "left")
     if "tags" in keep:
         joined = joined.withColumn("tags", F.coalesce("__tags", "tags"))
     else:

@@ -112,3 +112,37 @@ def test_every_format_through_normalizers_and_judges(spark):
     odd = [R.Normalizer("n"), R.Normalizer("x", kind="unheard_of")]
     assert {r.normalizer_id for r in R.normalize_results(df, odd).collect()} == {"n"}
     assert {(r.normalizer_id, r.error) for r in R.normalizer_failures(df, odd).collect()} == {("x", "unsupported normalizer kind: unheard_of")}
+
+
+def test_prompts_of_odd_cases_equal_their_sql(spark, tmp_path):
+    """Repeated labels and ids, null languages, blank texts and texts with braces; the SQL gives one row a case."""
+    import duckdb
+
+    from benchloom.catalog import ORACLE, QUERIES
+
+    name = "T21_prompts_from_replies"
+    texts = [None, "", " \n", "a  b\n", '{"prompt": "other"}', 'a {"x": 1} b', "{}", "{ open"]
+    given = [(None, None), (1, 0), (1, 1), (0, 0), (None, 1)]
+    cases = [(t, g) for t in texts for g in given]
+    docs = [(i, t, None if i % 2 else "en", f"src{i % 3}", 0) for i, (t, _) in enumerate(cases)] + [(15, "again", "de", "src0", 0)]
+    labels = [(i, *g) for i, (_, g) in enumerate(cases) if g != (None, None)] + [(16, 1, 1), (16, 1, 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == len(cases) + 3
+
+
+def test_prompts_with_a_sample_table_equal_those_that_carry_it(spark):
+    from benchloom.operators import realizations as RZ
+
+    schema = "sample_id string, raw_reply string, theme string, tags array<string>, metadata map<string,string>"
+    rows = [("a", '{"prompt": " p  q ", "tags": ["x"]}', "t", ["s"], {}), ("b", "plain", "t", ["s"], {"theme": "other"}), ("c", " ", None, None, None)]
+    replies = spark.createDataFrame(rows, schema)
+    joined = RZ.prompts_from_replies(replies.select("sample_id", "raw_reply"), replies.drop("raw_reply"))
+    carried = RZ.prompts_from_replies(replies).select(*joined.columns)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, carried.collect()))
+    assert {r.sample_id: (r.theme, r.tags) for r in carried.collect()} == {"a": ("t", ["x"]), "b": ("other", ["s"]), "c": (None, None)}
