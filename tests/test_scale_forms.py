@@ -188,6 +188,27 @@ def test_copied_targets_are_not_broadcast(spark, monkeypatch):
     assert got.select("request_id").distinct().count() == got.count() == 50 * 200
 
 
+def test_copies_follow_the_root_of_the_product(spark, monkeypatch):
+    from benchloom.operators import requests as RQ
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n_cases, n_targets in ((25_641, 900_000), (153_846, 5_400_000), (900_000, 2_000), (1, 5), (0, 1)):
+        parts, slices = RQ._grid(n_cases, n_targets, tasks)
+        assert parts * slices >= RQ.CELLS_PER_TASK * tasks and 1 <= parts <= n_targets
+        cells = RQ.CELLS_PER_TASK * tasks
+        fewest = min(p * n_cases - (-cells // p) * n_targets for p in range(1, min(cells, n_targets) + 1))
+        assert parts * n_cases + slices * n_targets <= 1.5 * fewest
+    # short runs of targets do not multiply the cases: 40 copies of each, were it one a run
+    monkeypatch.setattr(RQ, "BLOCK_TARGETS", 10)
+    cases = spark.range(60).select(F.concat(F.lit("c"), "id").alias("case_id"))
+    targets = spark.range(400).select(F.concat(F.lit("m"), "id").alias("target_model"))
+    dealt, grid = [], RQ._grid
+    monkeypatch.setattr(RQ, "_grid", lambda *sizes: dealt.append((sizes, grid(*sizes))) or grid(*sizes))
+    got = RQ.expand_requests(cases, targets, "t")
+    assert got.select("request_id").distinct().count() == got.count() == 60 * 400
+    assert len(dealt) == 1 and dealt[0][0] == (60, 400, tasks) and dealt[0][1][0] < 40
+
+
 # --- judge replies --------------------------------------------------------------------
 def test_pairs_of_one_record_id_are_made_in_several_tasks(spark, monkeypatch):
     from benchloom.operators import results as RS
