@@ -37,6 +37,8 @@ CELL_ROWS = 2_000
 MAX_SALTS = 256
 # Sets with one anchor from which on they are a group of their own.
 POPULAR = 1_000
+# Bits of the map of wanted keys; it has a row for each 64 of them, 2 MB in all, and is broadcast.
+MAP_BITS = 1 << 23
 
 
 def _similarity():
@@ -78,21 +80,37 @@ class DuplicateIndex:
 def duplicate_index(df: DataFrame, text: str = "prompt", seq: str = "seq") -> DuplicateIndex:
     """Folds equal texts and equal token sets, keyed by digests.
 
-    Written once to the shared folder: it is read by the frequency count, both sides of the
-    candidate join and the verification, and the texts must not be normalized four times.
+    Written once to the shared folder: the texts must not be normalized at every use.  The
+    tokens stay there and are not written again for the sets: a row whose set no other row has
+    is the first of it, and only the others meet.
     """
     read = df.select(F.col(seq).alias("seq"), similarity(text).alias("s"))
     digested = read.select("seq", F.col("s.text_digest").alias("__text"), F.col("s.tokens").alias("tokens"))
     stored = cut(digested.withColumn("__set", F.sha2(F.concat_ws(" ", "tokens"), 256)), "tokens")
     texts = stored.groupBy("__text").agg(F.min("seq").alias("text_first"))
-    firsts = stored.groupBy("__set").agg(F.min("seq").alias("set_first"))
-    members = (
-        stored.select("seq", "__text", "__set").join(texts, "__text").join(firsts, "__set").select("seq", "text_first", "set_first")
-    )
-    sets = stored.join(firsts, (stored["__set"] == firsts["__set"]) & (stored["seq"] == firsts["set_first"])).select(
-        "set_first", "tokens"
-    )
-    return DuplicateIndex(members, cut(sets, "sets"))
+    firsts = stored.groupBy("__set").agg(F.min("seq").alias("set_first"), F.count("*").alias("c"))
+    repeated = cut(firsts.where("c > 1").drop("c"), "repeated-sets")
+    own = stored.select("seq", "__text", "__set").join(texts, "__text").join(repeated, "__set", "left")
+    members = own.select("seq", "text_first", F.coalesce("set_first", "seq").alias("set_first"))
+    rows = _marked(stored.select("seq", "__set", "tokens"), "__set", repeated.select("__set"))
+    unlike = rows.where(~F.col("marked")).select(F.col("seq").alias("set_first"), "tokens")
+    alike = rows.where("marked").join(repeated, "__set", "left").where(F.col("set_first").isNull() | (F.col("set_first") == F.col("seq")))
+    return DuplicateIndex(members, unlike.unionByName(alike.select(F.col("seq").alias("set_first"), "tokens")))
+
+
+def _marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``marked``: false only where ``key`` is none of the keys of ``wanted`` (its only column).
+
+    The wanted keys set bits of a map of bounded size, so rows that need not be joined with them
+    are told apart where they lie, and are not shuffled.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot(c) % 64).cast("int"))
+    word = lambda c: F.floor(spot(c) / 64).alias("__word")
+    (name,) = wanted.columns
+    bits = wanted.groupBy(word(name)).agg(F.bit_or(bit(name)).alias("__bits"))
+    met = df.select("*", word(key)).join(F.broadcast(bits), "__word", "left")
+    return met.select(*df.columns, (F.coalesce("__bits", F.lit(0)).bitwiseAND(bit(key)) != 0).alias("marked"))
 
 
 def _bounds() -> list[int]:
@@ -133,36 +151,51 @@ def _parts():
         for step, (key, width) in enumerate(zip(keys, widths, strict=True)):
             begin = offsets[:-1] + (widths[0] if step else 0)
             out[np.arange(len(key)) + np.repeat(begin - (np.cumsum(width) - width), width)] = key
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+
+    def sketch(hashes: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(hashes).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         bits = np.zeros(len(sizes) * WORDS, np.uint64)
         spot = (stirred(flat) % np.uint64(64 * WORDS)).astype(np.int64)
         np.bitwise_xor.at(bits, owner * WORDS + spot // 64, np.uint64(1) << (spot % 64).astype(np.uint64))
         ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * WORDS)
-        columns = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out)), pa.ListArray.from_arrays(ends, pa.array(bits.view(np.int64)))]
-        return pa.StructArray.from_arrays(columns, names=["keys", "bits"])
+        return pa.ListArray.from_arrays(ends, pa.array(bits.view(np.int64)))
 
-    return F.arrow_udf(run, "struct<keys:array<bigint>,bits:array<bigint>>")
+    return F.arrow_udf(run, "array<bigint>"), F.arrow_udf(sketch, "array<bigint>")
 
 
-def _keys(sets: DataFrame) -> DataFrame:
-    """(id, n, bits, key): one key for each part of a set, in its own size class and in the next.
+def _keyed(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, key): one key for each part of a set, in its own size class and in the next; and (id, n, bits).
 
     ``bits`` is a sketch of the set: every token flips one bit, so two sketches differ in no
     more bits than the sets do in tokens.  Sets below ``LEAST`` tokens have no keys, since no
     different set is near them.
     """
     n = F.size("tokens")
-    parts = sets.where(n >= LEAST).select(F.col("set_first").alias("id"), n.alias("n"), _parts()(F.transform("tokens", lambda t: F.xxhash64(t))).alias("p"))
-    return parts.select("id", "n", F.col("p.bits").alias("bits"), F.explode("p.keys").alias("key"))
+    keys, sketch = _parts()
+    large = sets.where(n >= LEAST)
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t))
+    return (
+        large.select(F.col("set_first").alias("id"), F.explode(keys(hashes)).alias("key")),
+        large.select(F.col("set_first").alias("id"), n.alias("n"), sketch(hashes).alias("bits")),
+    )
 
 
 def _shared_keys(sets: DataFrame) -> DataFrame:
     """(id, n, bits, key, head): the keys that several sets have, with the first of these sets.
 
-    Strangers hardly ever share a key, so this is little beside the keys themselves.
+    Strangers hardly ever share a key, so this is little beside the keys themselves.  Those are
+    shuffled once and without the sketches, which join what is shared.
     """
-    keys = _keys(sets)
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return cut(keys.join(heads, "key"), "shared-keys")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys, sketches = _keyed(sets)
+    dealt = keys.repartition(tasks, "key")
+    heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = cut(dealt.join(heads, "key"), "met-keys")
+    wanted = _marked(sketches, "id", shared.select("id")).where("marked").drop("marked")
+    return cut(shared.join(wanted, "id").select("id", "n", "bits", "key", "head"), "shared-keys")
 
 
 def _may_be_near(a: str, b: str) -> Column:
@@ -195,7 +228,13 @@ def _candidates(later: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidates whose token sets reach the threshold, with both set sizes."""
+    """Candidates whose token sets reach the threshold, with both set sizes.
+
+    Only the sets that a candidate names are shuffled, but for a few that a bit of theirs lets by.
+    """
+    candidates = cut(candidates, "candidates")
+    named = candidates.select(F.explode(F.array("left", "right")).alias("id"))
+    sets = _marked(sets, "set_first", named).where("marked").drop("marked")
     left = sets.select(F.col("set_first").alias("left"), F.col("tokens").alias("lt"))
     right = sets.select(F.col("set_first").alias("right"), F.col("tokens").alias("rt"))
     # The narrow candidate rows meet the possibly hot left ids first; the exchange by right

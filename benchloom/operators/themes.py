@@ -16,8 +16,11 @@ from benchloom.functions.text import digits, normalize_text
 from benchloom.operators.duplicates import near_duplicates
 from benchloom.operators.numbering import blockwise_row_number
 from benchloom.session import cut
+from benchloom.sizing import broadcast_if_small
 
 DRAW_CHUNK = 10_000
+# Rows regenerated in a round up to which they are broadcast: a number and a pass each.
+BROADCAST_REPEATS = 1_000_000
 
 
 def path_text(path: Column | str) -> Column:
@@ -296,20 +299,24 @@ def dedupe_regenerate(drafts: DataFrame, pools: dict[str, list[str]], style: str
     """(drafts after up to ``passes`` rounds, log of regenerated rows).
 
     In each round every row that repeats an earlier one gets a new draw (its realism anchor
-    stays); the first row of each group is left alone.  Each round is written to the shared
-    folder, since the next one reads it several times.
+    stays); the first row of each group is left alone.  Only the repeats are written to the
+    shared folder: the drafts are read anew by each round and must come out the same.
     """
     current, log = drafts, None
     for p in range(1, passes + 1):
-        current = cut(current, "drafts")
         dup = cut(near_duplicates(current, "prompt", "seq"), "repeats")
         events = dup.select("seq", "anchor_seq", F.lit(p).alias("dedupe_pass"))
         log = events if log is None else log.unionByName(events)
-        fresh = _draft({k: v for k, v in pools.items() if k != "realism_anchor"}, F.lit(f"{seed}:{p}"), "sample_id")
-        redrawn = current.join(dup.select("seq"), "seq", "left_semi")
-        parts = {k: v for k, v in fresh.items() if k != "realism_anchor" and pools.get(k)}
-        redrawn = redrawn.withColumns(parts) if parts else redrawn
-        cols = {k: F.col(k) for k in fixed.DRAFT_DEFAULTS}
-        redrawn = redrawn.withColumn("prompt", _render(cols, style))
-        current = current.join(dup.select("seq"), "seq", "left_anti").unionByName(redrawn)
+        current = _redrawn(drafts, log.groupBy("seq").agg(F.max("dedupe_pass").alias("__pass")), pools, style, seed)
     return current, log
+
+
+def _redrawn(drafts: DataFrame, passes: DataFrame, pools: dict[str, list[str]], style: str, seed: int) -> DataFrame:
+    """``drafts`` with a new draw for the rows of ``passes`` (seq, __pass), by their last pass."""
+    again = F.col("__pass").isNotNull()
+    fresh = _draft({k: v for k, v in pools.items() if k != "realism_anchor"}, F.concat(F.lit(f"{seed}:"), F.col("__pass").cast("string")), "sample_id")
+    parts = {k: F.when(again, v).otherwise(F.col(k)) for k, v in fresh.items() if k != "realism_anchor" and pools.get(k)}
+    met = drafts.join(broadcast_if_small(passes, BROADCAST_REPEATS), "seq", "left")
+    met = met.withColumns(parts) if parts else met
+    text = normalize_text(F.when(again, _sentence({k: F.col(k) for k in fixed.DRAFT_DEFAULTS}, style)))
+    return met.withColumn("prompt", F.when(again, text).otherwise(F.col("prompt"))).select(*drafts.columns)

@@ -137,6 +137,32 @@ def test_strangers_over_few_words_are_no_candidates(spark, monkeypatch):
     assert sum(tried) <= 60
 
 
+def test_only_sets_that_candidates_name_are_moved(spark, monkeypatch):
+    sets = spark.range(1000).select(F.col("id").alias("set_first"), F.array(F.col("id").cast("string")).alias("tokens"))
+    named = spark.createDataFrame([(3,), (3,), (998,), (5000,)], "id bigint")
+    near = D._marked(sets, "set_first", named).where("marked")
+    assert near.columns == ["set_first", "tokens", "marked"] and {3, 998} <= {r.set_first for r in near.collect()} and near.count() < 10
+    assert D._marked(sets, "set_first", named.limit(0)).where("marked").count() == 0
+    # a map so small that most bits are set lets by more sets and changes nothing else
+    monkeypatch.setattr(D, "MAP_BITS", 64)
+    assert D._marked(sets, "set_first", named).where("marked").count() > 10
+    texts = corpus(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "seq bigint, prompt string")
+    assert {r.seq: (r.anchor_seq, r.kind) for r in D.near_duplicates(df).collect()} == brute_anchors(texts)
+
+
+def test_a_round_writes_no_text_and_its_tokens_once(spark, monkeypatch):
+    written, cut = [], D.cut
+    for module in (D, TH):
+        monkeypatch.setattr(module, "cut", lambda df, label="cut": written.append((label, df.columns)) or cut(df, label))
+    samples = spark.createDataFrame([(f"s{i}", i, f"theme {i % 6} " + " ".join(f"w{i % 6}x{k}" for k in range(40))) for i in range(12)], "sample_id string, seq bigint, theme string")
+    pools = {"scene": ["a", "b"]}
+    final, _log = TH.dedupe_regenerate(TH.compose_drafts(samples, pools, "keyword_list"), pools, "keyword_list")
+    assert final.count() == 12
+    assert [label for label, columns in written if "tokens" in columns] == ["tokens"] * 2
+    assert not [label for label, columns in written if {"prompt", "theme"} & set(columns)]
+
+
 def test_dedupe_regenerate_follows_the_anchors(spark):
     pools = {"scene": ["one", "two", "three"], "lighting": ["dawn", "dusk"]}
     words = " ".join(f"t{i}" for i in range(40))
