@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.sizing import spread_scan
+from benchloom.sizing import broadcast_if_small, spread_scan
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -92,22 +92,26 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def __call__(self, name: str) -> DataFrame:
+    def __call__(self, name: str, small: tuple[str, ...] = ()) -> DataFrame:
+        """Table or view ``name``; the base tables ``small`` of a view are broadcast as long as they are."""
         if name in VIEWS:
-            return self.sql(f"select * from {name}")
+            return self.sql(f"select * from {name}", small)
         scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return spread_scan(scan) if name in WIDE else scan
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, small: tuple[str, ...] = ()) -> DataFrame:
         full = expand(text)
         for name in BASE:
             if re.search(rf"\b{name}\b", full):
-                self(name).createOrReplaceTempView(name)
+                table = broadcast_if_small(self(name), SMALL_ROWS) if name in small else self(name)
+                table.createOrReplaceTempView(name)
         return self.spark.sql(full)
 
 
 # Tables whose rows are costly to process; the driver writes each as a single split.
 WIDE = ("documents", "conversations")
+# Rows of a few numbers each up to which a table meets wide rows without their shuffle.
+SMALL_ROWS = 1_000_000
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

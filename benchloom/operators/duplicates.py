@@ -37,6 +37,8 @@ CELL_ROWS = 2_000
 MAX_SALTS = 256
 # Sets with one anchor from which on they are a group of their own.
 POPULAR = 1_000
+# Tokens of sets that a Python worker turns into keys or sketches at a time.
+SLICE_TOKENS = 1 << 18
 # Bits of the map of wanted keys; it has a row for each 64 of them, 2 MB in all, and is broadcast.
 MAP_BITS = 1 << 23
 
@@ -122,7 +124,17 @@ def _bounds() -> list[int]:
 
 
 def _parts():
-    firsts = np.array(_bounds(), np.int64)
+    firsts, limit = np.array(_bounds(), np.int64), SLICE_TOKENS
+
+    def by_tokens(convert):
+        def sliced(hashes: pa.Array) -> pa.Array:
+            if not len(hashes):
+                return convert(hashes)
+            ends = np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = np.unique(ends // limit, return_index=True)[1].tolist()
+            return pa.concat_arrays([convert(hashes.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(hashes)], strict=True)])
+
+        return sliced
 
     def stirred(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -163,7 +175,7 @@ def _parts():
         ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * WORDS)
         return pa.ListArray.from_arrays(ends, pa.array(bits.view(np.int64)))
 
-    return F.arrow_udf(run, "array<bigint>"), F.arrow_udf(sketch, "array<bigint>")
+    return F.arrow_udf(by_tokens(run), "array<bigint>"), F.arrow_udf(by_tokens(sketch), "array<bigint>")
 
 
 def _keyed(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

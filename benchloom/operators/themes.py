@@ -302,21 +302,23 @@ def dedupe_regenerate(drafts: DataFrame, pools: dict[str, list[str]], style: str
     stays); the first row of each group is left alone.  Only the repeats are written to the
     shared folder: the drafts are read anew by each round and must come out the same.
     """
-    current, log = drafts, None
+    drawn = lambda rows, **how: _redrawn(drafts, rows.groupBy("seq").agg(F.max("dedupe_pass").alias("__pass")), pools, style, seed, **how)
+    log = None
     for p in range(1, passes + 1):
-        dup = cut(near_duplicates(current, "prompt", "seq"), "repeats")
+        # the search normalizes texts by itself: new ones need not pass a Python worker before
+        dup = cut(near_duplicates(drafts if log is None else drawn(log, plain=False), "prompt", "seq"), "repeats")
         events = dup.select("seq", "anchor_seq", F.lit(p).alias("dedupe_pass"))
         log = events if log is None else log.unionByName(events)
-        current = _redrawn(drafts, log.groupBy("seq").agg(F.max("dedupe_pass").alias("__pass")), pools, style, seed)
-    return current, log
+    return (drafts if log is None else drawn(log)), log
 
 
-def _redrawn(drafts: DataFrame, passes: DataFrame, pools: dict[str, list[str]], style: str, seed: int) -> DataFrame:
-    """``drafts`` with a new draw for the rows of ``passes`` (seq, __pass), by their last pass."""
+def _redrawn(drafts: DataFrame, passes: DataFrame, pools: dict[str, list[str]], style: str, seed: int, plain: bool = True) -> DataFrame:
+    """``drafts`` with a new draw for the rows of ``passes`` (seq, __pass), by their last pass; ``plain``: its text is normalized."""
     again = F.col("__pass").isNotNull()
     fresh = _draft({k: v for k, v in pools.items() if k != "realism_anchor"}, F.concat(F.lit(f"{seed}:"), F.col("__pass").cast("string")), "sample_id")
     parts = {k: F.when(again, v).otherwise(F.col(k)) for k, v in fresh.items() if k != "realism_anchor" and pools.get(k)}
     met = drafts.join(broadcast_if_small(passes, BROADCAST_REPEATS), "seq", "left")
     met = met.withColumns(parts) if parts else met
-    text = normalize_text(F.when(again, _sentence({k: F.col(k) for k in fixed.DRAFT_DEFAULTS}, style)))
+    text = F.when(again, _sentence({k: F.col(k) for k in fixed.DRAFT_DEFAULTS}, style))
+    text = normalize_text(text) if plain else text
     return met.withColumn("prompt", F.when(again, text).otherwise(F.col("prompt"))).select(*drafts.columns)

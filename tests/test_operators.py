@@ -151,6 +151,13 @@ def test_only_sets_that_candidates_name_are_moved(spark, monkeypatch):
     assert {r.seq: (r.anchor_seq, r.kind) for r in D.near_duplicates(df).collect()} == brute_anchors(texts)
 
 
+def test_keys_and_sketches_do_not_depend_on_slices(spark, monkeypatch):
+    sets = spark.createDataFrame([(i, [f"t{k}" for k in range(i * 7 % 60)]) for i in range(50)], "set_first bigint, tokens array<string>").coalesce(1)
+    whole = [sorted(map(str, df.collect())) for df in D._keyed(sets)]
+    monkeypatch.setattr(D, "SLICE_TOKENS", 100)
+    assert [sorted(map(str, df.collect())) for df in D._keyed(sets)] == whole and all(whole)
+
+
 def test_a_round_writes_no_text_and_its_tokens_once(spark, monkeypatch):
     written, cut = [], D.cut
     for module in (D, TH):

@@ -47,3 +47,16 @@ def test_group_limit_runs_before_the_shuffle(spark, small):
 def test_request_product_has_no_join(spark, small):
     plan = plan_of(QUERIES["J1_expand_requests"](spark, small))
     assert "Generate explode" in plan and "NestedLoopJoin" not in plan
+
+
+def test_bounded_tables_of_a_view_meet_texts_without_a_shuffle(spark, small, monkeypatch):
+    from benchloom.catalog import views
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cases = lambda: plan_of(views.Tables(spark, small)("v_cases", small=("labels",)))
+        assert "BroadcastHashJoin" in cases()
+        monkeypatch.setattr(views, "SMALL_ROWS", 1)
+        assert "SortMergeJoin" in cases() and "Broadcast" not in cases()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
